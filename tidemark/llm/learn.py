@@ -47,7 +47,7 @@ class Adam:
             self.p[k] -= (self.rate * scale * fix) * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def platt(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
+def platt(x: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[float, float]:
     """Slope and intercept of a logistic fit of y on x (Newton steps, lightly regularised)."""
     a, b = 1.0, 0.0
     for _ in range(steps):
@@ -55,8 +55,8 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
         w = p * (1 - p) + 1e-6
         g = np.array([((p - y) * x).mean() + 1e-3 * a, (p - y).mean()])
         h = np.array([[(w * x * x).mean() + 1e-3, (w * x).mean()], [(w * x).mean(), w.mean()]])
-        d = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        a, b = a - np.clip(d[0], -2, 2), b - np.clip(d[1], -2, 2)
+        d = np.linalg.solve(h + 1e-4 * np.eye(2), g)
+        a, b = a - np.clip(0.5 * d[0], -0.3, 0.3), b - np.clip(0.5 * d[1], -0.5, 0.5)
     return float(a), float(b)
 
 

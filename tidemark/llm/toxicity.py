@@ -70,7 +70,7 @@ class Model:
         self.p, self.slope, self.offset, self.constant = None, 1.0, 0.0, float(y.mean()) if len(y) else 0.0
         if len(set(labels)) < 2:
             return
-        rng = np.random.default_rng(seed)
+        rng = self.rng = np.random.default_rng(seed)
         f = lambda *s: rng.normal(0, s[0] ** -0.5, s).astype(np.float32)
         self.p = {"word": rng.normal(0, 0.1, (WORDS, WIDTH)).astype(np.float32), "char": rng.normal(0, 0.3, (CHARS, WIDTH)).astype(np.float32), "a": f(2 * HIDDEN, LOOK), "q": f(LOOK, 1), "o": f(2 * HIDDEN, 1), "b": np.zeros(1, np.float32)}
         for way in "fb":
@@ -79,6 +79,8 @@ class Model:
         doc = np.repeat(np.arange(len(y)), np.diff(all_.first))
         test = np.arange(len(y)) % 5 == 4
         adam = Adam(self.p, 0.01)
+        turns = -(-len(all_.token) // 256)  # a small sample is gone through more often
+        epochs = (max(epochs[0], min(12, 400 // turns)), max(epochs[1], min(12, 400 // turns)))
         total = sum(epochs)
         for epoch in range(total):
             if epoch < epochs[0]:  # every window has its text's label
@@ -163,7 +165,8 @@ class Model:
         mean = np.zeros((len(used), WIDTH), np.float32)
         np.add.at(mean, owner, p["char"][gram])
         size = np.maximum(hi - lo, 1)[:, None].astype(np.float32)
-        x = np.concatenate([p["word"][c.bucket[used]], mean / size], axis=1)
+        seen = (self.rng.random((len(used), 1)) < 0.6).astype(np.float32) / 0.6  # without some words, their characters must do
+        x = np.concatenate([p["word"][c.bucket[used]] * seen, mean / size], axis=1)
         hidden, saved = {}, {}
         for w in "fb":
             hidden[w], saved[w] = self._scan((x @ p["x" + w] + p["c" + w])[token], real, w, True)
@@ -199,9 +202,11 @@ class Model:
             g |= {"h" + w: du, "c" + w: dc, "x" + w: x.T @ flow}
             dx += flow @ p["x" + w].T
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], c.bucket[used], dx[:, :WIDTH])
+        np.add.at(g["word"], c.bucket[used], dx[:, :WIDTH] * seen)
         np.add.at(g["char"], gram, (dx[:, WIDTH:] / size)[owner])
         adam.step(g, scale)
+        for name in ("word", "char"):  # what few windows need fades
+            p[name] *= 1 - 0.004 * scale
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.p is None:
