@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> tuple[list[str], list]:
-    """Texts and labels of at most ``per_class`` rows of each label, the first by a hash of the id.
+    """Texts and labels of at most ``per_class`` rows of each label, chosen by a hash of the id.
 
     ``docs`` (id, text), ``labels`` (id, label). The ids are chosen before any text is read. Null, empty and, as a bound of
     the sample, texts over ``most_bytes`` are left out. Of an id with several labels the highest counts."""
     ids = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    # a share of each label by hash, somewhat over what is needed, leaves the window few rows; labels are few
+    many = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
+    share = F.lit(0.0)
+    for label, count in many.items():
+        share = F.when(F.col("label") == label, F.lit(min(1.0, (1.2 * per_class + 100) / count))).otherwise(share)
+    ids = ids.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id", "label")
     rows = docs.select("id", "text").where((F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
