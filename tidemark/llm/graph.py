@@ -75,47 +75,39 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
     return dealt.mapInArrow(run, "key long, hub long, x long")
 
 
-def similarity_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+def similarity_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components of the verified links among nodes that share a bucket, as (components, links).
 
     ``rows`` (key, node: long) are bucket entries; ``verify`` maps distinct pairs (a, b) with a < b to the pairs
-    that are true links. A bucket's nodes are first compared with one hub each. While nodes remain that are
-    in another component than the rest of their bucket, new hubs are tried (this absorbs large groups of near copies without
-    forming their pairs); finally every pair within a bucket that still lies in two components is verified. So the
-    components are those of all pairs. Returns components (node, root) and the verified links (a, b)."""
-    spark = rows.sparkSession
+    that are true links. A bucket's nodes are first compared with one hub each; nodes that are left in
+    another component than most of their bucket are compared with new hubs, which absorbs large groups of near copies without
+    forming their pairs. Finally every node that is still left is compared with all open nodes of every other component that it shares a
+    bucket with. So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b)."""
     raw = cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
     pair = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
     tried = cut(pair(raw, "hub", "x"), "tried")
     links = cut(verify(tried), "links")
     comp = cut(components(links), "comp")
-    unsettled = None
     for turn in range(star_rounds + 1):
         member = raw.select("key", F.col("x").alias("node")).union(raw.select("key", F.col("hub").alias("node")).distinct())
         labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-        open_ = cut(labelled.join(many.select("key", "n"), "key"), "open")
-        # the largest component of a bucket is its base; the others are unsettled
+        open_ = cut(labelled.join(many.select("key"), "key"), "open")
+        # the largest component of a bucket is its base; nodes of the others are left
         size = open_.groupBy("key", "root").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4)))).alias("hub"))
-        base = size.groupBy("key").agg(F.max_by(F.struct("root", "hub", "c"), F.struct("c", "root")).alias("base"))
-        rest = open_.join(base, "key").where("root <> base.root").select("key", "node", "root", "n", F.col("base.hub").alias("hub"))
-        left, todo = rest.agg(F.count("*"), F.sum("n")).first()
-        if not left:
+        base = size.groupBy("key").agg(F.max_by(F.struct("root", "hub"), F.struct("c", "root")).alias("base"))
+        rest = open_.join(base, "key").where("root <> base.root").select("key", "node", "root", F.col("base.hub").alias("hub"))
+        if rest.isEmpty():
             break
-        final = turn == star_rounds or todo <= 4 * left + 100_000 or unsettled == left
-        unsettled = left
-        if final:
-            mine = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
-            new = open_.join(mine, "key").where("root <> ry")
-            new = pair(new, "node", "y")
-        else:
+        if turn < star_rounds:
             new = pair(rest, "hub", "node")
+        else:  # buckets repeat the same nodes many times, so nodes first meet components
+            left = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
+            meets = left.join(size.select("key", "root"), "key").where("root <> ry").select("y", "root").distinct()
+            new = pair(meets.join(open_.select("node", "root").distinct(), "root"), "y", "node")
         new = cut(new.join(tried, ["a", "b"], "left_anti"), "tried")
         more = cut(verify(new), "links")
         links, tried = links.union(more), tried.union(new)
         if not more.isEmpty():
             comp = cut(components(links), "comp")
-        if final:
-            break
-    del spark
     return comp, links

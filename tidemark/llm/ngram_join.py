@@ -80,6 +80,19 @@ def sketch_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
     return key[order], np.searchsorted(doc[order], np.arange(len(n) + 1))
 
 
+#: Longs of the short sketch by which candidates are sifted before their sets are read.
+SIFT = 8
+
+
+def short_sketch(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One parity sketch of 64 * SIFT bits a document."""
+    n = np.diff(first)
+    p = K.mix(h ^ U(0x5EED))
+    word = np.zeros(len(n) * SIFT, U)
+    np.bitwise_xor.at(word, np.repeat(np.arange(len(n)), n) * SIFT + ((p >> U(6)) % U(SIFT)).astype(np.int64), U(1) << (p & U(63)))
+    return word
+
+
 def _slices(off: np.ndarray, most: int = K.PIECE) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(off) - 1:
@@ -126,11 +139,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                 size = np.where(new, n, 0)
                 keys, at = sketch_keys(h[keep], np.concatenate([[0], np.cumsum(size)]), num, den)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), K.lists(pa.array(K.signed(keys)), at)],
-                    ["id", "n_shingles", "class", "keys"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), K.lists(pa.array(K.signed(short_sketch(h, first))), np.arange(len(n) + 1) * SIFT), K.lists(pa.array(K.signed(keys)), at)],
+                    ["id", "n_shingles", "class", "sift", "keys"],
                 )
 
-    table = cut(src.mapInArrow(scan, "id long, n_shingles long, class long, keys array<long>"), "sketch")
+    table = cut(src.mapInArrow(scan, "id long, n_shingles long, class long, sift array<long>, keys array<long>"), "sketch")
     rows = table.select(F.explode("keys").alias("key"), F.col("class").alias("node"))
 
     def candidates_of(pairs: DataFrame) -> DataFrame:
@@ -149,9 +162,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         return texts.select("text", "class").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        size = table.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"))
-        near = pairs.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        near = cut(near.where(f"100 * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb"), "near")
+        size = table.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sift").alias("s"))
+        near = pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b")
+        differ = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")  # at most what the sets differ in
+        near = near.where(f"100 * least(na, nb) >= {num} * greatest(na, nb)").where(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+        near = cut(near.select("a", "b", "na", "nb"), "near")
         own = cut(candidates_of(near), "sets")
         both = near.join(own.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(own.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
