@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,17 +58,22 @@ class Vocabulary:
         # where no piece can cross: before a run of spaces, and around a line's end
         rule = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not lines else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.rule = None if crosses else re.compile(rule)
-        self.memory: dict[str, tuple[bytes, float]] = {}
+        # every beginning of a piece: (id, score), or (-1, 0) where no piece ends
+        self.table = {p[:n]: (-1, 0.0) for p in self.piece for n in range(1, len(p))} | self.piece
+        self.memory: dict[str, bytes] = {}
+        self.scored: dict[str, tuple[bytes, float]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}}
+        return self.__dict__ | {"memory": {}, "scored": {}}
 
     def options(self, text: str, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
         """(length, ids, score) of the pieces at text[i:], short to long."""
         got = False
         for n in range(1, min(self.longest, len(text) - i) + 1):
-            x = self.piece.get(text[i : i + n])
-            if x is not None:
+            x = self.table.get(text[i : i + n])
+            if x is None:
+                break
+            if x[0] >= 0:
                 got |= n == 1
                 yield n, (x[0],), x[1]
         if not got:
@@ -75,25 +81,39 @@ class Vocabulary:
 
     def word(self, text: str) -> tuple[bytes, float]:
         """(ids as little-endian int32, score) of the best segmentation; of equal ones that with the longest last piece."""
-        n = len(text)
-        best, came = [0.0] + [_NEVER] * n, [None] * (n + 1)
+        get, unknown, n = self.table.get, self.unknown, len(text)
+        best, came, piece = [_NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
         for i in range(n):
-            own = best[i]
-            for size, ids, score in self.options(text, i):
-                if own + score > best[i + size]:
-                    best[i + size], came[i + size] = own + score, (i, ids)
+            own, j, single = best[i], i + 1, False
+            while j <= n:
+                x = get(text[i:j])
+                if x is None:
+                    break
+                if x[0] >= 0:
+                    single |= j == i + 1
+                    s = own + x[1]
+                    if s > best[j]:
+                        best[j], came[j], piece[j] = s, i, x[0]
+                j += 1
+            if not single and own + unknown > best[i + 1]:
+                best[i + 1], came[i + 1], piece[i + 1] = own + unknown, i, -1
         out, at = [], n
         while at:
-            at, ids = came[at]
-            out.append(ids)
-        return np.array([i for ids in reversed(out) for i in ids], "<i4").tobytes(), best[n]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out += [self.byte[b] for b in reversed(text[at - 1].encode())]
+            at = came[at]
+        out.reverse()
+        return array("i", out).tobytes(), best[n]
 
     def known(self, text: str) -> tuple[bytes, float]:
-        x = self.memory.get(text)
+        x = self.scored.get(text)
         if x is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            x = self.memory[text] = self.word(text)
+            if len(self.scored) >= MEMORY:
+                self.scored.clear()
+            x = self.scored[text] = self.word(text)
         return x
 
     def prepare(self, text: str) -> str:
@@ -103,10 +123,15 @@ class Vocabulary:
         return self.rule.findall(text) if self.rule else [text] if text else []
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        memory = self.memory
-        words = self.cuts(self.prepare(text))
-        return b"".join([(memory.get(w) or known(w))[0] for w in words])
+        memory, out = self.memory, []
+        for w in self.cuts(self.prepare(text)):
+            x = memory.get(w)
+            if x is None:
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                x = memory[w] = self.word(w)[0]
+            out.append(x)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; invalid bytes become U+FFFD. One leading space, the dummy prefix, goes."""
