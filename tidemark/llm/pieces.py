@@ -24,8 +24,8 @@ from .shared import cut, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
-#: Words whose pieces a task remembers.
-MEMORY = 300_000
+#: Words whose pieces a worker remembers, twice.
+MEMORY = 200_000
 SPACE = "▁"
 _NEVER = -np.inf
 
@@ -55,16 +55,24 @@ class Vocabulary:
         self.bytes[m.unk_id()] = " ⁇ ".encode()
         crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece)
         lines = any("\n" in p for p in self.piece)
-        # where no piece can cross: before a run of spaces, and around a line's end
-        rule = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not lines else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        self.rule = None if crosses else re.compile(rule)
+        # where no piece can cross: before a run of spaces and around a line's end; and between letters or digits and other
+        # characters, unless the text has a character by which some piece joins the two
+        end = "" if lines else "\n"
+        last = rf"|{SPACE}+" + ("" if lines else r"|\n")
+        wordy = lambda c: c.isalnum()
+        pairs = {(x, y) for p in self.piece for x, y in zip(p, p[1:], strict=False) if SPACE not in (x, y) and wordy(x) != wordy(y)}
+        joins = {x if wordy(x) else y for x, y in pairs}
+        self.joins = re.compile("[" + "".join(map(re.escape, sorted(joins))) + "]") if joins else None
+        self.rule = None if crosses else re.compile(rf"{SPACE}*[^{SPACE}{end}]+" + last)
+        self.fine = re.compile(rf"{SPACE}*(?:[^\W_]+|(?:[^\w{SPACE}{end}]|_)+)" + last)
         # every beginning of a piece: (id, score), or (-1, 0) where no piece ends
         self.table = {p[:n]: (-1, 0.0) for p in self.piece for n in range(1, len(p))} | self.piece
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.scored: dict[str, tuple[bytes, float]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}, "scored": {}}
+        return self.__dict__ | {"memory": {}, "older": {}, "scored": {}}
 
     def options(self, text: str, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
         """(length, ids, score) of the pieces at text[i:], short to long."""
@@ -120,16 +128,19 @@ class Vocabulary:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def cuts(self, text: str) -> list[str]:
-        return self.rule.findall(text) if self.rule else [text] if text else []
+        if self.rule is None:
+            return [text] if text else []
+        return (self.rule if self.joins and self.joins.search(text) else self.fine).findall(text)
 
     def encode(self, text: str) -> bytes:
         memory, out = self.memory, []
         for w in self.cuts(self.prepare(text)):
             x = memory.get(w)
             if x is None:
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                x = memory[w] = self.word(w)[0]
+                if len(memory) >= MEMORY:  # words that come again move from the older half
+                    self.older, self.memory = memory, {}
+                    memory = self.memory
+                x = memory[w] = self.older.get(w) or self.word(w)[0]
             out.append(x)
         return b"".join(out)
 
