@@ -73,8 +73,10 @@ def test_chunks_give_the_best_score(vocabulary):
         whole = np.frombuffer(v.encode(text), "<i4").tolist()
         for chunk in (16, 17, 40, 333):
             parts = [(own[c : c + chunk + v.longest - 1], min(chunk, len(own) - c)) for c in range(0, len(own), chunk)]
-            matrices = [v.matrix(t, n) for t, n in parts]
-            ids = np.frombuffer(b"".join(v.matrix(t, n, way) for (t, n), way in zip(parts, pieces.states(matrices), strict=True)), "<i4").tolist()
+            own_parts = [v.matrix(t, n) for t, n in parts]
+            matrices = [x[0] for x in own_parts]
+            ways = pieces.states(matrices)
+            ids = np.frombuffer(b"".join(v.trace(*x[1:], n, v.split(t, n)[1], *way) for (t, n), x, way in zip(parts, own_parts, ways, strict=True)), "<i4").tolist()
             assert v.decode(ids) == text
             assert reduce(pieces.plus, matrices)[0, 0] == sum(v.known(x)[1] for x in v.cuts(own))
             assert len(ids) == len(whole) or score(ids) == pytest.approx(score(whole))

@@ -142,8 +142,7 @@ def test_line_groups_match_all_pairs(spark):
     occurrences = sorted((i, n, tuple(tokens(x))) for i, t in dict(d for d in docs if d[0] is not None).items() for n, x in enumerate((t or "").split("\n")) if len(tokens(x)) >= 5)
     distinct = sorted({x for _, _, x in occurrences})
     raw, off = K.text_buffers(pa.array([" ".join(x) for x in distinct]))
-    w = K.words(raw, off)
-    sims = K.simhash_spans(w.hash, w.first[:-1], w.first[1:])
+    sims = lines.lines_of(raw, off, 1)[3]
 
     def distance(a, b):
         row = list(range(len(b) + 1))

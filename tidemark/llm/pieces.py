@@ -65,45 +65,57 @@ class Vocabulary:
         self.joins = re.compile("[" + "".join(map(re.escape, sorted(joins))) + "]") if joins else None
         self.rule = None if crosses else re.compile(rf"{SPACE}*[^{SPACE}{end}]+" + last)
         self.fine = re.compile(rf"{SPACE}*(?:[^\W_]+|(?:[^\w{SPACE}{end}]|_)+)" + last)
-        # every beginning of a piece: (id, score), or (-1, 0) where no piece ends
-        self.table = {p[:n]: (-1, 0.0) for p in self.piece for n in range(1, len(p))} | self.piece
+        self.root: dict[str, list] = {}  # by character: [following characters, id or -1, score]
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.scored: dict[str, tuple[bytes, float]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}, "older": {}, "scored": {}}
+        return self.__dict__ | {"memory": {}, "older": {}, "scored": {}, "root": {}}
+
+    def tree(self) -> dict[str, list]:
+        if not self.root:
+            for p, (i, score) in self.piece.items():
+                below = self.root
+                for c in p:
+                    node = below.setdefault(c, [{}, -1, 0.0])
+                    below = node[0]
+                node[1:] = i, score
+        return self.root
 
     def options(self, text: str, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
         """(length, ids, score) of the pieces at text[i:], short to long."""
-        got = False
-        for n in range(1, min(self.longest, len(text) - i) + 1):
-            x = self.table.get(text[i : i + n])
-            if x is None:
+        got, below = False, self.tree()
+        for j in range(i, len(text)):
+            node = below.get(text[j])
+            if node is None:
                 break
-            if x[0] >= 0:
-                got |= n == 1
-                yield n, (x[0],), x[1]
+            below, piece, score = node
+            if piece >= 0:
+                got |= j == i
+                yield j - i + 1, (piece,), score
         if not got:
             yield 1, tuple(self.byte[b] for b in text[i].encode()), self.unknown
 
     def word(self, text: str) -> tuple[bytes, float]:
         """(ids as little-endian int32, score) of the best segmentation; of equal ones that with the longest last piece."""
-        get, unknown, n = self.table.get, self.unknown, len(text)
+        root, unknown, n = self.tree(), self.unknown, len(text)
         best, came, piece = [_NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            own, j, single = best[i], i + 1, False
-            while j <= n:
-                x = get(text[i:j])
-                if x is None:
+            own, j, single, below = best[i], i, False, root
+            while j < n:
+                node = below.get(text[j])
+                if node is None:
                     break
-                if x[0] >= 0:
-                    single |= j == i + 1
-                    s = own + x[1]
-                    if s > best[j]:
-                        best[j], came[j], piece[j] = s, i, x[0]
                 j += 1
+                below, found, score = node
+                if found >= 0:
+                    if j == i + 1:
+                        single = True
+                    score += own
+                    if score > best[j]:
+                        best[j], came[j], piece[j] = score, i, found
             if not single and own + unknown > best[i + 1]:
                 best[i + 1], came[i + 1], piece[i + 1] = own + unknown, i, -1
         out, at = [], n
@@ -151,29 +163,32 @@ class Vocabulary:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
     # -- chunks of a giant text
-    def matrix(self, text: str, size: int, back: tuple[int, int] | None = None):
-        """Transfer matrix of a chunk: best[s, e] from character s to character size + e, by pieces that begin before ``size``.
+    def split(self, text: str, size: int) -> tuple[int, int]:
+        """Where a chunk's first and last inner cut are; (size, size) if it has none.
+
+        ``text`` has the chunk's ``size`` characters and up to longest - 1 more."""
+        spots = [m.start() for m in self.rule.finditer(text) if self.longest <= m.start() <= size] if self.rule else []
+        return (spots[0], spots[-1]) if spots else (size, size)
 
-        ``text`` has the chunk's ``size`` characters and up to longest - 1 more. With back = (s, e), the ids of that path."""
+    def matrix(self, text: str, size: int) -> tuple[np.ndarray, str, int, bytes]:
+        """A chunk's transfer matrix best[s, e], from character s to character size + e by pieces that begin before ``size``; and what
+        its backtrace needs: the characters before the first and after the last inner cut, the number of the former, the ids between."""
         w = self.longest
-        spots = []
-        if self.rule is not None:  # words wholly inside; the first may be cut off at its start, the last at its end
-            spots = [m.start() for m in self.rule.finditer(text) if w <= m.start() <= size]
-        lo, hi = (spots[0], spots[-1]) if spots else (size, size)
-        head = self._steps(text[:lo] if spots else text, lo if spots else size, np.arange(w), back is not None)
-        if not spots:
-            best, came = head
-            if back is None:
-                return self._fit(best[size : size + w].T, w)
-            return self._trace(came, size + back[1], back[0])[0]
+        lo, hi = self.split(text, size)
+        if lo == size:  # no inner cut, or one at the chunk's end
+            best, _ = self._steps(text, size, np.arange(w), False)
+            return self._fit(best[size : size + w].T, w), text, -1, b""
         middle = [self.known(x) for x in self.cuts(text[lo:hi])]
-        tail = self._steps(text[hi:], size - hi, np.zeros(1, int), back is not None)
-        if back is None:
-            inner = sum(x[1] for x in middle)
-            return self._fit(head[0][lo][:, None] + inner + tail[0][size - hi : size - hi + w].T, w)
-        first = self._trace(head[1], lo, back[0])[0]
-        last = self._trace(tail[1], size - hi + back[1], 0)[0]
-        return first + b"".join(x[0] for x in middle) + last
+        head, tail = self._steps(text[:lo], lo, np.arange(w), False)[0], self._steps(text[hi:], size - hi, np.zeros(1, int), False)[0]
+        m = self._fit(head[lo][:, None] + sum(x[1] for x in middle) + tail[size - hi : size - hi + w].T, w)
+        return m, text[:lo] + text[hi:], lo, b"".join(x[0] for x in middle)
+
+    def trace(self, rest: str, lo: int, middle: bytes, size: int, hi: int, s: int, e: int) -> bytes:
+        """The ids of a chunk on the best path from state s to state e."""
+        if lo < 0:
+            return self._trace(self._steps(rest, size, np.arange(self.longest), True)[1], size + e, s)[0]
+        first = self._trace(self._steps(rest[:lo], lo, np.arange(self.longest), True)[1], lo, s)[0]
+        return first + middle + self._trace(self._steps(rest[lo:], size - hi, np.zeros(1, int), True)[1], size - hi + e, 0)[0]
 
     @staticmethod
     def _fit(m: np.ndarray, w: int) -> np.ndarray:
@@ -274,10 +289,12 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
                 text = v.prepare(text)
                 for c in range(0, len(text), chunk):
                     own = text[c : c + chunk + v.longest - 1]
-                    m = v.matrix(own, min(chunk, len(text) - c))
-                    yield pa.record_batch([pa.array([row], pa.int64()), pa.array([c // chunk], pa.int32()), pa.array([min(chunk, len(text) - c)], pa.int32()), pa.array([own]), pa.array([m.tobytes()], pa.binary())], ["row", "chunk", "size", "text", "matrix"])
+                    n = min(chunk, len(text) - c)
+                    m, rest, lo, middle = v.matrix(own, n)
+                    hi = v.split(own, n)[1]
+                    yield pa.record_batch([pa.array([row], pa.int64()), *[pa.array([x], pa.int32()) for x in (c // chunk, n, lo, hi)], pa.array([rest]), *[pa.array([x], pa.binary()) for x in (middle, m.tobytes())]], ["row", "chunk", "size", "lo", "hi", "rest", "middle", "matrix"])
 
-    chunks = cut(giant.select(key, f"`{text_col}`").repartition(F.col(key)).mapInArrow(split, "row long, chunk int, size int, text string, matrix binary"), "chunks")
+    chunks = cut(giant.select(key, f"`{text_col}`").repartition(F.col(key)).mapInArrow(split, "row long, chunk int, size int, lo int, hi int, rest string, middle binary, matrix binary"), "chunks")
 
     def chain(key_: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -292,10 +309,10 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
         v = vocabulary.value
         for b in batches:
             d = b.to_pydict()
-            ids = [v.matrix(t, n, (s, e)) for t, n, s, e in zip(d["text"], d["size"], d["s"], d["e"], strict=True)]
+            ids = [v.trace(*x) for x in zip(*[d[c] for c in ("rest", "lo", "middle", "size", "hi", "s", "e")], strict=True)]
             yield pa.record_batch([b.column("row"), b.column("chunk"), _ids(ids)], ["row", "chunk", "ids"])
 
-    traced = chunks.select("row", "chunk", "size", "text").join(ways, ["row", "chunk"]).mapInArrow(trace, "row long, chunk int, ids array<int>")
+    traced = chunks.drop("matrix").join(ways, ["row", "chunk"]).mapInArrow(trace, "row long, chunk int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids)")).alias(out_col))
     long = giant.join(whole.withColumnRenamed("row", key), key).select(*[f"`{c}`" for c in full.names])
     return short.unionByName(long)
