@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised by lower-casing A-Z and collapsing white space. Equal lines meet by hash, combined within every task first.
-Distinct lines get a 64-bit SimHash of their words, cut into RADIUS + 2 blocks; lines within RADIUS bits agree in two
+Distinct lines get a 64-bit SimHash of their word pairs, cut into RADIUS + 2 blocks; lines within RADIUS bits agree in two
 blocks at least, so every pair of blocks is a key of the join. Pairs within RADIUS bits are verified by
 edit similarity. Of each connected group one occurrence stays: the first by document id and line number.
 """
@@ -40,7 +40,10 @@ def lines_of(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarr
     number = np.searchsorted(ends, w.start[a]) - np.searchsorted(ends, off[doc])
     total = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * K.powers(K._STEP, len(w.hash)))])
     h = K.mix((total[b] - total[a]) * K.powers(_INV, len(w.hash))[a] + (b - a).astype(U))
-    return doc, number, h, K.simhash_spans(w.hash, a, b)
+    pairs = w.hash.copy()  # features: pairs of following words, for the commonest words alone would fill most fingerprints alike
+    pairs[:-1] = K.mix(w.hash[:-1] * U(3) + w.hash[1:])
+    pairs[a[b - a == 1]] = w.hash[a[b - a == 1]]
+    return doc, number, h, K.simhash_spans(pairs, a, np.maximum(b - 1, a + 1))
 
 
 def scan_lines(docs: DataFrame, min_words: int) -> DataFrame:
