@@ -75,17 +75,20 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
     return dealt.mapInArrow(run, "key long, hub long, x long")
 
 
-def similarity_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components of the verified links among nodes that share a bucket, as (components, links).
 
-    ``rows`` (key, node: long) are bucket entries; ``verify`` maps distinct pairs (a, b) with a < b to the pairs
-    that are true links. A bucket's nodes are first compared with one hub each; nodes that are left in
-    another component than most of their bucket are compared with new hubs, which absorbs large groups of near copies without
-    forming their pairs. Finally every node that is still left is compared with all open nodes of every other component that it shares a
-    bucket with. So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b)."""
+    ``rows`` (key, node: long) are bucket entries. ``marks`` (node, m) has one mark of each node, ``near`` is an SQL condition over the marks
+    ``ma`` and ``mb`` that holds for every true link: joins make only pairs that pass it. ``verify`` maps distinct pairs (a, b) with a < b to
+    the pairs that are true links. A bucket's nodes are first compared with one hub each; nodes that are left in
+    another component than most of their bucket are compared with new hubs, best linked nodes of that component, which absorbs large groups
+    of near copies without forming their pairs. Finally every node that is still left is compared, by the marks, with the nodes of other components in its buckets.
+    So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b)."""
     raw = cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
-    pair = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-    tried = cut(pair(raw, "hub", "x"), "tried")
+    order = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+    marked = lambda node, mark: marks.select(F.col("node").alias(node), F.col("m").alias(mark))
+    sift = lambda d: d.join(marked("a", "ma"), "a").join(marked("b", "mb"), "b").where(near).select("a", "b")
+    tried = cut(sift(order(raw, "hub", "x")), "tried")
     links = cut(verify(tried), "links")
     comp = cut(components(links), "comp")
     for turn in range(star_rounds + 1):
@@ -94,18 +97,27 @@ def similarity_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame],
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         open_ = cut(labelled.join(many.select("key"), "key"), "open")
         # the largest component of a bucket is its base; nodes of the others are left
-        size = open_.groupBy("key", "root").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4)))).alias("hub"))
-        base = size.groupBy("key").agg(F.max_by(F.struct("root", "hub"), F.struct("c", "root")).alias("base"))
-        rest = open_.join(base, "key").where("root <> base.root").select("key", "node", "root", F.col("base.hub").alias("hub"))
+        size = open_.groupBy("key", "root").agg(F.count("*").alias("c"))
+        base = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("base"))
+        dealt = cut(open_.join(base, "key"), "dealt")
+        rest = dealt.where("root <> base")
         if rest.isEmpty():
             break
         if turn < star_rounds:
-            new = pair(rest, "hub", "node")
-        else:  # buckets repeat the same nodes many times, so nodes first meet components
-            left = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
-            meets = left.join(size.select("key", "root"), "key").where("root <> ry").select("y", "root").distinct()
-            new = pair(meets.join(open_.select("node", "root").distinct(), "root"), "y", "node")
+            # a new hub is linked to nodes that have more links than itself: to former hubs
+            both = links.union(links.select("b", "a")).toDF("node", "other")
+            degree = both.groupBy("node").agg(F.count("*").alias("d"))
+            rank = both.join(degree, "node").join(degree.toDF("other", "e"), "other").groupBy("node").agg(F.sum(F.col("e") - F.col("d")).alias("rank"))
+            scored = dealt.where("root = base").join(rank, "node", "left")
+            hubs = scored.groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("rank", F.lit(0)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"))).alias("hub"))
+            new = sift(order(rest.join(hubs, "key"), "hub", "node"))
+        else:
+            left = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry")).join(marked("y", "ma"), "y")
+            right = dealt.select("key", "node", "root", F.expr("root = base").alias("main")).join(marked("node", "mb"), "node")
+            new = order(left.join(right, "key").where("ry <> root and (main or y < node)").where(near), "y", "node")
         new = cut(new.join(tried, ["a", "b"], "left_anti"), "tried")
+        if new.isEmpty():
+            continue
         more = cut(verify(new), "links")
         links, tried = links.union(more), tried.union(new)
         if not more.isEmpty():

@@ -95,11 +95,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"), F.first("sim").alias("sim")), "first")
     keys = first.select(F.explode(F.expr(block_keys(radius))).alias("key"), F.col("hash").alias("node"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        own = first.select("hash", "sim", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
-        sims = own.select("hash", "sim")
-        near = pairs.join(sims.toDF("a", "sa"), "a").join(sims.toDF("b", "sb"), "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= radius).select("a", "b")
-        near = cut(near, "near")
+    def verify(near: DataFrame) -> DataFrame:
+        own = first.select("hash", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
         want = own.join(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct(), "hash").groupBy("id").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
         texts = docs.join(broadcast_if_small(cut(want, "want"), 100_000), "id").dropDuplicates(["id"])
         texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w"))
@@ -109,7 +106,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         most = f"cast(floor({1 - similarity:.6f} * greatest(length(ta), length(tb)) + 1e-9) as int)"
         return both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
 
-    comp, _ = similarity_groups(keys, verify)
+    marks = first.select(F.col("hash").alias("node"), F.col("sim").alias("m"))
+    comp, _ = similarity_groups(keys, marks, f"bit_count(ma ^ mb) <= {radius}", verify)
     rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
     keep = first.join(kept, "hash", "left").select("hash", F.coalesce("keep", "first").alias("keep"))

@@ -161,18 +161,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
 
         return texts.select("text", "class").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        size = table.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sift").alias("s"))
-        near = pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b")
-        differ = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")  # at most what the sets differ in
-        near = near.where(f"100 * least(na, nb) >= {num} * greatest(na, nb)").where(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
-        near = cut(near.select("a", "b", "na", "nb"), "near")
+    def verify(near: DataFrame) -> DataFrame:
         own = cut(candidates_of(near), "sets")
         both = near.join(own.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(own.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
-        common = F.size(F.array_intersect("ta", "tb"))
-        return both.withColumn("c", common).where(f"100L * c >= {num}L * (na + nb - c)").select("a", "b")
+        both = both.withColumn("c", F.size(F.array_intersect("ta", "tb")))
+        return both.where(f"100L * c >= {num}L * (size(ta) + size(tb) - c)").select("a", "b")
 
-    comp, links = similarity_groups(rows, verify)
+    marks = table.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.struct(F.first("n_shingles").alias("n"), F.first("sift").alias("s")).alias("m"))
+    differ = " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT))  # at most what the sets differ in
+    near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({differ}) * {den + num} <= (ma.n + mb.n) * {den - num}"
+    comp, links = similarity_groups(rows, cut(marks, "marks"), near, verify)
     members = table.select("id", "n_shingles", "class")
     least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     rooted = least.join(comp.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "least")
