@@ -179,3 +179,13 @@ def test_line_groups_match_all_pairs(spark):
             assert got[i] == (text, want)
     assert any(gone.values())
     assert lines.dedup_lines(df.where("false")).count() == 0
+
+
+def test_trimmed_keeps_the_edit_distance(spark):
+    pairs = [("", ""), ("abc", "abc"), ("aaa", "aa"), ("xaby", "xacby"), ("éa𝄞b", "éc𝄞b"), ("abab", "ab"), ("", "q"), ("one two three", "one too three")]
+    df = spark.createDataFrame([(i, i, x, y) for i, (x, y) in enumerate(pairs)], "a long, b long, ta string, tb string")
+    got = {r.a: r for r in lines.trimmed(df).selectExpr("*", "levenshtein(ta, tb) AS d").collect()}
+    want = {r.a: r.d for r in df.selectExpr("a", "levenshtein(ta, tb) AS d").collect()}
+    assert {i: r.d for i, r in got.items()} == want
+    assert all(got[i].longer == max(map(len, p)) for i, p in enumerate(pairs))
+    assert (got[7].ta, got[7].tb) == ("w", "o")

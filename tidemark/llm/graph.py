@@ -48,12 +48,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def stars(rows: DataFrame, order: str) -> DataFrame:
-    """(key, hub, x): in every bucket of ``rows`` (key, node: long) the first node by ``order`` (an SQL
+    """(key, hub, x, alone): in every bucket of ``rows`` (key, node: long) the first node by ``order`` (an SQL
     expression over key and node) against each other distinct node. Buckets stream through in sorted order, so a
-    task holds one hub, not a bucket; single-node buckets give nothing."""
+    task holds one hub, not a bucket; single-node buckets give nothing. ``alone``: the bucket has these two nodes only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = hub0 = last0 = None
+        key0 = hub0 = last0 = gone = held = None
+
+        def out(k: np.ndarray, h: np.ndarray, x: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(k), pa.array(h), pa.array(x), pa.array(alone)], ["key", "hub", "x", "alone"])
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -69,10 +73,19 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
             keep = ~new & fresh & (node != hub)
             key0, hub0, last0 = key[-1], hub[-1], node[-1]
             if keep.any():
-                yield pa.record_batch([pa.array(key[keep]), pa.array(hub[keep]), pa.array(node[keep])], ["key", "hub", "x"])
+                new_rows = key[keep], hub[keep], node[keep]
+                k, h, x = new_rows if held is None else (np.concatenate(p) for p in zip(held, new_rows, strict=True))
+                if len(k) > 1:  # the last row waits for its successor
+                    after = k[:-1] == k[1:]
+                    before = np.concatenate([[gone is not None and k[0] == gone], after[:-1]])
+                    yield out(k[:-1], h[:-1], x[:-1], ~(after | before))
+                    gone = k[-2]
+                held = k[-1:], h[-1:], x[-1:]
+        if held is not None:
+            yield out(*held, np.array([gone is None or held[0][0] != gone]))
 
     dealt = rows.select("key", "node").repartition("key").sortWithinPartitions("key", F.expr(order), "node")
-    return dealt.mapInArrow(run, "key long, hub long, x long")
+    return dealt.mapInArrow(run, "key long, hub long, x long, alone boolean")
 
 
 def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -85,6 +98,7 @@ def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Call
     of near copies without forming their pairs. Finally every node that is still left is compared, by the marks, with the nodes of other components in its buckets.
     So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b)."""
     raw = cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
+    crowd = raw.where("not alone")  # a bucket of two is settled by its one pair
     order = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
     marked = lambda node, mark: marks.select(F.col("node").alias(node), F.col("m").alias(mark))
     sift = lambda d: d.join(marked("a", "ma"), "a").join(marked("b", "mb"), "b").where(near).select("a", "b")
@@ -92,7 +106,7 @@ def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Call
     links = cut(verify(tried), "links")
     comp = cut(components(links), "comp")
     for turn in range(star_rounds + 1):
-        member = raw.select("key", F.col("x").alias("node")).union(raw.select("key", F.col("hub").alias("node")).distinct())
+        member = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
         labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         open_ = cut(labelled.join(many.select("key"), "key"), "open")
@@ -121,5 +135,6 @@ def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Call
         more = cut(verify(new), "links")
         links, tried = links.union(more), tried.union(new)
         if not more.isEmpty():
-            comp = cut(components(links), "comp")
+            known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars stand for the links they come from
+            comp = cut(components(known.union(more)), "comp")
     return comp, links

@@ -77,6 +77,28 @@ def scan_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, line int, hash long, sim long, again boolean")
 
 
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """(a, b, ta, tb, longer): ``pairs`` of texts without their common start and end, which leaves the edit distance as it is; ``longer`` is the greater length before that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, longer = [], [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                least = min(len(x), len(y))
+                p, q = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+                apart = np.flatnonzero(p[:least] != q[:least])
+                start = int(apart[0]) if len(apart) else least
+                rest = least - start
+                apart = np.flatnonzero(p[len(p) - rest :][::-1] != q[len(q) - rest :][::-1])
+                end = int(apart[0]) if len(apart) else rest
+                left.append(x[start : len(x) - end])
+                right.append(y[start : len(y) - end])
+                longer.append(max(len(x), len(y)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(longer, pa.int32())], ["a", "b", "ta", "tb", "longer"])
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ta string, tb string, longer int")
+
+
 def block_keys(radius: int = RADIUS) -> str:
     """SQL: the keys of a SimHash ``sim``, one for each two of radius + 2 blocks."""
     edges = np.linspace(0, 64, radius + 3).astype(int)
@@ -102,8 +124,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w"))
         norm = F.lower(F.trim(F.regexp_replace(F.col("all")[F.col("w.line")], r"[\x20\x09-\x0D]+", " ")))
         texts = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
-        both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        most = f"cast(floor({1 - similarity:.6f} * greatest(length(ta), length(tb)) + 1e-9) as int)"
+        both = trimmed(near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b"))
+        most = f"cast(floor({1 - similarity:.6f} * longer + 1e-9) as int)"
         return both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
 
     marks = first.select(F.col("hash").alias("node"), F.col("sim").alias("m"))
@@ -126,7 +148,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     own = docs.drop(removed_col)
     src = own.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     gone = cut(removals(src, min_words, similarity, radius), "gone").withColumnRenamed("id", "__id").withColumnRenamed("removed", "__gone")
-    joined = own.join(broadcast_if_small(gone, 50_000), F.col(f"`{id_col}`") == F.col("__id"), "left")
+    joined = own.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__id"), "left")
     rest = F.expr(f"""aggregate(array(split(`{text_col}`, '\\n', -1)), cast(array() as array<string>),
       (a, x) -> transform(array_except(sequence(0, size(x) - 1), __gone), i -> get(x, i)))""")
     text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(rest, "\n"))
