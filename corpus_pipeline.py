@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, lines, ngram_join, pieces
-from tidemark.llm.shared import broadcast_if_small, columns_like, cut
+from tidemark.llm.shared import broadcast_if_small, columns_like, cut, release
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written to the shared folder and read again."""
+    """The stages over ``documents``; each result is written to the shared folder and read again, and deleted when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        last, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        release(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each is a grouped minimum (combined before the
     shuffle) and a join that adaptive execution can split, so a hub of many links is no single task.
-    Every round is written to the shared folder. Self links and repeats do no harm; no links, no rows."""
+    Every round is written to the shared folder, and so is the result; the round before is deleted. Self links and repeats do no harm; no links, no rows."""
     e = cut(
         edges.where("a is not null and b is not null")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -37,14 +37,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .distinct()
         )
-        e = cut(small, "star")
+        last, e = e, cut(small, "star")
+        release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), F.least("u", "root").alias("root"))
+    out = cut(e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), F.least("u", "root").alias("root")), "comp")
+    release(e)
+    return out
 
 
 def stars(rows: DataFrame, order: str) -> DataFrame:
@@ -88,23 +91,28 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
     return dealt.mapInArrow(run, "key long, hub long, x long, alone boolean")
 
 
-def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def bucket_stars(rows: DataFrame) -> DataFrame:
+    """The written stars of ``rows`` (key, node: long) for similarity_groups: the hub differs from key to key, but a node is hub of many of its keys."""
+    return cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
+
+
+def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components of the verified links among nodes that share a bucket, as (components, links).
 
-    ``rows`` (key, node: long) are bucket entries. ``marks`` (node, m) has one mark of each node, ``near`` is an SQL condition over the marks
+    ``raw`` are the bucket_stars of the bucket entries. ``marks`` (node, m) has one mark of each node, ``near`` is an SQL condition over the marks
     ``ma`` and ``mb`` that holds for every true link: joins make only pairs that pass it. ``verify`` maps distinct pairs (a, b) with a < b to
-    the pairs that are true links. A bucket's nodes are first compared with one hub each; nodes that are left in
+    the pairs that are true links, as a written table. A bucket's nodes are first compared with one hub each; nodes that are left in
     another component than most of their bucket are compared with new hubs, best linked nodes of that component, which absorbs large groups
     of near copies without forming their pairs. Finally every node that is still left is compared, by the marks, with the nodes of other components in its buckets.
     So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b)."""
-    raw = cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
     crowd = raw.where("not alone")  # a bucket of two is settled by its one pair
     order = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
     marked = lambda node, mark: marks.select(F.col("node").alias(node), F.col("m").alias(mark))
     sift = lambda d: d.join(marked("a", "ma"), "a").join(marked("b", "mb"), "b").where(near).select("a", "b")
     tried = cut(sift(order(raw, "hub", "x")), "tried")
-    links = cut(verify(tried), "links")
-    comp = cut(components(links), "comp")
+    links = verify(tried)
+    comp = components(links)
+    seen = [tried]
     for turn in range(star_rounds + 1):
         member = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
         labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -115,7 +123,9 @@ def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Call
         base = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("base"))
         dealt = cut(open_.join(base, "key"), "dealt")
         rest = dealt.where("root <> base")
+        release(open_)
         if rest.isEmpty():
+            release(dealt)
             break
         if turn < star_rounds:
             # a new hub is linked to nodes that have more links than itself: to former hubs
@@ -130,11 +140,15 @@ def similarity_groups(rows: DataFrame, marks: DataFrame, near: str, verify: Call
             right = dealt.select("key", "node", "root", F.expr("root = base").alias("main")).join(marked("node", "mb"), "node")
             new = order(left.join(right, "key").where("ry <> root and (main or y < node)").where(near), "y", "node")
         new = cut(new.join(tried, ["a", "b"], "left_anti"), "tried")
+        release(dealt)
+        seen.append(new)
         if new.isEmpty():
             continue
-        more = cut(verify(new), "links")
+        more = verify(new)
         links, tried = links.union(more), tried.union(new)
         if not more.isEmpty():
             known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars stand for the links they come from
-            comp = cut(components(known.union(more)), "comp")
+            last, comp = comp, components(known.union(more))
+            release(last)
+    release(*seen)
     return comp, links

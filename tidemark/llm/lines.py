@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import similarity_groups
-from .shared import broadcast_if_small, cut, small_batches
+from .graph import bucket_stars, similarity_groups
+from .shared import broadcast_if_small, cut, release, small_batches
 
 U = np.uint64
 RADIUS, MIN_WORDS, SIMILARITY = 3, 5, 0.8
@@ -120,22 +120,29 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     def verify(near: DataFrame) -> DataFrame:
         own = first.select("hash", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
         want = own.join(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct(), "hash").groupBy("id").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
-        texts = docs.join(broadcast_if_small(cut(want, "want"), 100_000), "id").dropDuplicates(["id"])
+        want = cut(want, "want")
+        texts = docs.join(broadcast_if_small(want, 100_000), "id").dropDuplicates(["id"])
         texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w"))
         norm = F.lower(F.trim(F.regexp_replace(F.col("all")[F.col("w.line")], r"[\x20\x09-\x0D]+", " ")))
         texts = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
         both = trimmed(near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b"))
         most = f"cast(floor({1 - similarity:.6f} * longer + 1e-9) as int)"
-        return both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
+        out = cut(both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b"), "links")
+        release(want, texts)
+        return out
 
     marks = first.select(F.col("hash").alias("node"), F.col("sim").alias("m"))
-    comp, _ = similarity_groups(keys, marks, f"bit_count(ma ^ mb) <= {radius}", verify)
+    raw = bucket_stars(keys)
+    comp, links = similarity_groups(raw, marks, f"bit_count(ma ^ mb) <= {radius}", verify)
+    release(raw, links)
     rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
     keep = first.join(kept, "hash", "left").select("hash", F.coalesce("keep", "first").alias("keep"))
     gone = occur.join(keep, "hash").where((F.col("id") != F.col("keep.id")) | (F.col("line") != F.col("keep.line"))).select("id", "line")
     gone = scan.where("again").select("id", "line").union(gone)
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = cut(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed")), "gone")
+    release(scan, first, comp)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
@@ -147,7 +154,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     Other columns are kept."""
     own = docs.drop(removed_col)
     src = own.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    gone = cut(removals(src, min_words, similarity, radius), "gone").withColumnRenamed("id", "__id").withColumnRenamed("removed", "__gone")
+    gone = removals(src, min_words, similarity, radius).withColumnRenamed("id", "__id").withColumnRenamed("removed", "__gone")
     joined = own.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__id"), "left")
     rest = F.expr(f"""aggregate(array(split(`{text_col}`, '\\n', -1)), cast(array() as array<string>),
       (a, x) -> transform(array_except(sequence(0, size(x) - 1), __gone), i -> get(x, i)))""")

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import similarity_groups
-from .shared import broadcast_if_small, cut, small_batches
+from .graph import bucket_stars, similarity_groups
+from .shared import broadcast_if_small, cut, release, small_batches
 
 U = np.uint64
 
@@ -144,14 +144,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                 )
 
     table = cut(src.mapInArrow(scan, "id long, n_shingles long, class long, sift array<long>, keys array<long>"), "sketch")
-    rows = table.select(F.explode("keys").alias("key"), F.col("class").alias("node"))
+    raw = bucket_stars(table.select(F.explode("keys").alias("key"), F.col("class").alias("node")))
+    marks = table.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.struct(F.first("n_shingles").alias("n"), F.first("sift").alias("s")).alias("m"))
+    marks = cut(marks, "marks")
+    members = cut(table.select("id", "n_shingles", "class"), "members")
+    release(table)
 
     def candidates_of(pairs: DataFrame) -> DataFrame:
         """(class, set) of the classes in ``pairs``; their documents are read again."""
         nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        one = table.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"))
+        one = members.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"))
         want = cut(one.join(nodes, "class").select("id", "class"), "want")
-        return sets(src.join(broadcast_if_small(want), "id"))
+        out = cut(sets(src.join(broadcast_if_small(want), "id")), "sets")
+        release(want)
+        return out
 
     def sets(texts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +168,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         return texts.select("text", "class").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
 
     def verify(near: DataFrame) -> DataFrame:
-        own = cut(candidates_of(near), "sets")
+        own = candidates_of(near)
         both = near.join(own.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(own.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
         both = both.withColumn("c", F.size(F.array_intersect("ta", "tb")))
-        return both.where(f"100L * c >= {num}L * (size(ta) + size(tb) - c)").select("a", "b")
+        out = cut(both.where(f"100L * c >= {num}L * (size(ta) + size(tb) - c)").select("a", "b"), "links")
+        release(own)
+        return out
 
-    marks = table.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.struct(F.first("n_shingles").alias("n"), F.first("sift").alias("s")).alias("m"))
     differ = " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT))  # at most what the sets differ in
     near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({differ}) * {den + num} <= (ma.n + mb.n) * {den - num}"
-    comp, links = similarity_groups(rows, cut(marks, "marks"), near, verify)
-    members = table.select("id", "n_shingles", "class")
+    comp, links = similarity_groups(raw, marks, near, verify)
+    release(raw, marks)
     least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     rooted = least.join(comp.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "least")
     own = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
