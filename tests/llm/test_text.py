@@ -1,5 +1,6 @@
 """Kernels and the text operators against brute force on small fixtures."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, kernels as K, lines, ngram_join
+from tidemark.llm.graph import components
+from tidemark.llm.shared import release
 
 
 def tokens(text):
@@ -189,3 +192,42 @@ def test_trimmed_keeps_the_edit_distance(spark):
     assert {i: r.d for i, r in got.items()} == want
     assert all(got[i].longer == max(map(len, p)) for i, p in enumerate(pairs))
     assert (got[7].ta, got[7].tb) == ("w", "o")
+
+
+@pytest.mark.parametrize("count", [0, 1 << 30, 1 << 39, 1 << 60])
+def test_block_keys_meet(spark, count):
+    rng = random.Random(count)
+    pairs = []
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for bit in rng.sample(range(64), rng.randint(0, lines.RADIUS)):
+            y ^= 1 << bit
+        pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
+    keys = lines.block_keys(lines.RADIUS, count)
+    df = spark.createDataFrame(pairs, "a long, b long")
+    both = df.selectExpr("a as sim", "b").selectExpr(f"{keys} as ka", "b as sim").selectExpr("ka", f"{keys} as kb")
+    assert both.where("not arrays_overlap(ka, kb)").count() == 0
+    assert both.selectExpr("size(ka) as n").first().n == (10 if not count else {1 << 30: 20, 1 << 39: 56, 1 << 60: 84}[count])
+
+
+def test_components_and_release(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(40)] + [(500, 400 + i) for i in range(60)] + [(7000 + rng.randint(0, 80), 7000 + rng.randint(0, 80)) for _ in range(50)] + [(9000, 9000), (9001, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    out = components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted((r.node, r.root) for r in out.collect()) == sorted((x, find(x)) for x in root)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    folder = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    release(out, spark.range(1))
+    assert not os.path.exists(folder)

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised by lower-casing A-Z and collapsing white space. Equal lines meet by hash, combined within every task first.
-Distinct lines get a 64-bit SimHash of their word pairs, cut into RADIUS + 2 blocks; lines within RADIUS bits agree in two
-blocks at least, so every pair of blocks is a key of the join. Pairs within RADIUS bits are verified by
+Distinct lines get a 64-bit SimHash of their word pairs, cut into RADIUS + 2 blocks (more of them for over 50 million lines, see block_keys);
+lines within RADIUS bits agree in two blocks at least, so every pair of blocks is a key of the join. Pairs within RADIUS bits are verified by
 edit similarity. Of each connected group one occurrence stays: the first by document id and line number.
 """
 
@@ -99,12 +99,17 @@ def trimmed(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ta string, tb string, longer int")
 
 
-def block_keys(radius: int = RADIUS) -> str:
-    """SQL: the keys of a SimHash ``sim``, one for each two of radius + 2 blocks."""
-    edges = np.linspace(0, 64, radius + 3).astype(int)
+def block_keys(radius: int = RADIUS, count: int = 0) -> str:
+    """SQL: the keys of a SimHash ``sim``, one for each ``agree`` of radius + agree blocks, for within ``radius`` bits so many agree.
+
+    ``agree`` is two, or as many more as keys need to have log2(count) bits, so that unrelated ones of ``count`` fingerprints seldom share a key."""
+    agree = 2
+    while 64 * agree < (radius + agree) * np.log2(max(count, 2)) and agree < 6:
+        agree += 1
+    edges = np.linspace(0, 64, radius + agree + 1).astype(int)
     masks = [((1 << int(hi)) - 1) ^ ((1 << int(lo)) - 1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-    pairs = [a | b for a, b in combinations(masks, 2)]
-    keys = [f"xxhash64({i}, sim & {m - (1 << 64) if m >> 63 else m}L)" for i, m in enumerate(pairs)]
+    groups = [sum(some) for some in combinations(masks, agree)]
+    keys = [f"xxhash64({i}, sim & {m - (1 << 64) if m >> 63 else m}L)" for i, m in enumerate(groups)]
     return "array(" + ", ".join(keys) + ")"
 
 
@@ -115,7 +120,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     scan = cut(scan_lines(docs, min_words), "lines")
     occur = scan.where("not again")
     first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"), F.first("sim").alias("sim")), "first")
-    keys = first.select(F.explode(F.expr(block_keys(radius))).alias("key"), F.col("hash").alias("node"))
+    keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
 
     def verify(near: DataFrame) -> DataFrame:
         own = first.select("hash", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
