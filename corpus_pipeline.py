@@ -20,7 +20,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; a document that loses all its words to that goes."""
-    out = lines.dedup_lines(docs, removed_col="__removed")
+    out = lines.dedup_lines(docs, radius=None, removed_col="__removed")
     bare = (F.size("__removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.size("__removed") > 0
     out = out.where(~F.coalesce(bare, F.lit(False))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))

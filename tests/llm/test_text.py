@@ -184,6 +184,41 @@ def test_line_groups_match_all_pairs(spark):
     assert lines.dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_reaches_the_edit_similarity(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10)))
+    common = [word() for _ in range(30)]
+    texts = []
+    for size in [5, 7, 10, 15, 25, 40, 80, 200] * 12:
+        base = [rng.choice(common) if rng.random() < 0.4 else word() for _ in range(size)]
+        texts.append(" ".join(base))
+        for share in (0, 0.05, 0.1, 0.15):  # one changed word at least, up to about the stated similarity
+            own = list(base)
+            for i in rng.sample(range(size), max(1, int(share * size))):
+                own[i] = word()
+            texts.append(" ".join(own))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in lines.dedup_lines(df, radius=None).collect() if r.removed_lines}
+    pairs = spark.createDataFrame([(i, j, texts[i], texts[j]) for g in range(0, len(texts), 5) for i in range(g, g + 5) for j in range(i + 1, g + 5)], "i int, j int, x string, y string")
+    near = [(r.i, r.j) for r in pairs.where("levenshtein(x, y) <= 0.2 * greatest(length(x), length(y)) + 1e-9").collect()]
+    root = list(range(len(texts)))
+    for i, j in near:
+        a, b = sorted((root[i], root[j]))
+        root = [a if x == b else x for x in root]
+    want = {i for i, x in enumerate(root) if x != i}
+    assert len(want) > 300 and got <= want  # bases are unrelated: only copies of one base are near
+    assert len(got) >= 0.97 * len(want), (len(got), len(want))
+    short = [i for i in want if len(texts[i].split()) <= 15]
+    assert len(got & set(short)) >= 0.9 * len(short), (len(got & set(short)), len(short))
+
+
+def test_equal_short_lines_go(spark):
+    df = spark.createDataFrame([(1, "see also\n\nA  b c"), (2, "See  Also\n\nsee alsp\na b d"), (2, "See  Also\n\nsee alsp\na b d"), (3, "a b c\na b c\n"), (4, None), (None, "see also")], "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in lines.dedup_lines(df, radius=None).collect()}
+    assert got == {(1, "see also\n\nA  b c"), (2, "\nsee alsp\na b d"), (3, ""), (4, None), (None, "see also")}
+    assert lines.dedup_lines(df.where("false"), radius=None).count() == 0
+
+
 def test_trimmed_keeps_the_edit_distance(spark):
     pairs = [("", ""), ("abc", "abc"), ("aaa", "aa"), ("xaby", "xacby"), ("éa𝄞b", "éc𝄞b"), ("abab", "ab"), ("", "q"), ("one two three", "one too three")]
     df = spark.createDataFrame([(i, i, x, y) for i, (x, y) in enumerate(pairs)], "a long, b long, ta string, tb string")

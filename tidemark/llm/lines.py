@@ -4,6 +4,11 @@ A line is normalised by lower-casing A-Z and collapsing white space. Equal lines
 Distinct lines get a 64-bit SimHash of their word pairs, cut into RADIUS + 2 blocks (more of them for over 50 million lines, see block_keys);
 lines within RADIUS bits agree in two blocks at least, so every pair of blocks is a key of the join. Pairs within RADIUS bits are verified by
 edit similarity. Of each connected group one occurrence stays: the first by document id and line number.
+
+That radius reaches a changed word only in long lines. With ``radius=None``, as the query and the pipeline have it, candidates reach as far
+as the edit similarity does: the SimHash takes words and REACH bits, which blocks can't serve, so keys are minima of hashes over a line's
+words, each word weighing its length as it does in the edit distance. Of pairs that share two thirds of their
+letters, BANDS keys of ROWS minima each miss one in a thousand, of those that share half, 7%. Lines of fewer than ``min_words`` words then meet if they are equal.
 """
 
 from __future__ import annotations
@@ -17,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import bucket_stars, similarity_groups
+from .graph import bucket_stars, similarity_groups, stars
 from .shared import broadcast_if_small, cut, release, small_batches
 
 U = np.uint64
 RADIUS, MIN_WORDS, SIMILARITY = 3, 5, 0.8
+REACH, ROWS, BANDS = 22, 3, 20
+#: Of the minima, four bits each make a sketch; pairs in which more than APART of the ROWS * BANDS minima differ are sifted out.
+APART, NIBBLES = 42, 15
+WIDTH = BANDS + ROWS * BANDS // NIBBLES + 1
 _INV = pow(K._STEP, -1, 1 << 64)
 
 
@@ -46,6 +55,77 @@ def lines_of(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarr
     return doc, number, h, K.simhash_spans(pairs, a, np.maximum(b - 1, a + 1))
 
 
+def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -> tuple[np.ndarray, ...]:
+    """(text number, line number, hash, SimHash of the words, row of keys or -1, keys, with the sketch and the length after them) of all lines with a word. Only lines whose hash is not
+    in ``seen``, to which it is added, and of ``min_words`` words or more have keys and a SimHash."""
+    doc, number, h, _ = lines_of(raw, off, 1)
+    sim, row = np.zeros(len(h), U), np.full(len(h), -1)
+    w = K.words(raw, off)
+    edge = np.unique(np.concatenate([off, np.flatnonzero(raw == 10)]))
+    a = np.unique(np.searchsorted(w.start, edge))
+    a = a[a < len(w.start)]
+    n = np.diff(np.append(a, len(w.start)))
+    _, once = np.unique(h, return_index=True)
+    new = np.array([i for i in once.tolist() if n[i] >= min_words and int(h[i]) not in seen], np.int64)
+    if not len(new):
+        return doc, number, h, sim, row, np.zeros((0, WIDTH), U)
+    seen.update(h[new].tolist())
+    first = np.concatenate([[0], np.cumsum(n[new])])
+    take = np.arange(first[-1]) + np.repeat(a[new] - first[:-1], n[new])
+    own, length = w.hash[take], (w.end - w.start)[take].astype(U)
+    sim[new], row[new] = K.simhash_spans(own, first[:-1], first[1:]), np.arange(len(new))
+    keys = np.zeros((len(new), WIDTH), U)
+    letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    keys[:, -1] = np.add.reduceat((letters[w.end] - letters[w.start])[take] + 1, first[:-1]) - 1
+    for i in range(BANDS):
+        for j in range(ROWS * i, ROWS * i + ROWS):
+            least = np.minimum.reduceat(K.mix(own + U((j + 1) * K._STEP & (1 << 64) - 1)) // length, first[:-1])
+            keys[:, i] = K.mix(keys[:, i] + least)
+            keys[:, BANDS + j // NIBBLES] |= (K.mix(least) & U(15)) << U(4 * (j % NIBBLES))
+        keys[:, i] = K.mix(keys[:, i] + U(i))
+    return doc, number, h, sim, row, keys
+
+
+def scan_reach(docs: DataFrame, min_words: int) -> DataFrame:
+    """scan_lines for all lines with a word, with the keys that reach_of gives (an empty array for lines of fewer than ``min_words`` words, none for rows with ``again``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, keys, count, seen = [], [np.zeros((0, WIDTH), U)], 0, set()
+        for batch in batches:
+            raw, off = K.text_buffers(batch.column(1))
+            ids, at = batch.column(0).to_numpy(), 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
+                doc, number, h, sim, row, own = reach_of(raw[off[at] : off[to]], off[at : to + 1] - off[at], min_words, seen)
+                got.append((ids[at + doc] if len(doc) else np.zeros(0, np.int64), number, h, sim, np.where(row >= 0, row + count, -1)))
+                keys.append(own)
+                count += len(own)
+                at = to
+        if not got:
+            return
+        ids, number, h, sim, row = (np.concatenate(x) for x in zip(*got, strict=True))
+        if not len(h):
+            return
+        order = np.lexsort((number, ids, h))
+        ids, number, h, sim, row = ids[order], number[order], h[order], sim[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        start = np.flatnonzero(new)
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        same = (ids == ids[lead]) & (number == number[lead])  # the row of a repeated id: the same occurrence
+        sim[start], row[start] = np.maximum.reduceat(sim, start), np.maximum.reduceat(row, start)  # one occurrence has them
+        keys = np.concatenate(keys)
+        for i in range(0, len(h), 20_000):
+            s = slice(i, i + 20_000)
+            keep = new[s] | ~same[s]
+            cols = [pa.array(c[keep]) for c in (ids[s], number[s].astype(np.int32), K.signed(h[s]), K.signed(sim[s]), ~new[s])]
+            r = np.where(new[s], row[s], -1)[keep]
+            first = np.concatenate([[0], np.cumsum(np.where(r >= 0, WIDTH, 0))])
+            yield pa.record_batch([*cols, K.lists(pa.array(K.signed(keys[r[r >= 0]].reshape(-1))), first)], ["id", "line", "hash", "sim", "again", "keys"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, line int, hash long, sim long, again boolean, keys array<long>")
+
+
 def scan_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(id, line, hash, sim, again): each task's first occurrence of each line, and, with ``again``, those that follow it."""
 
@@ -77,8 +157,10 @@ def scan_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, line int, hash long, sim long, again boolean")
 
 
-def trimmed(pairs: DataFrame) -> DataFrame:
-    """(a, b, ta, tb, longer): ``pairs`` of texts without their common start and end, which leaves the edit distance as it is; ``longer`` is the greater length before that."""
+def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """(a, b, ta, tb, longer): ``pairs`` of texts without their common start and end, which leaves the edit distance as it is; ``longer`` is the greater length before that.
+
+    With ``similarity``, texts that reach it by putting words for words are left empty, for they need no more counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +173,12 @@ def trimmed(pairs: DataFrame) -> DataFrame:
                 rest = least - start
                 apart = np.flatnonzero(p[len(p) - rest :][::-1] != q[len(q) - rest :][::-1])
                 end = int(apart[0]) if len(apart) else rest
-                left.append(x[start : len(x) - end])
-                right.append(y[start : len(y) - end])
+                if similarity is not None:
+                    u, v = x[start : len(x) - end].split(" "), y[start : len(y) - end].split(" ")
+                    if len(u) == len(v) and sum(max(len(m), len(n)) for m, n in zip(u, v, strict=True) if m != n) <= (1 - similarity) * max(len(x), len(y)) + 1e-9:
+                        start, end = least, max(len(x), len(y))
+                left.append(x[start : max(start, len(x) - end)])
+                right.append(y[start : max(start, len(y) - end)])
                 longer.append(max(len(x), len(y)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(longer, pa.int32())], ["a", "b", "ta", "tb", "longer"])
 
@@ -113,14 +199,16 @@ def block_keys(radius: int = RADIUS, count: int = 0) -> str:
     return "array(" + ", ".join(keys) + ")"
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
     """(id, removed): for each document that loses lines, their numbers (from 0) in order. ``docs``: (id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.where("id is not null")
-    scan = cut(scan_lines(docs, min_words), "lines")
+    scan = cut(scan_lines(docs, min_words) if radius is not None else scan_reach(docs, min_words), "lines")
     occur = scan.where("not again")
-    first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"), F.first("sim").alias("sim")), "first")
-    keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
+    extra = [F.first("keys").alias("keys")] if radius is None else []
+    first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"), F.first("sim").alias("sim"), *extra), "first")
+    own_keys = F.slice("keys", 1, BANDS) if radius is None else F.expr(block_keys(radius, first.count()))
+    keys = first.select(F.explode(own_keys).alias("key"), F.col("hash").alias("node"))
 
     def verify(near: DataFrame) -> DataFrame:
         own = first.select("hash", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
@@ -130,16 +218,25 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w"))
         norm = F.lower(F.trim(F.regexp_replace(F.col("all")[F.col("w.line")], r"[\x20\x09-\x0D]+", " ")))
         texts = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
-        both = trimmed(near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b"))
+        pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+        if radius is None:
+            pairs = pairs.where(f"least(length(ta), length(tb)) >= {similarity:.6f} * greatest(length(ta), length(tb)) - 1e-9")
+        both = trimmed(pairs, similarity if radius is None else None)
         most = f"cast(floor({1 - similarity:.6f} * longer + 1e-9) as int)"
         out = cut(both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b"), "links")
         release(want, texts)
         return out
 
-    marks = first.select(F.col("hash").alias("node"), F.col("sim").alias("m"))
-    raw = bucket_stars(keys)
-    comp, links = similarity_groups(raw, marks, f"bit_count(ma ^ mb) <= {radius}", verify)
-    release(raw, links)
+    marks, close = first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
+    if radius is None:
+        marks = cut(first.where("size(keys) > 0").selectExpr("hash as node", f"struct(sim, slice(keys, {BANDS + 1}, {WIDTH - BANDS - 1}) as s, keys[{WIDTH - 1}] as n) as m"), "marks")
+        bits = [f"(ma.s[{i}] ^ mb.s[{i}])" for i in range(WIDTH - BANDS - 1)]
+        differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
+        close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
+    # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
+    raw = bucket_stars(keys) if radius is not None else cut(stars(keys, "xxhash64(node)"), "stars")
+    comp, links = similarity_groups(raw, marks, close, verify)
+    release(raw, links, marks)
     rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
     keep = first.join(kept, "hash", "left").select("hash", F.coalesce("keep", "first").alias("keep"))
@@ -150,11 +247,11 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     return gone
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int | None = RADIUS, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
     """``docs`` with the removed lines taken out of the text, and their numbers (array<int>) in ``removed_col``, which replaces a column of that name.
 
     Lines end at ``\\n``; lines of fewer than ``min_words`` words stay, however often they occur. Lines link if their SimHashes differ in ``radius`` bits at most
-    and their edit similarity (1 - distance / longer length, of the normalised lines) is ``similarity`` or more; equal lines always link. Null texts stay null,
+    and their edit similarity (1 - distance / longer length, of the normalised lines) is ``similarity`` or more; equal lines always link. With ``radius`` None the bits are REACH of the words' SimHash, and short lines go if they are equal to an earlier one. Null texts stay null,
     rows with a null id stay as they are and take no part. Rows of equal id are one document for what counts as an occurrence.
     Other columns are kept."""
     own = docs.drop(removed_col)
