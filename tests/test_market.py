@@ -98,3 +98,31 @@ def test_slices_chain(spark):
     for _, own in rows.groupby("instrument"):
         span = own.groupby("slice").ts_us.agg(["min", "max", "count"])
         assert (span["count"] <= 50).all() and (span["min"].iloc[1:].to_numpy() > span["max"].iloc[:-1].to_numpy()).all()
+
+
+def test_overfitting_takes_all_hours(spark, duck):
+    import math
+    from itertools import combinations
+    from statistics import mean, stdev
+
+    bars = duck.sql(f"WITH {market.T}, {market.bars_sql(market.HOUR)} SELECT instrument, bucket_us, close::DOUBLE / open::DOUBLE - 1 FROM b").fetchall()
+    trials = sorted({b[0] for b in bars})
+    lo, hi = max(min(b[1] for b in bars if b[0] == t) for t in trials), min(max(b[1] for b in bars if b[0] == t) for t in trials)
+    r = {(t, h): x for t, h, x in bars}
+    panel = {t: [r.get((t, h), 0.0) for h in range(lo, hi + 1, market.HOUR)] for t in trials}
+    assert len(panel[trials[0]]) > 600
+
+    def brute(panel):
+        length, out = len(next(iter(panel.values()))), {}
+        for split, chosen in enumerate(combinations(range(6), 3)):
+            sharpe = {(t, side): mean(h) / stdev(h) for t, x in panel.items() for side in (True, False) for h in [[v for i, v in enumerate(x) if (i * 6 // length in chosen) is side]]}
+            winner = min(panel, key=lambda t: (-sharpe[t, True], t))
+            rank = 1 + sum(sharpe[t, False] < sharpe[winner, False] for t in panel)
+            out[split] = (winner, float(rank), round(math.log(rank / (len(panel) + 1) / (1 - rank / (len(panel) + 1))), 6))
+        return out
+
+    found = lambda f: {x.split: (x.winner, x["rank"], round(x.logit, 6)) for x in f.collect()}
+    assert found(market.backtest_overfitting(spark, GATE)) == brute(panel)
+    odd = {t: x[:101] for t, x in panel.items()}  # six does not divide it
+    rows = spark.createDataFrame([(t, i, v) for t, x in odd.items() for i, v in enumerate(x)], "trial string, pos int, r double")
+    assert found(validation.overfitting(rows, 6)) == brute(odd)

@@ -90,21 +90,21 @@ def deflated_sharpe(sharpe: float, t: int, skew: float, kurtosis: float, deviati
 def overfitting(panel: DataFrame, blocks: int) -> DataFrame:
     """One row per split of the blocks into halves: in-sample winner, its mean out-of-sample rank and logit.
 
-    ``panel``: trial, pos (0-based), r, equal length for every trial and a multiple of ``blocks``. Block sums are grouped first;
+    ``panel``: trial, pos (0-based), r, equal length for every trial. Block edges are dealt over the whole length: blocks differ by one observation at most. Block sums are grouped first;
     splits (a fixed, small list) meet blocks, not observations. Means and deviations follow from counts, means and squared deviations of blocks."""
     spark = panel.sparkSession
     per_trial = panel.groupBy("trial").agg(F.count("*").alias("n"))
     least, length, trials = per_trial.agg(F.min("n"), F.max("n"), F.count("*")).first()
     if trials < 2 or least != length:
         raise ValueError("at least two trials of equal length are needed")
-    if blocks < 4 or blocks % 2 or length % blocks or length // blocks * (blocks // 2) < 2:
-        raise ValueError("blocks must be even, at least 4, and divide the observations")
-    size = length // blocks
-    own = panel.groupBy("trial", F.floor(F.col("pos") / size).cast("int").alias("block")).agg(F.count("*").alias("n"), F.avg("r").alias("m"), (F.var_pop("r") * F.count("*")).alias("s2"))
+    if blocks < 4 or blocks % 2 or length < blocks or length // blocks * (blocks // 2) < 2:
+        raise ValueError("blocks must be even, at least 4, and no more than the observations")
+    own = panel.groupBy("trial", F.expr(f"cast(pos * {blocks}L div {length} as int)").alias("block")).agg(F.count("*").alias("n"), F.avg("r").alias("m"), (F.var_pop("r") * F.count("*")).alias("s2"))
     splits = [(i, b, b in chosen) for i, chosen in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
     table = F.broadcast(spark.createDataFrame(splits, "split int, block int, inside boolean"))
-    half = own.join(table, "block").groupBy("split", "trial", "inside").agg(F.sum("n").alias("n"), F.avg("m").alias("mean"), F.sum("s2").alias("s2"), (F.var_pop("m") * F.count("*")).alias("between"))
-    half = half.withColumn("sharpe", F.col("mean") / F.nullif(F.sqrt((F.col("s2") + F.col("between") * size) / (F.col("n") - 1)), F.lit(0.0)))
+    half = own.join(table, "block").groupBy("split", "trial", "inside").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum("s2").alias("s2"), F.collect_list(F.struct("n", "m")).alias("parts"))
+    half = half.withColumn("between", F.expr("aggregate(parts, 0D, (a, x) -> a + x.n * (x.m - mean) * (x.m - mean))"))
+    half = half.withColumn("sharpe", F.col("mean") / F.nullif(F.sqrt((F.col("s2") + F.col("between")) / (F.col("n") - 1)), F.lit(0.0)))
     inside = half.where("inside").groupBy("split").agg(F.max_by("trial", F.struct("sharpe", F.lit("~").alias("x"))).alias("any"), F.max("sharpe").alias("top"))
     winner = half.where("inside").join(inside.select("split", "top"), "split").where("sharpe = top").groupBy("split").agg(F.min("trial").alias("trial"))
     w = Window.partitionBy("split").orderBy("sharpe")

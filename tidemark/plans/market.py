@@ -262,6 +262,16 @@ def _returns(spark, sf_dir):
     return bars.select(F.col("instrument").alias("trial"), (F.row_number().over(w) - 1).alias("pos"), (F.col("close").cast("double") / F.col("open").cast("double") - 1).alias("r"))
 
 
+def _panel(spark, sf_dir):
+    """The returns of every hour of the span that all instruments share; an hour without trades returns 0."""
+    bars = representation.candles(trades(spark, sf_dir), HOUR)
+    span = bars.groupBy("instrument").agg(F.min("bucket_us").alias("lo"), F.max("bucket_us").alias("hi"))
+    hours = span.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")).where("lo <= hi").select(F.posexplode(F.sequence("lo", "hi", F.lit(HOUR))).alias("pos", "bucket_us"))
+    grid = span.select("instrument").crossJoin(F.broadcast(hours))
+    r = F.col("close").cast("double") / F.col("open").cast("double") - 1
+    return grid.join(bars, ["instrument", "bucket_us"], "left").select(F.col("instrument").alias("trial"), "pos", F.when(F.col("open").isNull(), 0.0).otherwise(r).alias("r"))
+
+
 RETURNS = RETURNS.replace("(close / open)::DOUBLE - 1", "close::DOUBLE / open::DOUBLE - 1")
 
 
@@ -278,7 +288,7 @@ wi AS (SELECT split, arg_min(trial, (-sr, trial)) AS winner FROM h WHERE inside
 rk AS (SELECT split, trial, count(*) OVER (PARTITION BY split) AS n, row_number() OVER (PARTITION BY split ORDER BY sr) AS p, sr FROM h WHERE NOT inside)
 SELECT rk.split::INTEGER AS split, winner, p::DOUBLE AS rank, round(ln((p / (n + 1)) / (1 - p / (n + 1))), 9) AS logit FROM rk JOIN wi ON wi.split = rk.split AND wi.winner = rk.trial""")
 def backtest_overfitting(spark, sf_dir):
-    return validation.overfitting(_returns(spark, sf_dir).where("pos < 60"), 6).withColumn("logit", F.round("logit", 9))
+    return validation.overfitting(_panel(spark, sf_dir), 6).withColumn("logit", F.round("logit", 9))
 
 
 @query("""WITH p AS (SELECT l.quality AS label, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
