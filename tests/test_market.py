@@ -126,3 +126,22 @@ def test_overfitting_takes_all_hours(spark, duck):
     odd = {t: x[:101] for t, x in panel.items()}  # six does not divide it
     rows = spark.createDataFrame([(t, i, v) for t, x in odd.items() for i, v in enumerate(x)], "trial string, pos int, r double")
     assert found(validation.overfitting(rows, 6)) == brute(odd)
+
+
+def test_centroid_baseline_takes_all_components(spark, duck):
+    import numpy as np
+
+    rows = duck.sql("SELECT vec_id, label, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids, labels, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    assert x.shape[1] == 64
+    train = ids % 5 != 0
+    scale = x[train].std(axis=0)
+    z = (x - x[train].mean(axis=0)) / np.where(scale < 1e-12, 1, scale)
+    classes = sorted(set(labels[train].tolist()))
+    centres = np.array([z[train & (labels == c)].mean(axis=0) for c in classes])
+    score = 1 / (1 + ((z[~train][:, None] - centres[None]) ** 2).sum(axis=2))
+    p = score / score.sum(axis=1, keepdims=True)
+    got = {r.sample_id: (r.label, r.p) for r in market.centroid_baseline(spark, GATE).collect()}
+    assert sorted(got) == ids[~train].tolist()
+    for i, own in zip(ids[~train].tolist(), p, strict=True):
+        assert got[i][0] == classes[int(own.argmax())] and abs(got[i][1] - own.max()) < 1e-7

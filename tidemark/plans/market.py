@@ -309,7 +309,7 @@ pr AS (SELECT sample_id, label, 1 / (1 + d2) / sum(1 / (1 + d2)) OVER (PARTITION
 
 @query(f"WITH {_SAMPLES} SELECT sample_id, label, round(p, 8) AS p FROM pr QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, label) = 1")
 def centroid_baseline(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", (F.col("vec_id") % 5 != 0).alias("train"), F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "x")).withColumn("x", F.col("x").cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", (F.col("vec_id") % 5 != 0).alias("train"), F.posexplode("embedding").alias("feature", "x")).withColumn("x", F.col("x").cast("double"))
     fitted = learning.fit_normalizer(rows.where("train"))
     scaled = learning.normalize(rows, fitted)
     centres = learning.centroids(scaled.where("train").withColumn("w", F.lit(1.0)))
