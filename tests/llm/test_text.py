@@ -93,6 +93,19 @@ def test_jaccard_join_is_exact(spark, k, percent):
     assert ngram_join.jaccard_join(empty, k, percent)["groups"].count() == 0
 
 
+def test_jaccard_join_gives_all_links(spark):
+    base = [f"h{i}" for i in range(60)]
+    rows = [(5000 + i, " ".join(base[:at] + [f"y{i}"] + base[at + 1 :])) for i, at in enumerate([0, 1, 2, 58, 59] * 4)] + near_copies(12)
+    rows = [r for r in rows if r[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.jaccard_join(df, 5, 80, all_links=True)
+    names = {r.id: r["class"] for r in out["members"].collect() if r["class"] is not None}
+    sets = {names[i]: set(grams(t, 5)) for i, t in rows if i in names}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = [(r.a, r.b) for r in out["links"].collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_leaks_match_all_windows(spark):
     rng = random.Random(1)
     items = [(i, " ".join(f"b{rng.randint(0, 300)}" for _ in range(rng.choice([2, 8, 20, 35])))) for i in range(25)]

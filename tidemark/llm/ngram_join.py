@@ -5,7 +5,8 @@ no more bits than the sets differ in tokens. At Jaccard similarity t, sets of a
 r = (1 - t) / (1 + t) * (a + b) tokens; a sketch cut into r + 2 blocks hence agrees in two blocks at least. The
 documents of two neighbouring size bands share a cutting. A block with two or more tokens is a key of the join; blocks of
 fewer tokens, which many documents share, are keys in pairs only: of two equal blocks either one is rich or
-both are poor. No pair at or above t is lost; candidates are verified on the sets themselves.
+both are poor. All pairs at or above t meet in a bucket; candidates are verified on the sets
+themselves. Groups come from links that span them, unless all links are asked for.
 """
 
 from __future__ import annotations
@@ -110,11 +111,12 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, h, first
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", all_links: bool = False) -> dict[str, DataFrame]:
     """Documents whose sets of distinct k-word shingles have Jaccard similarity of at least ``percent`` / 100.
 
     Returns ``members`` (id, n_shingles, class), ``links`` (a, b: pairs of classes) and ``groups`` (id, n_shingles,
-    component_id). A class is a set of shingles, named by a 64-bit hash of it; all copies share it and are
+    component_id). With ``all_links``, links are all pairs of different classes at or above the threshold, up to the square of a group's size;
+    without it they are only as many of these as span the groups, for which no group's pairs need be formed. A class is a set of shingles, named by a 64-bit hash of it; all copies share it and are
     compared once. Null and word-less texts have n_shingles 0 and no class: they link with nothing and are their
     own component. Rows with a null id get the component of their class (null if it has no other id). Repeated rows are
     kept; a repeated id is one document. Other columns are ignored. An empty table gives empty tables."""
@@ -144,7 +146,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                 )
 
     table = cut(src.mapInArrow(scan, "id long, n_shingles long, class long, sift array<long>, keys array<long>"), "sketch")
-    raw = bucket_stars(table.select(F.explode("keys").alias("key"), F.col("class").alias("node")))
+    entries = table.select(F.explode("keys").alias("key"), F.col("class").alias("node"))
+    if all_links:
+        entries = cut(entries.where("node is not null").distinct(), "entries")
+    raw = bucket_stars(entries)
     marks = table.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.struct(F.first("n_shingles").alias("n"), F.first("sift").alias("s")).alias("m"))
     marks = cut(marks, "marks")
     members = cut(table.select("id", "n_shingles", "class"), "members")
@@ -178,6 +183,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     differ = " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT))  # at most what the sets differ in
     near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({differ}) * {den + num} <= (ma.n + mb.n) * {den - num}"
     comp, links = similarity_groups(raw, marks, near, verify)
+    if all_links:
+        side = lambda node, mark: entries.select("key", F.col("node").alias(node)).join(marks.toDF(node, mark), node)
+        pairs = cut(side("a", "ma").join(side("b", "mb"), "key").where("a < b").where(near).select("a", "b").distinct(), "pairs")
+        links = verify(pairs)
+        release(entries, pairs)
     release(raw, marks)
     least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     rooted = least.join(comp.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "least")
