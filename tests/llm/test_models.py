@@ -59,6 +59,20 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.where("false"), df, 10).count() == 0 and topk.top_k(df, df.where("false"), 10).count() == 0
 
 
+def test_top_k_takes_queries_of_another_table(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    queries = [(1000 + i, (5 + rng.normal(size=6)).tolist()) for i in range(20)] + vectors[:3] + [(3000, vectors[5][1]), (7, [9.0] * 6)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(frame(vectors), frame(queries), 5).collect()}
+    scaled = lambda v: [int(np.floor(1024 * x)) for x in v]
+    want = set()
+    for q, v in queries:
+        best = sorted((-sum(a * b for a, b in zip(scaled(v), scaled(w), strict=True)), i) for i, w in vectors if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == want and len(got) == 5 * len(queries)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Vocabulary()

@@ -123,13 +123,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     out = None
     for part in range(parts):
         got = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").toArrow().combine_chunks()
+        mine = spark.createDataFrame(pa.Table.from_batches([got]) if isinstance(got, pa.RecordBatch) else got)
+        there = rows.join(F.broadcast(mine), ["id", "v"]).select("id").distinct().toArrow().column("id").to_numpy()  # queries that are candidates too
         block = quantise(got.column("v").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())), got.column("id").to_numpy(), scale)
         held = {}
         for d, (ids, points) in block.items():
             floor = np.full(len(ids), -np.inf)
-            if len(ids) > k:
+            known = np.isin(ids, there)
+            if known.sum() > k:
                 for q in range(len(ids)):
                     s = points @ points[q]
+                    s[~known] = -np.inf
                     s[q] = -np.inf
                     floor[q] = np.partition(s, len(s) - k)[len(s) - k]
             held[d] = (ids, points, floor)
