@@ -2,16 +2,19 @@
 
 A document's tokens are its distinct word shingles. Each token flips one bit of a bit sketch, so two sketches differ in
 no more bits than the sets differ in tokens. At Jaccard similarity t, sets of a and b tokens differ in at most
-r = (1 - t) / (1 + t) * (a + b) tokens; a sketch cut into r + 2 blocks hence agrees in two blocks at least. The
-documents of two neighbouring size bands share a cutting. A block with two or more tokens is a key of the join; blocks of
-fewer tokens, which many documents share, are keys in pairs only: of two equal blocks either one is rich or
-both are poor. All pairs at or above t meet in a bucket; candidates are verified on the sets
+r = (1 - t) / (1 + t) * (a + b) tokens; a sketch cut into r + q blocks hence agrees in q blocks at least. The
+documents of two neighbouring size bands share a cutting. A block with two or more tokens is a key of the join. Blocks of
+fewer tokens, which many documents share, matter only to documents with q or more of them; there they are keys in pairs, and as
+q of them agree, two are among the first that an order common to all leaves (all but q - 2). In bands of long documents, where that would be
+more, r / 2 + q blocks serve: in q of them the sets differ by one token at most, so keys are the blocks and the blocks
+without any one token, in proportion to the length. All pairs at or above t meet in a bucket; candidates are verified on the sets
 themselves. Groups come from links that span them, unless all links are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,29 +36,63 @@ def bands(num: int, den: int, top: int) -> np.ndarray:
     return np.array(low)
 
 
+def _poor(n: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The expected share of ``blocks`` that have less than two of ``n`` tokens."""
+    c = n / blocks
+    return np.exp(-c) * (1 + c)
+
+
+@lru_cache
+def cuttings(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower ends of the bands, and by band: radius, blocks, spare, single). A pair whose smaller set is in the band differs in at most
+    ``radius`` tokens, so at least ``spare`` blocks agree; with ``single``, they differ in one token at most.
+    Of all cuttings the one with the fewest expected keys is taken."""
+    low = bands(num, den, top)
+    most = low[1:] - 1
+    radius = (den - num) * (most + most * den // num) // (den + num)
+    sizes = np.array([low[:-1], (low[:-1] + most) / 2, most, most * den / num])  # of sets that use this cutting
+    best = np.full(len(most), np.inf)
+    blocks, spare, single = np.zeros_like(radius), np.zeros_like(radius), np.zeros(len(most), bool)
+    for share in (0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6):
+        q = 2 + (radius * share).astype(int)
+        m = radius + q
+        p = _poor(sizes, m)
+        mean, dev = m * p - q + 2, np.sqrt(m * p * (1 - p)) + 1e-9
+        z = mean / dev
+        tail, bell = 1 / (1 + np.exp(-1.702 * z)), np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+        pairs = ((mean * mean + dev * dev) * tail + mean * dev * bell) / 2
+        cost = (m * (1 - p) + 2 * pairs).mean(axis=0)
+        better = cost < best
+        best[better], blocks[better], spare[better] = cost[better], m[better], q[better]
+    q = 2 + radius // 20
+    m = radius // 2 + q
+    better = (sizes + m).mean(axis=0) < best
+    blocks[better], spare[better], single[better] = m[better], q[better], True
+    return low, radius, blocks, spare, single
+
+
 def sketch_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, first) of documents with the distinct tokens ``h[first[d]:first[d+1]]``."""
     n = np.diff(first)
     if not len(h):
         return np.zeros(0, U), first * 0
-    low = bands(num, den, int(n.max()))
+    top = 64
+    while top < int(n.max()):
+        top *= 8  # few different tables
+    low, radius, by_band, spares, singles = cuttings(num, den, top)
     band = np.searchsorted(low, n, "right") - 1
     out_key, out_doc = [], []
     for back in (0, 1):
         group = band - back
         ok = (n > 0) & (group >= 0)
-        most = low[np.clip(group, 0, None) + 1] - 1  # the larger size of band ``group``
-        largest = most + most * den // num
-        radius = (den - num) * largest // (den + num)
-        ok &= radius > 0
-        blocks = np.where(ok, radius + 2, 0)
+        group = np.clip(group, 0, None)
+        ok &= radius[group] > 0
+        blocks, spare, single = np.where(ok, by_band[group], 0), spares[group], singles[group]
         at = np.concatenate([[0], np.cumsum(blocks)])
         if not at[-1]:
             continue
-        token_blocks = np.repeat(blocks, n).astype(U)
-        t = h if ok.all() else h[np.repeat(ok, n)]
-        token_blocks = token_blocks if ok.all() else token_blocks[np.repeat(ok, n)]
-        where = (((t >> U(32)) * token_blocks) >> U(32)).astype(np.int64) + np.repeat(at[:-1], np.where(ok, n, 0))
+        t, token_doc = (h, np.repeat(np.arange(len(n)), n)) if ok.all() else (h[np.repeat(ok, n)], np.repeat(np.flatnonzero(ok), n[ok]))
+        where = (((t >> U(32)) * blocks[token_doc].astype(U)) >> U(32)).astype(np.int64) + at[token_doc]
         bit = K.mix((t & U(0xFFFFF)) + U(1))  # which of 2**20 bits of the block it flips
         word = np.zeros(at[-1], U)
         np.bitwise_xor.at(word, where, bit)  # two flips of a bit cancel: parity
@@ -64,13 +101,18 @@ def sketch_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         number = (np.arange(at[-1]) - np.repeat(at[:-1], blocks)).astype(U)
         salt = K.mix(((group[doc] + 1).astype(U) << U(40)) | number)
         key = K.mix(word ^ salt)
-        rich = count >= 2
+        lean = count < np.where(single[doc], 3, 2)
+        poor_of = np.bincount(doc[lean], minlength=len(n))
+        weak = ok & (poor_of >= spare)  # all blocks that agree may be poor
+        rich = (count >= 2) | (single & weak)[doc]
         out_key.append(key[rich])
         out_doc.append(doc[rich])
-        poor = np.flatnonzero(~rich)
-        own = np.searchsorted(doc[poor], np.arange(len(n) + 1))
-        for d in np.flatnonzero(np.diff(own) > 1).tolist():
-            k = key[poor[own[d] : own[d + 1]]]
+        if single.any():
+            left = single[token_doc] & ((count[where] >= 3) | weak[token_doc])
+            out_key.append(K.mix(word[where[left]] ^ bit[left] ^ salt[where[left]]))  # the block without this token
+            out_doc.append(token_doc[left])
+        for d in np.flatnonzero(weak & ~single).tolist():
+            k = np.sort(key[at[d] : at[d + 1]][lean[at[d] : at[d + 1]]])[: poor_of[d] - spare[d] + 2]  # two that agree are among these
             i, j = np.triu_indices(len(k), 1)
             out_key.append(K.mix(k[i] * U(3) + k[j]))
             out_doc.append(np.full(len(i), d))
@@ -111,6 +153,11 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, h, first
 
 
+def classes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each document's set."""
+    return K.signed(K.mix(K.segment_sum(K.mix(h), first) + np.diff(first).astype(U)))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", all_links: bool = False) -> dict[str, DataFrame]:
     """Documents whose sets of distinct k-word shingles have Jaccard similarity of at least ``percent`` / 100.
 
@@ -119,7 +166,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     without it they are only as many of these as span the groups, for which no group's pairs need be formed. A class is a set of shingles, named by a 64-bit hash of it; all copies share it and are
     compared once. Null and word-less texts have n_shingles 0 and no class: they link with nothing and are their
     own component. Rows with a null id get the component of their class (null if it has no other id). Repeated rows are
-    kept; a repeated id is one document. Other columns are ignored. An empty table gives empty tables."""
+    kept; rows of one id with different texts each have the component of their own text. Other columns are ignored. An empty table gives empty tables."""
     spark = docs.sparkSession
     small_batches(spark)
     num, den = percent, 100
@@ -130,8 +177,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         for batch in batches:
             for a, b, h, first in shingle_sets(batch.column(1), k):
                 n = np.diff(first)
-                sign = K.mix(K.segment_sum(K.mix(h), first) + n.astype(U))
-                cls = K.signed(sign)
+                cls = classes(h, first)
                 new = np.zeros(len(n), bool)  # of each set only the first copy in a task gives keys
                 for i, (c, m) in enumerate(zip(cls.tolist(), n.tolist(), strict=True)):
                     if m and c not in seen:
@@ -156,7 +202,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     release(table)
 
     def candidates_of(pairs: DataFrame) -> DataFrame:
-        """(class, set) of the classes in ``pairs``; their documents are read again."""
+        """(class, set) of the classes in ``pairs``; their documents are read again, of rows of one id those of the class."""
         nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         one = members.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"))
         want = cut(one.join(nodes, "class").select("id", "class"), "want")
@@ -168,7 +214,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, h, first in shingle_sets(batch.column(0), k):
-                    yield pa.record_batch([batch.column(1).slice(a, b - a), K.lists(pa.array(K.signed(h)), first)], ["class", "tokens"])
+                    out = pa.record_batch([batch.column(1).slice(a, b - a), K.lists(pa.array(K.signed(h)), first)], ["class", "tokens"])
+                    yield out.filter(pa.array(classes(h, first) == out.column(0).to_numpy()))
 
         return texts.select("text", "class").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
 
