@@ -153,7 +153,7 @@ def test_line_groups_match_all_pairs(spark):
         docs.append((i, "\n".join(own)))
     docs += [(100, None), (101, ""), (None, docs[0][1]), docs[3]]
     df = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, line long")
-    got = {r.doc_id: (r.text, list(r.removed_lines)) for r in lines.dedup_lines(df).collect() if r.doc_id is not None}
+    got = {r.doc_id: (r.text, list(r.removed_lines)) for r in lines.dedup_lines(df, radius=lines.RADIUS).collect() if r.doc_id is not None}
 
     occurrences = sorted((i, n, tuple(tokens(x))) for i, t in dict(d for d in docs if d[0] is not None).items() for n, x in enumerate((t or "").split("\n")) if len(tokens(x)) >= 5)
     distinct = sorted({x for _, _, x in occurrences})
@@ -279,3 +279,64 @@ def test_components_and_release(spark):
     folder = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     release(out, spark.range(1))
     assert not os.path.exists(folder)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_word_distance_is_no_less_than_the_edit_distance():
+    rng = random.Random(8)
+    for _ in range(300):
+        u = [str(rng.randint(0, 30)) for _ in range(rng.randint(0, 15))]
+        v = [x for x in u if rng.random() > 0.1] + [rng.choice(["q", "zz"])] * rng.randint(0, 1)
+        assert lines.word_distance(u, v) >= _distance(" ".join(u), " ".join(v))
+    assert lines.word_distance(["a", "b", "c"], ["a", "c"]) == 2
+
+
+def test_line_recall_against_edit_similarity_alone(spark):
+    """Pairs of a line and a changed one, each alone in its group: the truth is the edit similarity, no fingerprint takes part."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    found, near = {}, {}
+    rows, of = [], {}
+    for low, high in ((5, 10), (10, 20), (20, 40), (40, 80)):
+        for _ in range(150):
+            line = [word() for _ in range(rng.randint(low, high))]
+            other = list(line)
+            for _ in range(rng.randint(1, max(1, len(line) // 8))):
+                k, how = rng.randrange(len(other)), rng.random()
+                if how < 0.5:
+                    other[k] = word()
+                elif how < 0.7:
+                    other.insert(k, word())
+                elif how < 0.9:
+                    del other[k]
+                else:
+                    other[k] += "x"
+            a, b = " ".join(line), " ".join(other)
+            if a != b and len(other) >= 5 and _distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                of[len(rows) + 1] = low
+                near[low] = near.get(low, 0) + 1
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in lines.dedup_lines(df).collect():
+        if r.removed_lines:
+            assert r.doc_id % 2 == 1  # the first of a pair stays, and unrelated lines don't link
+            found[of[r.doc_id]] = found.get(of[r.doc_id], 0) + 1
+    assert {low: round(found.get(low, 0) / n, 2) for low, n in near.items() if found.get(low, 0) < 0.9 * n} == {}
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    line = "one line of seven different words here"
+    rows = [(1, "only\nshort", 1, "x"), (1, f"{line}\nand some other words stand on this line", 2, "y"), (2, line, 3, "z"), (2, line, 4, "z"), (None, line, 5, "n"), (3, "é É Z\né É z\nÉ É Z", 6, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __lost string")
+    got = {r["__id"]: (r.text, list(r.removed_lines)) for r in lines.dedup_lines(df).collect()}
+    assert got[1] == ("only\nshort", []) and got[2] == (rows[1][1], []) and got[5] == (line, [])
+    assert got[3] == got[4] == ("", [0])
+    assert got[6] == ("é É Z\nÉ É Z", [1])  # A-Z alone are lowered

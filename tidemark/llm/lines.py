@@ -5,15 +5,17 @@ Distinct lines get a 64-bit SimHash of their word pairs, cut into RADIUS + 2 blo
 lines within RADIUS bits agree in two blocks at least, so every pair of blocks is a key of the join. Pairs within RADIUS bits are verified by
 edit similarity. Of each connected group one occurrence stays: the first by document id and line number.
 
-That radius reaches a changed word only in long lines. With ``radius=None``, as the query and the pipeline have it, candidates reach as far
+That radius reaches a changed word only in long lines. By default (``radius=None``) candidates reach as far
 as the edit similarity does: the SimHash takes words and REACH bits, which blocks can't serve, so keys are minima of hashes over a line's
 words, each word weighing its length as it does in the edit distance. Of pairs that share two thirds of their
-letters, BANDS keys of ROWS minima each miss one in a thousand, of those that share half, 7%. Lines of fewer than ``min_words`` words then meet if they are equal.
+letters, BANDS keys of ROWS minima each miss 3%, of those that share nine tenths, none in a million. Lines of fewer than ``min_words`` words then meet if they are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,48 +25,51 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import bucket_stars, similarity_groups, stars
-from .shared import broadcast_if_small, cut, release, small_batches
+from .shared import BROADCAST_ROWS, cut, fresh, release, small_batches
 
 U = np.uint64
 RADIUS, MIN_WORDS, SIMILARITY = 3, 5, 0.8
-REACH, ROWS, BANDS = 22, 3, 20
+REACH, ROWS, BANDS = 22, 3, 10
 #: Of the minima, four bits each make a sketch; pairs in which more than APART of the ROWS * BANDS minima differ are sifted out.
-APART, NIBBLES = 42, 15
-WIDTH = BANDS + ROWS * BANDS // NIBBLES + 1
+APART, NIBBLES = 21, 15
+MARKS = [*(f"s{i}" for i in range(ROWS * BANDS // NIBBLES)), "n"]
+WIDTH = BANDS + len(MARKS)
+#: Lines that a task sorts at once; lines repeated within such a block are combined.
+BLOCK = 200_000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _INV = pow(K._STEP, -1, 1 << 64)
 
 
-def lines_of(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, line number, hash, SimHash) of the lines with ``min_words`` words or more."""
+def find_lines(raw: np.ndarray, off: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, and of each line with a word: text number, line number, first word, word after the last, hash."""
     w = K.words(raw, off)
     ends = np.flatnonzero(raw == 10)
     edge = np.unique(np.concatenate([off, ends]))  # a line begins at a text's start or after a line's end
-    first = np.searchsorted(w.start, edge)
-    long = np.flatnonzero(np.diff(np.append(first, len(w.start))) >= min_words)
-    if not len(long):
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(U), none.view(U)
-    a, b = first[long], np.append(first, len(w.start))[long + 1]
+    a = np.unique(np.searchsorted(w.start, edge))
+    a = a[a < len(w.start)]
+    b = np.append(a, len(w.start))[1:]
     doc = np.searchsorted(off, w.start[a], "right") - 1
     number = np.searchsorted(ends, w.start[a]) - np.searchsorted(ends, off[doc])
     total = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * K.powers(K._STEP, len(w.hash)))])
-    h = K.mix((total[b] - total[a]) * K.powers(_INV, len(w.hash))[a] + (b - a).astype(U))
+    h = K.mix((total[b] - total[a]) * K.powers(_INV, len(w.hash) + 1)[a] + (b - a).astype(U))
+    return w, doc, number, a, b, h
+
+
+def lines_of(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, line number, hash, SimHash) of the lines with ``min_words`` words or more."""
+    w, doc, number, a, b, h = find_lines(raw, off)
     pairs = w.hash.copy()  # features: pairs of following words, for the commonest words alone would fill most fingerprints alike
     pairs[:-1] = K.mix(w.hash[:-1] * U(3) + w.hash[1:])
     pairs[a[b - a == 1]] = w.hash[a[b - a == 1]]
-    return doc, number, h, K.simhash_spans(pairs, a, np.maximum(b - 1, a + 1))
+    long = b - a >= min_words
+    return doc[long], number[long], h[long], K.simhash_spans(pairs, a[long], np.maximum(b - 1, a + 1)[long])
 
 
 def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -> tuple[np.ndarray, ...]:
     """(text number, line number, hash, SimHash of the words, row of keys or -1, keys, with the sketch and the length after them) of all lines with a word. Only lines whose hash is not
     in ``seen``, to which it is added, and of ``min_words`` words or more have keys and a SimHash."""
-    doc, number, h, _ = lines_of(raw, off, 1)
-    sim, row = np.zeros(len(h), U), np.full(len(h), -1)
-    w = K.words(raw, off)
-    edge = np.unique(np.concatenate([off, np.flatnonzero(raw == 10)]))
-    a = np.unique(np.searchsorted(w.start, edge))
-    a = a[a < len(w.start)]
-    n = np.diff(np.append(a, len(w.start)))
+    w, doc, number, a, b, h = find_lines(raw, off)
+    sim, row, n = np.zeros(len(h), U), np.full(len(h), -1), b - a
     _, once = np.unique(h, return_index=True)
     new = np.array([i for i in once.tolist() if n[i] >= min_words and int(h[i]) not in seen], np.int64)
     if not len(new):
@@ -86,81 +91,118 @@ def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -
     return doc, number, h, sim, row, keys
 
 
-def scan_reach(docs: DataFrame, min_words: int) -> DataFrame:
-    """scan_lines for all lines with a word, with the keys that reach_of gives (an empty array for lines of fewer than ``min_words`` words, none for rows with ``again``)."""
+def _scan(docs: DataFrame, schema: str, read: Callable, block: Callable) -> DataFrame:
+    """The rows that ``block`` makes of what ``read`` finds in pieces of the texts of ``docs`` (id, version, text), a block of lines at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, keys, count, seen = [], [np.zeros((0, WIDTH), U)], 0, set()
+        got, count, seen = [], 0, set()
         for batch in batches:
-            raw, off = K.text_buffers(batch.column(1))
-            ids, at = batch.column(0).to_numpy(), 0
+            raw, off = K.text_buffers(batch.column(2))
+            ids, version, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0
             while at < len(ids):
                 to = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
-                doc, number, h, sim, row, own = reach_of(raw[off[at] : off[to]], off[at : to + 1] - off[at], min_words, seen)
-                got.append((ids[at + doc] if len(doc) else np.zeros(0, np.int64), number, h, sim, np.where(row >= 0, row + count, -1)))
-                keys.append(own)
-                count += len(own)
+                doc, *rest = read(raw[off[at] : off[to]], off[at : to + 1] - off[at], seen)
+                if len(doc):
+                    got.append((ids[at + doc], version[at + doc], *rest))
+                    count += len(doc)
                 at = to
-        if not got:
-            return
-        ids, number, h, sim, row = (np.concatenate(x) for x in zip(*got, strict=True))
-        if not len(h):
-            return
-        order = np.lexsort((number, ids, h))
-        ids, number, h, sim, row = ids[order], number[order], h[order], sim[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+                if count >= BLOCK:
+                    yield from block(got)
+                    got, count, seen = [], 0, set()
+        if got:
+            yield from block(got)
+
+    return docs.select("id", F.xxhash64("text").alias("version"), "text").mapInArrow(run, schema)
+
+
+def _occurrences(got: list[tuple]) -> tuple:
+    """The columns (id, version, line, hash, ...) of a block in order of hash and occurrence; which rows are the first of their line, and which to keep: not the same occurrence again, as rows of one id and text give it."""
+    ids, version, number, h, *rest = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((number, version, ids, h))
+    ids, version, number, h = ids[order], version[order], number[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    same = (ids == ids[lead]) & (version == version[lead]) & (number == number[lead])
+    return [ids, version, number.astype(np.int32), h, *[c[order] for c in rest]], new, new | ~same
+
+
+def scan_reach(docs: DataFrame, min_words: int) -> DataFrame:
+    """scan_lines for all lines with a word, with the keys that reach_of gives and their MARKS (null for lines of fewer than ``min_words`` words and rows with ``again``)."""
+
+    def read(raw: np.ndarray, off: np.ndarray, seen: set[int]) -> tuple:
+        doc, number, h, sim, row, keys = reach_of(raw, off, min_words, seen)
+        has = row >= 0
+        own = np.zeros((len(h), WIDTH), U)
+        own[has] = keys[row[has]]
+        return doc, number, h, sim, has, own
+
+    def block(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (ids, version, number, h, sim, has, own), new, keep = _occurrences(got)
         start = np.flatnonzero(new)
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        same = (ids == ids[lead]) & (number == number[lead])  # the row of a repeated id: the same occurrence
-        sim[start], row[start] = np.maximum.reduceat(sim, start), np.maximum.reduceat(row, start)  # one occurrence has them
-        keys = np.concatenate(keys)
+        there = np.flatnonzero(has)  # one occurrence of a line has its keys
+        to = start[np.searchsorted(start, there, "right") - 1]
+        sim[to], own[to], has[to] = sim[there], own[there], True
+        has &= new
         for i in range(0, len(h), 20_000):
             s = slice(i, i + 20_000)
-            keep = new[s] | ~same[s]
-            cols = [pa.array(c[keep]) for c in (ids[s], number[s].astype(np.int32), K.signed(h[s]), K.signed(sim[s]), ~new[s])]
-            r = np.where(new[s], row[s], -1)[keep]
-            first = np.concatenate([[0], np.cumsum(np.where(r >= 0, WIDTH, 0))])
-            yield pa.record_batch([*cols, K.lists(pa.array(K.signed(keys[r[r >= 0]].reshape(-1))), first)], ["id", "line", "hash", "sim", "again", "keys"])
+            k, none = keep[s], ~has[s][keep[s]]
+            cols = [pa.array(c[s][k]) for c in (ids, version, number, K.signed(h), K.signed(sim), ~new)]
+            keys = K.lists(pa.array(K.signed(own[s][k][~none, :BANDS].reshape(-1))), np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]))
+            marks = [pa.array(K.signed(np.ascontiguousarray(own[s][k][:, BANDS + j])), mask=none) for j in range(len(MARKS))]
+            yield pa.record_batch([*cols, keys, *marks], ["id", "version", "line", "hash", "sim", "again", "keys", *MARKS])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, line int, hash long, sim long, again boolean, keys array<long>")
+    return _scan(docs, "id long, version long, line int, hash long, sim long, again boolean, keys array<long>" + "".join(f", {m} long" for m in MARKS), read, block)
 
 
 def scan_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, line, hash, sim, again): each task's first occurrence of each line, and, with ``again``, those that follow it."""
+    """(id, version, line, hash, sim, again): the first occurrence of each line in a task's block of lines, and, with ``again``, those that follow it. The version is a hash of the text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for batch in batches:
-            raw, off = K.text_buffers(batch.column(1))
-            ids, at = batch.column(0).to_numpy(), 0
-            while at < len(ids):
-                to = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
-                doc, number, h, sim = lines_of(raw[off[at] : off[to]], off[at : to + 1] - off[at], min_words)
-                got.append((ids[at + doc] if len(doc) else np.zeros(0, np.int64), number, h, sim))
-                at = to
-        if not got:
-            return
-        ids, number, h, sim = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((number, ids, h))
-        ids, number, h, sim = ids[order], number[order], h[order], sim[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, int)
-        same = (ids == ids[lead]) & (number == number[lead])  # the row of a repeated id: the same occurrence
+    def block(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (ids, version, number, h, sim), new, keep = _occurrences(got)
         for i in range(0, len(h), 100_000):
             s = slice(i, i + 100_000)
-            keep = new[s] | ~same[s]
-            cols = [ids[s], number[s].astype(np.int32), K.signed(h[s]), K.signed(sim[s]), ~new[s]]
-            yield pa.record_batch([pa.array(c[keep]) for c in cols], ["id", "line", "hash", "sim", "again"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, line int, hash long, sim long, again boolean")
+            yield pa.record_batch([pa.array(c[s][keep[s]]) for c in (ids, version, number, K.signed(h), K.signed(sim), ~new)], ["id", "version", "line", "hash", "sim", "again"])
+
+    return _scan(docs, "id long, version long, line int, hash long, sim long, again boolean", lambda raw, off, _: lines_of(raw, off, min_words), block)
+
+
+def word_distance(u: list[str], v: list[str]) -> int:
+    """At least the edit distance of the joined words: between the words that are single in both and in the same order, all is put anew."""
+    once, there = Counter(u), Counter(v)
+    at = {w: i for i, w in enumerate(v)}
+    tops, ends, back = [], [], {}  # longest rising run of positions in v
+    for i, w in enumerate(u):
+        if once[w] == 1 and there.get(w) == 1:
+            j = at[w]
+            k = bisect_left(tops, j)
+            back[i, j] = ends[k - 1] if k else None
+            if k == len(tops):
+                tops.append(j)
+                ends.append((i, j))
+            else:
+                tops[k], ends[k] = j, (i, j)
+    run, at_ = [], ends[-1] if ends else None
+    while at_:
+        run.append(at_)
+        at_ = back[at_]
+    cost, i, j = 0, 0, 0
+    for p, q in [*reversed(run), (len(u), len(v))]:
+        x, y = u[i:p], v[j:q]
+        while x and y and x[-1] == y[-1]:
+            x.pop(), y.pop()
+        k = 0
+        while k < min(len(x), len(y)) and x[k] == y[k]:
+            k += 1
+        cost += max(sum(map(len, x[k:])) + len(x) - k, sum(map(len, y[k:])) + len(y) - k)
+        i, j = p + 1, q + 1
+    return cost
 
 
 def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
     """(a, b, ta, tb, longer): ``pairs`` of texts without their common start and end, which leaves the edit distance as it is; ``longer`` is the greater length before that.
 
-    With ``similarity``, texts that reach it by putting words for words are left empty, for they need no more counting."""
+    With ``similarity``, texts that reach it by changing whole words are left empty, for they need no more counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +217,8 @@ def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
                 end = int(apart[0]) if len(apart) else rest
                 if similarity is not None:
                     u, v = x[start : len(x) - end].split(" "), y[start : len(y) - end].split(" ")
-                    if len(u) == len(v) and sum(max(len(m), len(n)) for m, n in zip(u, v, strict=True) if m != n) <= (1 - similarity) * max(len(x), len(y)) + 1e-9:
+                    most = (1 - similarity) * max(len(x), len(y)) + 1e-9
+                    if len(u) == len(v) and sum(max(len(m), len(n)) for m, n in zip(u, v, strict=True) if m != n) <= most or word_distance(u, v) <= most:
                         start, end = least, max(len(x), len(y))
                 left.append(x[start : max(start, len(x) - end)])
                 right.append(y[start : max(start, len(y) - end)])
@@ -200,23 +243,25 @@ def block_keys(radius: int = RADIUS, count: int = 0) -> str:
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
-    """(id, removed): for each document that loses lines, their numbers (from 0) in order. ``docs``: (id, text)."""
+    """(id, version, removed): for each document that loses lines, their numbers (from 0) in order. ``docs``: (id, text); rows of one id and different texts, told apart by version, are different documents."""
     small_batches(docs.sparkSession)
     docs = docs.where("id is not null")
     scan = cut(scan_lines(docs, min_words) if radius is not None else scan_reach(docs, min_words), "lines")
     occur = scan.where("not again")
-    extra = [F.first("keys").alias("keys")] if radius is None else []
-    first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"), F.first("sim").alias("sim"), *extra), "first")
-    own_keys = F.slice("keys", 1, BANDS) if radius is None else F.expr(block_keys(radius, first.count()))
-    keys = first.select(F.explode(own_keys).alias("key"), F.col("hash").alias("node"))
+    first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim")), "first")
+    if radius is None:
+        keys = occur.select(F.explode("keys").alias("key"), F.col("hash").alias("node"))
+    else:
+        keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
 
     def verify(near: DataFrame) -> DataFrame:
-        own = first.select("hash", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
-        want = own.join(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct(), "hash").groupBy("id").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
-        want = cut(want, "want")
-        texts = docs.join(broadcast_if_small(want, 100_000), "id").dropDuplicates(["id"])
+        own = first.select("hash", F.col("first.id").alias("id"), F.col("first.version").alias("version"), F.col("first.line").alias("line"))
+        lines = cut(own.join(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct(), "hash"), "want")
+        want = lines.groupBy("id", "version").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
+        few = lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"]).dropDuplicates(["id", "version"])
         texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w"))
-        norm = F.lower(F.trim(F.regexp_replace(F.col("all")[F.col("w.line")], r"[\x20\x09-\x0D]+", " ")))
+        norm = F.translate(F.trim(F.regexp_replace(F.get("all", F.col("w.line")), r"[\x20\x09-\x0D]+", " ")), UPPER, UPPER.lower())
         texts = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
         pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         if radius is None:
@@ -224,42 +269,46 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         both = trimmed(pairs, similarity if radius is None else None)
         most = f"cast(floor({1 - similarity:.6f} * longer + 1e-9) as int)"
         out = cut(both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b"), "links")
-        release(want, texts)
+        release(lines, texts)
         return out
 
     marks, close = first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
     if radius is None:
-        marks = cut(first.where("size(keys) > 0").selectExpr("hash as node", f"struct(sim, slice(keys, {BANDS + 1}, {WIDTH - BANDS - 1}) as s, keys[{WIDTH - 1}] as n) as m"), "marks")
-        bits = [f"(ma.s[{i}] ^ mb.s[{i}])" for i in range(WIDTH - BANDS - 1)]
+        own = occur.where("n is not null").groupBy("hash").agg(*[F.max(c).alias(c) for c in ("sim", *MARKS)])
+        marks = cut(own.selectExpr("hash as node", f"struct({', '.join(('sim', *MARKS))}) as m"), "marks")
+        bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
         differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
         close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
     # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
     raw = bucket_stars(keys) if radius is not None else cut(stars(keys, "xxhash64(node)"), "stars")
-    comp, links = similarity_groups(raw, marks, close, verify)
+    comp, links = similarity_groups(raw, marks, close, verify, 2 if radius is not None else 1)
     release(raw, links, marks)
     rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
     keep = first.join(kept, "hash", "left").select("hash", F.coalesce("keep", "first").alias("keep"))
-    gone = occur.join(keep, "hash").where((F.col("id") != F.col("keep.id")) | (F.col("line") != F.col("keep.line"))).select("id", "line")
-    gone = scan.where("again").select("id", "line").union(gone)
-    gone = cut(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed")), "gone")
+    place = ["id", "version", "line"]
+    gone = occur.join(keep, "hash").where(F.struct(*place) != F.col("keep")).select(*place)
+    gone = scan.where("again").select(*place).union(gone)
+    gone = cut(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line")).alias("removed")), "gone")
     release(scan, first, comp)
     return gone
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int | None = RADIUS, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
     """``docs`` with the removed lines taken out of the text, and their numbers (array<int>) in ``removed_col``, which replaces a column of that name.
 
-    Lines end at ``\\n``; lines of fewer than ``min_words`` words stay, however often they occur. Lines link if their SimHashes differ in ``radius`` bits at most
-    and their edit similarity (1 - distance / longer length, of the normalised lines) is ``similarity`` or more; equal lines always link. With ``radius`` None the bits are REACH of the words' SimHash, and short lines go if they are equal to an earlier one. Null texts stay null,
-    rows with a null id stay as they are and take no part. Rows of equal id are one document for what counts as an occurrence.
-    Other columns are kept."""
+    Lines end at ``\\n``. Lines of ``min_words`` words or more link if their edit similarity (1 - distance / longer length, of the normalised lines) is ``similarity`` or more
+    and their SimHashes of words differ in REACH bits at most; candidates come from minima of word hashes. Equal lines always link, short ones too; lines without a word stay. With a ``radius``, SimHashes of word pairs
+    within that many bits give the candidates, and lines of fewer than ``min_words`` words stay. Of equal occurrences the smallest document id, then the smaller hash of the text, then the line number decides.
+    Null texts stay null, rows with a null id stay as they are and take no part. Rows of equal id and text are one document for what counts as an occurrence, rows of equal id and different texts are
+    different ones. Other columns are kept, whatever their names. An empty table gives an empty table."""
     own = docs.drop(removed_col)
     src = own.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    gone = removals(src, min_words, similarity, radius).withColumnRenamed("id", "__id").withColumnRenamed("removed", "__gone")
-    joined = own.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__id"), "left")
+    number, version, lost = fresh(own.columns, "id", "version", "lost")
+    gone = removals(src, min_words, similarity, radius).toDF(number, version, lost)
+    joined = own.join(gone.hint("merge"), (F.col(f"`{id_col}`").cast("long") == F.col(number)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(version)), "left")
     rest = F.expr(f"""aggregate(array(split(`{text_col}`, '\\n', -1)), cast(array() as array<string>),
-      (a, x) -> transform(array_except(sequence(0, size(x) - 1), __gone), i -> get(x, i)))""")
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(rest, "\n"))
+      (a, x) -> transform(array_except(sequence(0, size(x) - 1), {lost}), i -> get(x, i)))""")
+    text = F.when(F.col(lost).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(rest, "\n"))
     none = F.expr("cast(array() as array<int>)")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own.columns], F.coalesce("__gone", none).alias(removed_col))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own.columns], F.coalesce(lost, none).alias(removed_col))

@@ -16,10 +16,12 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else a local one (tests only)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a local one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return _own[0]
@@ -57,5 +59,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """Column names that begin with ``names`` and that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return tuple(out)
+
+
 def columns_like(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
