@@ -6,6 +6,7 @@ import re
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,22 +79,36 @@ def vocabulary():
     return pieces.Vocabulary()
 
 
-def test_chunks_give_the_best_score(vocabulary):
+def _encode(v, *texts):
+    return v.encode(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_no_chunk_size_changes_an_id(vocabulary):
     v, rng = vocabulary, random.Random(4)
-    score = lambda ids: sum(s for i in ids for p, (j, s) in [(None, (i, by_id.get(i, 0.0)))])
-    by_id = {i: s for i, s in v.piece.values()}
-    for text in ("Hello wide world " * 20, "abc" * 300, "日本語" * 99, " " * 200, "x\n" * 150, "".join(rng.choice("ab é\n") for _ in range(700))):
+    for text in ("Hello wide world " * 20, "abc" * 300, "a" * 200, "日本語" * 99, " " * 200, "x\n" * 150, "".join(rng.choice("ab é\n") for _ in range(700)), "".join(rng.choice("aab") for _ in range(300))):
         own = v.prepare(text)
-        whole = np.frombuffer(v.encode(text), "<i4").tolist()
+        whole, best = v.word(own)  # one lattice of the whole text
+        whole = np.frombuffer(whole, "<i4").tolist()
+        assert _encode(v, text) == [whole]
         for chunk in (16, 17, 40, 333):
             parts = [(own[c : c + chunk + v.longest - 1], min(chunk, len(own) - c)) for c in range(0, len(own), chunk)]
             own_parts = [v.matrix(t, n) for t, n in parts]
             matrices = [x[0] for x in own_parts]
-            ways = pieces.states(matrices)
-            ids = np.frombuffer(b"".join(v.trace(*x[1:], n, v.split(t, n)[1], *way) for (t, n), x, way in zip(parts, own_parts, ways, strict=True)), "<i4").tolist()
-            assert v.decode(ids) == text
-            assert reduce(pieces.plus, matrices)[0, 0] == sum(v.known(x)[1] for x in v.cuts(own))
-            assert len(ids) == len(whole) or score(ids) == pytest.approx(score(whole))
+            ways = pieces.states(matrices, [x[1] for x in own_parts])
+            ids = np.frombuffer(b"".join(v.trace(rest, lo, middle, n, hi, *way) for (_, n), (_, _, rest, lo, hi, middle), way in zip(parts, own_parts, ways, strict=True)), "<i4").tolist()
+            assert reduce(pieces.plus, matrices)[0, 0] == best
+            assert ids == whole
+
+
+def test_batches_match_single_lattices(vocabulary):
+    v, rng = vocabulary, random.Random(5)
+    texts = ["".join(rng.choice(["the", "Wort", " ", "  ", "\n", ",", "é", "▁", "7", "🙂", ".com", "x_y"]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, ""]
+    want = [None if t is None else np.frombuffer(v.word(v.prepare(t))[0], "<i4").tolist() for t in texts]
+    assert _encode(v, *texts) == want
+    ids = pa.array([*want, [99999, 5], [None, 0], list(range(3, 259)), [v.byte[0xC3]]], pa.list_(pa.int32()))
+    back = v.decode(ids).to_pylist()
+    assert back[: len(texts)] == [t if t is None else t.replace("▁", " ") for t in texts]
+    assert back[-1] == "\ufffd" and v.decode(ids.slice(3, 4)).to_pylist() == back[3:7]
 
 
 def test_words_match_the_library(vocabulary):
@@ -108,15 +123,16 @@ def test_words_match_the_library(vocabulary):
             p.score = vocabulary.piece[p.piece][1]
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     words = [w for w in open(__file__).read().split() if w.isascii()]
-    same = [np.frombuffer(vocabulary.encode(w), "<i4").tolist() == library.encode(w) for w in words]
+    same = [ids == library.encode(w) for w, ids in zip(words, _encode(vocabulary, *words), strict=True)]
     assert sum(same) / len(same) > 0.98  # the library adds in single precision
 
 
 def test_round_trip(spark):
     texts = [None, "", " ", "  a  b ", "日本語 \n\n", "é \U0001f600", "x" * 3000, "one two " * 900, "one two " * 900]
-    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, row string")
+    df = spark.createDataFrame([(i, t, "k", i) for i, t in enumerate(texts)], "doc_id long, text string, row string, __row int")
     rows = pieces.decode(pieces.encode(df, chunk=500)).collect()
-    assert len(rows) == len(texts) and all(r.decoded == r.text and (r.tokens is None) == (r.text is None) and r.row == "k" for r in rows)
+    assert len(rows) == len(texts) and all(r.decoded == r.text and (r.tokens is None) == (r.text is None) and r.row == "k" and r["__row"] == r.doc_id for r in rows)
+    assert {r.doc_id: r.tokens for r in rows} == {r.doc_id: r.tokens for r in pieces.encode(df).collect()}
     assert pieces.encode(df.where("false")).count() == 0
 
 

@@ -5,22 +5,25 @@ highest sum of scores is taken (ranks, which models of merges have as scores, co
 number of its first characters that a piece of the chunk before already covers (state in) and every number of
 characters of the next chunk that its own last piece covers (state out), the best score between. Matrices combine
 associatively under (max, +); the chain of best states is found from them alone, and each chunk is then backtraced on its own.
-Since no piece of the vocabulary goes on past a space, most of a chunk is words of known score.
+Of equal segmentations that with the longest last piece is taken, then that with the longest one before it, and so on; a chunk's ranks carry
+this order of its paths, so where a text is cut changes no id. Since no piece of the vocabulary goes on past a space, most of a text is words,
+each of which is looked up once a batch.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, small_batches
+from . import kernels as K
+from .shared import cut, fresh, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -52,26 +55,23 @@ class Vocabulary:
             self.bytes[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
-        self.bytes[m.unk_id()] = " ⁇ ".encode()
-        crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece)
-        lines = any("\n" in p for p in self.piece)
-        # where no piece can cross: before a run of spaces and around a line's end; and between letters or digits and other
-        # characters, unless the text has a character by which some piece joins the two
-        end = "" if lines else "\n"
-        last = rf"|{SPACE}+" + ("" if lines else r"|\n")
-        wordy = lambda c: c.isalnum()
-        pairs = {(x, y) for p in self.piece for x, y in zip(p, p[1:], strict=False) if SPACE not in (x, y) and wordy(x) != wordy(y)}
-        joins = {x if wordy(x) else y for x, y in pairs}
-        self.joins = re.compile("[" + "".join(map(re.escape, sorted(joins))) + "]") if joins else None
-        self.rule = None if crosses else re.compile(rf"{SPACE}*[^{SPACE}{end}]+" + last)
-        self.fine = re.compile(rf"{SPACE}*(?:[^\W_]+|(?:[^\w{SPACE}{end}]|_)+)" + last)
+        self.unk = m.unk_id()
+        self.bytes[self.unk] = " ⁇ ".encode()
+        # no piece goes over a place between two characters that no piece has side by side; seen in the bytes of UTF-8, which can only miss such places
+        self.joined = np.zeros((256, 256), bool)
+        self.joined[:, 0x80:0xC0] = True  # inside a character
+        for p in self.piece:
+            raw = np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)
+            self.joined[raw[:-1], raw[1:]] = True
         self.root: dict[str, list] = {}  # by character: [following characters, id or -1, score]
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.scored: dict[str, tuple[bytes, float]] = {}
+        self.memory: dict[bytes, tuple[bytes, float]] = {}
+        self.older: dict[bytes, tuple[bytes, float]] = {}
+        self.length = np.array([len(x) for x in self.bytes] + [0])
+        self.begin = np.concatenate([[0], np.cumsum(self.length)])
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}, "older": {}, "scored": {}, "root": {}}
+        return self.__dict__ | {"memory": {}, "older": {}, "root": {}}
 
     def tree(self) -> dict[str, list]:
         if not self.root:
@@ -128,60 +128,132 @@ class Vocabulary:
         out.reverse()
         return array("i", out).tobytes(), best[n]
 
-    def known(self, text: str) -> tuple[bytes, float]:
-        x = self.scored.get(text)
+    def known(self, word: bytes) -> tuple[bytes, float]:
+        """(ids, score) of a word that no piece crosses."""
+        x = self.memory.get(word)
         if x is None:
-            if len(self.scored) >= MEMORY:
-                self.scored.clear()
-            x = self.scored[text] = self.word(text)
+            if len(self.memory) >= MEMORY:  # words that come again move from the older half
+                self.older, self.memory = self.memory, {}
+            x = self.older.get(word)
+            if x is None:
+                x = self.word(word.decode().replace(" ", SPACE))
+            self.memory[word] = x
         return x
 
     def prepare(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def cuts(self, text: str) -> list[str]:
-        if self.rule is None:
-            return [text] if text else []
-        return (self.rule if self.joins and self.joins.search(text) else self.fine).findall(text)
-
-    def encode(self, text: str) -> bytes:
-        memory, out = self.memory, []
-        for w in self.cuts(self.prepare(text)):
-            x = memory.get(w)
-            if x is None:
-                if len(memory) >= MEMORY:  # words that come again move from the older half
-                    self.older, self.memory = memory, {}
-                    memory = self.memory
-                x = memory[w] = self.older.get(w) or self.word(w)[0]
-            out.append(x)
-        return b"".join(out)
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; invalid bytes become U+FFFD. One leading space, the dummy prefix, goes."""
-        table = self.bytes
-        out = b"".join([table[i] for i in ids])
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+    def word_starts(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words begin: at ``first``, and where no piece goes over."""
+        start = np.ones(len(raw), bool)
+        start[1:] = ~self.joined[raw[:-1], raw[1:]]
+        start[first] = True
+        return np.flatnonzero(start)
+
+    def look_up(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word, score of each word) of the words that begin at ``starts`` and cover ``raw``."""
+        edges = np.append(starts, len(raw)).astype(np.int64)
+        all_words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        code = all_words.indices.to_numpy()
+        found = [self.known(w) for w in all_words.dictionary.to_pylist()]
+        count = np.array([len(x[0]) // 4 for x in found], np.int64)
+        ids = np.frombuffer(b"".join(x[0] for x in found), "<i4")
+        n = count[code]
+        return ids[_spans((np.cumsum(count) - count)[code], n)], n, np.array([x[1] for x in found])[code]
+
+    def encode(self, col: pa.Array) -> pa.Array:
+        """The ids of each text; of null, null."""
+        out = []
+        if pc.any(pc.match_substring(col, SPACE)).as_py():
+            col = pc.replace_substring(col, SPACE, " ")  # the two are one character to the pieces
+        raw, off = K.text_buffers(col)
+        at = 0
+        while at < len(col):
+            to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 22), "right")) - 1)
+            own, edges = raw[off[at] : off[to]], off[at : to + 1] - off[at]
+            some = np.diff(edges) > 0
+            own, edges = np.insert(own, edges[:-1][some], 32), edges + np.concatenate([[0], np.cumsum(some)])  # the dummy prefix
+            if len(own):
+                starts = self.word_starts(own, edges[:-1][some])
+                ids, n, _ = self.look_up(own, starts)
+                first = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, edges)]
+            else:
+                ids, first = np.zeros(0, np.int32), edges
+            out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
+            at = to
+        got = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        return pc.if_else(col.is_valid(), got, None) if col.null_count else got
+
+    def decode(self, col: pa.Array) -> pa.Array:
+        """The text of each row of ids, null of null. Invalid bytes become U+FFFD, ids that the vocabulary lacks the sign for the unknown; null ids are left out. One leading space, the dummy prefix, goes."""
+        out, at = [], 0
+        size = len(self.bytes)
+        while at < len(col):
+            part = col.slice(at, 1 << 9)
+            at += len(part)
+            flat = part.flatten()
+            count = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy())])
+            ids = flat.fill_null(-1).to_numpy().astype(np.int64)
+            ids = np.where((ids >= 0) & (ids < size) | (flat.is_null().to_numpy(zero_copy_only=False)), ids, self.unk)
+            n = self.length[ids]
+            raw = self.flat[_spans(self.begin[:-1][ids], n)]
+            off = np.concatenate([[0], np.cumsum(n)])[count]
+            lead = np.diff(off) > 0
+            lead[lead] = raw[off[:-1][lead]] == 32
+            keep = np.ones(len(raw), bool)
+            keep[off[:-1][lead]] = False
+            raw, off = raw[keep], off - np.concatenate([[0], np.cumsum(lead)])
+            text = pa.Array.from_buffers(pa.large_string(), len(part), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+            try:
+                text.validate(full=True)
+            except pa.ArrowInvalid:
+                text = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)], pa.large_string())
+            out.append(pc.if_else(part.is_valid(), text, None) if part.null_count else text)
+        return pa.concat_arrays(out).cast(pa.string()) if out else pa.array([], pa.string())
 
     # -- chunks of a giant text
     def split(self, text: str, size: int) -> tuple[int, int]:
         """Where a chunk's first and last inner cut are; (size, size) if it has none.
 
         ``text`` has the chunk's ``size`` characters and up to longest - 1 more."""
-        spots = [m.start() for m in self.rule.finditer(text) if self.longest <= m.start() <= size] if self.rule else []
-        return (spots[0], spots[-1]) if spots else (size, size)
-
-    def matrix(self, text: str, size: int) -> tuple[np.ndarray, str, int, bytes]:
-        """A chunk's transfer matrix best[s, e], from character s to character size + e by pieces that begin before ``size``; and what
-        its backtrace needs: the characters before the first and after the last inner cut, the number of the former, the ids between."""
+        raw = np.frombuffer(text.replace(SPACE, " ").encode(), np.uint8)
+        if not len(raw):
+            return size, size
+        spots = np.cumsum((raw & 0xC0) != 0x80)[self.word_starts(raw, np.zeros(1, int))] - 1
+        spots = spots[(spots >= self.longest) & (spots <= size)]
+        return (int(spots[0]), int(spots[-1])) if len(spots) else (size, size)
+
+    def matrix(self, text: str, size: int) -> tuple[np.ndarray, np.ndarray, str, int, int, bytes]:
+        """A chunk's transfer matrix best[s, e], from character s to character size + e by pieces that begin before ``size``; the rank[s, e] of
+        that path among those to e; and what the backtrace needs: the characters before the first and after the last inner cut, the numbers of these cuts, the ids between."""
         w = self.longest
         lo, hi = self.split(text, size)
-        if lo == size:  # no inner cut, or one at the chunk's end
-            best, _ = self._steps(text, size, np.arange(w), False)
-            return self._fit(best[size : size + w].T, w), text, -1, b""
-        middle = [self.known(x) for x in self.cuts(text[lo:hi])]
-        head, tail = self._steps(text[:lo], lo, np.arange(w), False)[0], self._steps(text[hi:], size - hi, np.zeros(1, int), False)[0]
-        m = self._fit(head[lo][:, None] + sum(x[1] for x in middle) + tail[size - hi : size - hi + w].T, w)
-        return m, text[:lo] + text[hi:], lo, b"".join(x[0] for x in middle)
+        inner = lo < size  # else no inner cut, or one at the chunk's end
+        best, came = self._steps(text[:lo] if inner else text, lo, np.arange(w), True)
+        if not inner:
+            ranks = np.array([self._ranks(came, size + e, w) for e in range(w)]).T
+            return self._fit(best[size : size + w].T, w), ranks, text, -1, hi, b""
+        raw = np.frombuffer(text[lo:hi].replace(SPACE, " ").encode(), np.uint8)
+        ids, score = b"", 0.0
+        if len(raw):
+            flat, _, scores = self.look_up(raw, self.word_starts(raw, np.zeros(1, int)))
+            ids, score = flat.astype("<i4").tobytes(), scores.sum()
+        tail = self._steps(text[hi:], size - hi, np.zeros(1, int), False)[0]
+        m = self._fit(best[lo][:, None] + score + tail[size - hi : size - hi + w].T, w)
+        return m, np.repeat(self._ranks(came, lo, w)[:, None], w, axis=1), text[:lo] + text[hi:], lo, hi, ids
+
+    def _ranks(self, came: list[dict], at: int, w: int) -> np.ndarray:
+        """For each start, how many starts have a path to ``at`` that goes before its own: one with an earlier last cut, then an earlier one before that, and so on."""
+        paths = []
+        for s in range(w):
+            cuts, i = [], at
+            while i < len(came) and s in came[i]:
+                i = came[i][s][0]
+                cuts.append(i)
+            paths.append((cuts, s))
+        out = np.zeros(w, int)
+        out[[s for _, s in sorted(paths)]] = np.arange(w)
+        return out
 
     def trace(self, rest: str, lo: int, middle: bytes, size: int, hi: int, s: int, e: int) -> bytes:
         """The ids of a chunk on the best path from state s to state e."""
@@ -233,21 +305,28 @@ def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(state in, state out) of each chunk on the best path from state 0 to state 0, by an inclusive scan from the right."""
+def states(matrices: list[np.ndarray], ranks: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(state in, state out) of each chunk on the best path from state 0 to state 0, by an inclusive scan from the left; of equal ones, those of the least rank."""
     n = len(matrices)
-    suffix = list(matrices)
+    prefix = list(matrices)
     step = 1
-    while step < n:  # after each turn, suffix[i] is the product of twice as many matrices
-        suffix = [plus(suffix[i], suffix[i + step]) if i + step < n else suffix[i] for i in range(n)]
+    while step < n:  # after each turn, prefix[i] is the product of twice as many matrices
+        prefix = [plus(prefix[i - step], prefix[i]) if i >= step else prefix[i] for i in range(n)]
         step *= 2
-    out, s = [], 0
-    for i, m in enumerate(matrices):
-        rest = suffix[i + 1][:, 0] if i + 1 < n else np.where(np.arange(m.shape[1]) == 0, 0.0, _NEVER)
-        e = int((m[s] + rest).argmax())
+    out, e = [], 0
+    for i in range(n - 1, -1, -1):
+        before = prefix[i - 1][0] if i else np.where(np.arange(len(matrices[0])) == 0, 0.0, _NEVER)
+        total = before + matrices[i][:, e]
+        best = np.flatnonzero(total == total.max())
+        s = int(best[ranks[i][best, e].argmin()])
         out.append((s, e))
-        s = e
-    return out
+        e = s
+    return out[::-1]
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... up to n[0] of them, then those of start[1], and so on."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
 def _ids(flat: list[bytes | None]) -> pa.Array:
@@ -260,7 +339,8 @@ def _ids(flat: list[bytes | None]) -> pa.Array:
 def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col: str = "tokens", chunk: int = CHUNK) -> DataFrame:
     """``docs`` with the ids of every whole text in ``out_col`` (array<int>), which replaces a column of that name.
 
-    A null text has null ids, an empty one none. Repeated rows, null ids and other columns are kept as they are; row order isn't."""
+    A null text has null ids, an empty one none. ``chunk``, the characters that one task takes at once, changes no id. Repeated rows, null ids and other columns, whatever
+    their names, are kept as they are; row order isn't. An empty table gives an empty table."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # a vocabulary's size
@@ -272,14 +352,13 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for b in batches:
-            ids = _ids([None if t is None else v.encode(t) for t in b.column(at).to_pylist()])
-            yield pa.record_batch([*b.columns, ids], [*b.schema.names, out_col])
+            yield pa.record_batch([*b.columns, v.encode(b.column(at))], [*b.schema.names, out_col])
 
     short = src.where(size <= chunk).mapInArrow(direct, full)
     giant = src.where(size > chunk)
     if giant.isEmpty():
         return short
-    key = "__row"
+    (key,) = fresh(src.columns, "row")
     giant = cut(giant.withColumn(key, F.monotonically_increasing_id()), "giant")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,22 +367,27 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = v.prepare(text)
                 for c in range(0, len(text), chunk):
-                    own = text[c : c + chunk + v.longest - 1]
-                    n = min(chunk, len(text) - c)
-                    m, rest, lo, middle = v.matrix(own, n)
-                    hi = v.split(own, n)[1]
-                    yield pa.record_batch([pa.array([row], pa.int64()), *[pa.array([x], pa.int32()) for x in (c // chunk, n, lo, hi)], pa.array([rest]), *[pa.array([x], pa.binary()) for x in (middle, m.tobytes())]], ["row", "chunk", "size", "lo", "hi", "rest", "middle", "matrix"])
+                    yield pa.record_batch([pa.array([row], pa.int64()), pa.array([c // chunk], pa.int32()), pa.array([min(chunk, len(text) - c)], pa.int32()), pa.array([text[c : c + chunk + v.longest - 1]])], ["row", "chunk", "size", "text"])
+
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        for b in batches:
+            for row, c, n, text in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                m, ranks, rest, lo, hi, middle = v.matrix(text, n)
+                yield pa.record_batch([pa.array([row], pa.int64()), *[pa.array([x], pa.int32()) for x in (c, n, lo, hi)], pa.array([rest]), *[pa.array([x], pa.binary()) for x in (middle, m.tobytes(), ranks.astype(np.uint8).tobytes())]], ["row", "chunk", "size", "lo", "hi", "rest", "middle", "matrix", "ranks"])
 
-    chunks = cut(giant.select(key, f"`{text_col}`").repartition(F.col(key)).mapInArrow(split, "row long, chunk int, size int, lo int, hi int, rest string, middle binary, matrix binary"), "chunks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = giant.select(key, f"`{text_col}`").mapInArrow(split, "row long, chunk int, size int, text string").repartition(tasks, "row", "chunk")
+    chunks = cut(pieces.mapInArrow(transfer, "row long, chunk int, size int, lo int, hi int, rest string, middle binary, matrix binary, ranks binary"), "chunks")
 
     def chain(key_: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         flat = [np.frombuffer(x, float) for x in t.column("matrix").to_pylist()]
         w = int(len(flat[0]) ** 0.5)
-        path_ = states([x.reshape(w, w) for x in flat])
+        path_ = states([x.reshape(w, w) for x in flat], [np.frombuffer(x, np.uint8).reshape(w, w) for x in t.column("ranks").to_pylist()])
         return pa.table({"row": t.column("row"), "chunk": t.column("chunk"), "s": pa.array([s for s, _ in path_], pa.int32()), "e": pa.array([e for _, e in path_], pa.int32())})
 
-    ways = chunks.select("row", "chunk", "matrix").groupBy("row").applyInArrow(chain, "row long, chunk int, s int, e int")
+    ways = chunks.select("row", "chunk", "matrix", "ranks").groupBy("row").applyInArrow(chain, "row long, chunk int, s int, e int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -312,14 +396,15 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
             ids = [v.trace(*x) for x in zip(*[d[c] for c in ("rest", "lo", "middle", "size", "hi", "s", "e")], strict=True)]
             yield pa.record_batch([b.column("row"), b.column("chunk"), _ids(ids)], ["row", "chunk", "ids"])
 
-    traced = chunks.drop("matrix").join(ways, ["row", "chunk"]).mapInArrow(trace, "row long, chunk int, ids array<int>")
+    traced = chunks.drop("matrix", "ranks").join(ways, ["row", "chunk"]).mapInArrow(trace, "row long, chunk int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids)")).alias(out_col))
     long = giant.join(whole.withColumnRenamed("row", key), key).select(*[f"`{c}`" for c in full.names])
     return short.unionByName(long)
 
 
 def decode(docs: DataFrame, path: str = MODEL, ids_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text of every array of ids; null ids give null. A text with U+2581 comes back with a space for it."""
+    """``docs`` with the text of every array of ids in ``out_col``, which replaces a column of that name; null ids give null, null elements are left out,
+    ids that the vocabulary lacks give the sign for the unknown. A text with U+2581 comes back with a space for it. Rows and other columns are kept; an empty table gives an empty table."""
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))
@@ -330,6 +415,6 @@ def decode(docs: DataFrame, path: str = MODEL, ids_col: str = "tokens", out_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array([None if x is None else v.decode(x) for x in b.column(at).to_pylist()], pa.string())], [*b.schema.names, out_col])
+            yield pa.record_batch([*b.columns, v.decode(b.column(at))], [*b.schema.names, out_col])
 
     return src.mapInArrow(run, full)
