@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut, release
 
+#: Nodes of a bucket that one task compares with those that are left.
+SALTED = 500
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long); root is the smallest node of its component.
@@ -115,7 +118,7 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
         member = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
         labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-        open_ = cut(labelled.join(many.select("key"), "key"), "open")
+        open_ = cut(labelled.join(many.select("key", "n"), "key"), "open")
         # the largest component of a bucket is its base; nodes of the others are left
         size = open_.groupBy("key", "root").agg(F.count("*").alias("c"))
         base = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("base"))
@@ -134,9 +137,10 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
             hubs = scored.groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("rank", F.lit(0)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"))).alias("hub"))
             new = sift(order(rest.join(hubs, "key"), "hub", "node"))
         else:
-            left = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry")).join(marked("y", "ma"), "y")
-            right = dealt.select("key", "node", "root", F.expr("root = base").alias("main")).join(marked("node", "mb"), "node")
-            new = order(left.join(right, "key").where("ry <> root and (main or y < node)").where(near), "y", "node")
+            salts = f"cast(n div {SALTED} as int) + 1"  # a large bucket is dealt out to several tasks
+            left = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.explode(F.expr(f"sequence(0, {salts} - 1)")).alias("salt")).join(marked("y", "ma"), "y")
+            right = dealt.select("key", "node", "root", F.expr("root = base").alias("main"), F.expr(f"cast(pmod(xxhash64(node, 5), {salts}) as int)").alias("salt")).join(marked("node", "mb"), "node")
+            new = order(left.join(right, ["key", "salt"]).where("ry <> root and (main or y < node)").where(near), "y", "node")
         new = cut(new.join(tried, ["a", "b"], "left_anti"), "tried")
         release(dealt)
         seen.append(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,24 @@ def _averaged(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
+class Rows:
+    """Rows of mostly zeros, kept without them."""
+
+    def __init__(self, blocks: Iterable[np.ndarray]):
+        self.rows = []
+        for block in blocks:
+            for row in block:
+                at = np.flatnonzero(row)
+                self.rows.append((at.astype(np.uint16), row[at]))
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), BUCKETS), np.float32)
+        for i, j in enumerate(which):
+            at, value = self.rows[j]
+            out[i, at] = value
+        return out
+
+
 class Model:
     """Trained on texts and languages; without any, every answer is ``und`` with score 0."""
 
@@ -70,7 +88,7 @@ class Model:
         self.temperature, self.threshold = 1.0, 0.0
         if not self.langs:
             return
-        x = np.concatenate([_averaged(c) for _, _, c in subword_counts(strings(texts))])
+        x = Rows(_averaged(c) for _, _, c in subword_counts(strings(texts)))
         y = np.array([self.langs.index(v) for v in langs])
         rng = np.random.default_rng(seed)
         n, k = len(y), len(self.langs)
@@ -84,7 +102,8 @@ class Model:
             rng.shuffle(train)
             for i in range(0, len(train), 32):
                 own = train[i : i + 32]
-                h = x[own] @ self.embed
+                rows = x[own]
+                h = rows @ self.embed
                 p = self._softmax(h @ self.weight + self.bias)
                 p[np.arange(len(own)), y[own]] -= 1
                 p /= len(own)
@@ -92,10 +111,10 @@ class Model:
                 back = p @ self.weight.T
                 self.weight -= 0.1 * step * (h.T @ p)
                 self.bias -= 0.1 * step * p.sum(axis=0)
-                self.embed -= step * (x[own].T @ back)
+                self.embed -= step * (rows.T @ back)
                 done += 1
         check = np.flatnonzero(test) if test.any() else train
-        z = (x[check] @ self.embed) @ self.weight + self.bias
+        z = np.concatenate([(x[check[i : i + 256]] @ self.embed) @ self.weight for i in range(0, len(check), 256)]) + self.bias
         nll = lambda t: -np.log(self._softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean()
         self.temperature = min(np.geomspace(0.25, 4, 33), key=nll)
         p = self._softmax(z / self.temperature)

@@ -8,7 +8,7 @@ edit similarity. Of each connected group one occurrence stays: the first by docu
 That radius reaches a changed word only in long lines. By default (``radius=None``) candidates reach as far
 as the edit similarity does: the SimHash takes words and REACH bits, which blocks can't serve, so keys are minima of hashes over a line's
 words, each word weighing its length as it does in the edit distance. Of pairs that share two thirds of their
-letters, BANDS keys of ROWS minima each miss 3%, of those that share nine tenths, none in a million. Lines of fewer than ``min_words`` words then meet if they are equal.
+letters, BANDS keys of ROWS minima each miss some 5%, of those that share nine tenths, next to none. Lines of fewer than ``min_words`` words then meet if they are equal.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from .shared import BROADCAST_ROWS, cut, fresh, release, small_batches
 
 U = np.uint64
 RADIUS, MIN_WORDS, SIMILARITY = 3, 5, 0.8
-REACH, ROWS, BANDS = 22, 3, 10
-#: Of the minima, four bits each make a sketch; pairs in which more than APART of the ROWS * BANDS minima differ are sifted out.
-APART, NIBBLES = 21, 15
-MARKS = [*(f"s{i}" for i in range(ROWS * BANDS // NIBBLES)), "n"]
+REACH, ROWS, BANDS = 20, 4, 14
+#: The minima: a grid of ROWS * SPREAD; keys are its columns and diagonals, any two of which share one minimum at most.
+SPREAD = 7
+#: Of the minima, four bits each make a sketch; pairs in which more than APART of the minima differ are sifted out.
+APART, NIBBLES = 15, 15
+MARKS = [*(f"s{i}" for i in range(-(-ROWS * SPREAD // NIBBLES))), "n"]
 WIDTH = BANDS + len(MARKS)
 #: Lines that a task sorts at once; lines repeated within such a block are combined.
 BLOCK = 200_000
@@ -82,11 +84,15 @@ def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -
     keys = np.zeros((len(new), WIDTH), U)
     letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     keys[:, -1] = np.add.reduceat((letters[w.end] - letters[w.start])[take] + 1, first[:-1]) - 1
+    share = 1.0 / length
+    least = np.empty((ROWS * SPREAD, len(new)), U)
+    for j in range(ROWS * SPREAD):
+        odd = U(int(K.mix(np.array([j + 1], U))[0]) | 1)
+        least[j] = K.mix(np.minimum.reduceat((own * odd >> U(12)).astype(float) * share, first[:-1]).view(U))
+        keys[:, BANDS + j // NIBBLES] |= (least[j] & U(15)) << U(4 * (j % NIBBLES))
     for i in range(BANDS):
-        for j in range(ROWS * i, ROWS * i + ROWS):
-            least = np.minimum.reduceat(K.mix(own + U((j + 1) * K._STEP & (1 << 64) - 1)) // length, first[:-1])
-            keys[:, i] = K.mix(keys[:, i] + least)
-            keys[:, BANDS + j // NIBBLES] |= (K.mix(least) & U(15)) << U(4 * (j % NIBBLES))
+        for r in range(ROWS):
+            keys[:, i] = K.mix(keys[:, i] + least[r * SPREAD + (i + r * (i // SPREAD)) % SPREAD])
         keys[:, i] = K.mix(keys[:, i] + U(i))
     return doc, number, h, sim, row, keys
 

@@ -123,17 +123,30 @@ def sketch_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
     return key[order], np.searchsorted(doc[order], np.arange(len(n) + 1))
 
 
-#: Longs of the short sketch by which candidates are sifted before their sets are read.
+#: Longs of the short sketch, for up to 64 * SIFT tokens, by which candidates are sifted before their sets are read.
 SIFT = 8
 
 
-def short_sketch(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One parity sketch of 64 * SIFT bits a document."""
+def short_sketch(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longs, first): one parity sketch a document, of SIFT longs doubled until it has a bit for every token.
+
+    A sketch folds to one of half the length by XOR of its halves, so any two can be compared."""
     n = np.diff(first)
+    size = np.where(n > 0, SIFT << np.ceil(np.log2(np.maximum(n, 1) / (64 * SIFT)).clip(0)).astype(np.int64), 0)
+    at = np.concatenate([[0], np.cumsum(size)])
     p = K.mix(h ^ U(0x5EED))
-    word = np.zeros(len(n) * SIFT, U)
-    np.bitwise_xor.at(word, np.repeat(np.arange(len(n)), n) * SIFT + ((p >> U(6)) % U(SIFT)).astype(np.int64), U(1) << (p & U(63)))
-    return word
+    doc = np.repeat(np.arange(len(n)), n)
+    word = np.zeros(at[-1], U)
+    np.bitwise_xor.at(word, at[doc] + ((p >> U(6)) & (size[doc] - 1).astype(U)).astype(np.int64), U(1) << (p & U(63)))
+    return word, at
+
+
+def apart() -> str:
+    """SQL: bits in which the sketches ``ma.s`` and ``mb.s`` differ, the longer one folded to the shorter."""
+    plain = " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT))
+    folded = lambda m, o: f"if(size({m}.s) > size({o}.s), transform(sequence(0, size({o}.s) - 1), i -> aggregate(sequence(i, size({m}.s) - 1, size({o}.s)), 0L, (x, j) -> x ^ {m}.s[j])), {m}.s)"
+    general = f"aggregate(zip_with({folded('ma', 'mb')}, {folded('mb', 'ma')}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    return f"if(size(ma.s) = {SIFT} and size(mb.s) = {SIFT}, {plain}, {general})"
 
 
 def _slices(off: np.ndarray, most: int = K.PIECE) -> Iterator[tuple[int, int]]:
@@ -185,9 +198,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                         new[i] = True
                 keep = np.repeat(new, n)
                 size = np.where(new, n, 0)
+                sift, sift_at = short_sketch(h, first)
                 keys, at = sketch_keys(h[keep], np.concatenate([[0], np.cumsum(size)]), num, den)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), K.lists(pa.array(K.signed(short_sketch(h, first))), np.arange(len(n) + 1) * SIFT), K.lists(pa.array(K.signed(keys)), at)],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), K.lists(pa.array(K.signed(sift)), sift_at), K.lists(pa.array(K.signed(keys)), at)],
                     ["id", "n_shingles", "class", "sift", "keys"],
                 )
 
@@ -227,8 +241,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         release(own)
         return out
 
-    differ = " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT))  # at most what the sets differ in
-    near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({differ}) * {den + num} <= (ma.n + mb.n) * {den - num}"
+    # the sketches differ in no more bits than the sets in tokens
+    near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({apart()}) * {den + num} <= (ma.n + mb.n) * {den - num}"
     comp, links = similarity_groups(raw, marks, near, verify)
     if all_links:
         side = lambda node, mark: entries.select("key", F.col("node").alias(node)).join(marks.toDF(node, mark), node)
