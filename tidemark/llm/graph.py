@@ -97,7 +97,7 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
     return cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
 
 
-def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """Components of the verified links among nodes that share a bucket, as (components, links).
 
     ``raw`` are the bucket_stars of the bucket entries. ``marks`` (node, m) has one mark of each node, ``near`` is an SQL condition over the marks
