@@ -37,7 +37,7 @@ APART, NIBBLES = 15, 15
 MARKS = [*(f"s{i}" for i in range(-(-ROWS * SPREAD // NIBBLES))), "n"]
 WIDTH = BANDS + len(MARKS)
 #: Lines that a task sorts at once; lines repeated within such a block are combined.
-BLOCK = 200_000
+BLOCK = 60_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _INV = pow(K._STEP, -1, 1 << 64)
 

@@ -28,7 +28,7 @@ from .shared import cut, fresh, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
 #: Words whose pieces a worker remembers, twice.
-MEMORY = 200_000
+MEMORY = 60_000
 SPACE = "▁"
 _NEVER = -np.inf
 
@@ -169,7 +169,7 @@ class Vocabulary:
         raw, off = K.text_buffers(col)
         at = 0
         while at < len(col):
-            to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 22), "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 21), "right")) - 1)
             own, edges = raw[off[at] : off[to]], off[at : to + 1] - off[at]
             some = np.diff(edges) > 0
             own, edges = np.insert(own, edges[:-1][some], 32), edges + np.concatenate([[0], np.cumsum(some)])  # the dummy prefix
