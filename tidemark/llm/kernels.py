@@ -16,7 +16,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that are worked on at once; a longer word or document extends a piece.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

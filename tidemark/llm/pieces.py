@@ -29,6 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
 #: Words whose pieces a worker remembers, twice.
 MEMORY = 60_000
+#: Bytes of text and ids that are worked on at once; a longer text extends them.
+TEXT, IDS = 1 << 20, 1 << 17
 SPACE = "▁"
 _NEVER = -np.inf
 
@@ -64,8 +66,13 @@ class Vocabulary:
             raw = np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)
             self.joined[raw[:-1], raw[1:]] = True
         self.root: dict[str, list] = {}  # by character: [following characters, id or -1, score]
-        self.memory: dict[bytes, tuple[bytes, float]] = {}
-        self.older: dict[bytes, tuple[bytes, float]] = {}
+        self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.score = np.zeros(size)  # of each id; the first byte of a character that no piece has stands for all of it
+        for i, score in self.piece.values():
+            self.score[i] = score
+        for b, i in self.byte.items():
+            self.score[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
         self.length = np.array([len(x) for x in self.bytes] + [0])
         self.begin = np.concatenate([[0], np.cumsum(self.length)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -128,15 +135,15 @@ class Vocabulary:
         out.reverse()
         return array("i", out).tobytes(), best[n]
 
-    def known(self, word: bytes) -> tuple[bytes, float]:
-        """(ids, score) of a word that no piece crosses."""
+    def known(self, word: bytes) -> bytes:
+        """The ids of a word that no piece crosses."""
         x = self.memory.get(word)
         if x is None:
             if len(self.memory) >= MEMORY:  # words that come again move from the older half
                 self.older, self.memory = self.memory, {}
             x = self.older.get(word)
             if x is None:
-                x = self.word(word.decode().replace(" ", SPACE))
+                x = self.word(word.decode().replace(" ", SPACE))[0]
             self.memory[word] = x
         return x
 
@@ -150,16 +157,16 @@ class Vocabulary:
         start[first] = True
         return np.flatnonzero(start)
 
-    def look_up(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word, score of each word) of the words that begin at ``starts`` and cover ``raw``."""
+    def look_up(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of the words that begin at ``starts`` and cover ``raw``."""
         edges = np.append(starts, len(raw)).astype(np.int64)
         all_words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         code = all_words.indices.to_numpy()
         found = [self.known(w) for w in all_words.dictionary.to_pylist()]
-        count = np.array([len(x[0]) // 4 for x in found], np.int64)
-        ids = np.frombuffer(b"".join(x[0] for x in found), "<i4")
+        count = np.array([len(x) // 4 for x in found], np.int64)
+        ids = np.frombuffer(b"".join(found), "<i4")
         n = count[code]
-        return ids[_spans((np.cumsum(count) - count)[code], n)], n, np.array([x[1] for x in found])[code]
+        return ids[_spans((np.cumsum(count) - count)[code], n)], n
 
     def encode(self, col: pa.Array) -> pa.Array:
         """The ids of each text; of null, null."""
@@ -169,13 +176,13 @@ class Vocabulary:
         raw, off = K.text_buffers(col)
         at = 0
         while at < len(col):
-            to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 21), "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + TEXT, "right")) - 1)
             own, edges = raw[off[at] : off[to]], off[at : to + 1] - off[at]
             some = np.diff(edges) > 0
             own, edges = np.insert(own, edges[:-1][some], 32), edges + np.concatenate([[0], np.cumsum(some)])  # the dummy prefix
             if len(own):
                 starts = self.word_starts(own, edges[:-1][some])
-                ids, n, _ = self.look_up(own, starts)
+                ids, n = self.look_up(own, starts)
                 first = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, edges)]
             else:
                 ids, first = np.zeros(0, np.int32), edges
@@ -187,9 +194,9 @@ class Vocabulary:
     def decode(self, col: pa.Array) -> pa.Array:
         """The text of each row of ids, null of null. Invalid bytes become U+FFFD, ids that the vocabulary lacks the sign for the unknown; null ids are left out. One leading space, the dummy prefix, goes."""
         out, at = [], 0
-        size = len(self.bytes)
+        size, edges = len(self.bytes), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())])
         while at < len(col):
-            part = col.slice(at, 1 << 9)
+            part = col.slice(at, max(1, int(np.searchsorted(edges, edges[at] + IDS, "right")) - 1 - at))
             at += len(part)
             flat = part.flatten()
             count = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy())])
@@ -236,8 +243,8 @@ class Vocabulary:
         raw = np.frombuffer(text[lo:hi].replace(SPACE, " ").encode(), np.uint8)
         ids, score = b"", 0.0
         if len(raw):
-            flat, _, scores = self.look_up(raw, self.word_starts(raw, np.zeros(1, int)))
-            ids, score = flat.astype("<i4").tobytes(), scores.sum()
+            flat, _ = self.look_up(raw, self.word_starts(raw, np.zeros(1, int)))
+            ids, score = flat.astype("<i4").tobytes(), self.score[flat].sum()
         tail = self._steps(text[hi:], size - hi, np.zeros(1, int), False)[0]
         m = self._fit(best[lo][:, None] + score + tail[size - hi : size - hi + w].T, w)
         return m, np.repeat(self._ranks(came, lo, w)[:, None], w, axis=1), text[:lo] + text[hi:], lo, hi, ids
@@ -326,7 +333,9 @@ def states(matrices: list[np.ndarray], ranks: list[np.ndarray]) -> list[tuple[in
 
 def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... up to n[0] of them, then those of start[1], and so on."""
-    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 def _ids(flat: list[bytes | None]) -> pa.Array:
