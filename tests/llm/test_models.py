@@ -60,6 +60,12 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.where("false"), df, 10).count() == 0 and topk.top_k(df, df.where("false"), 10).count() == 0
 
 
+def test_top_k_refuses_what_it_cannot_add_exactly(spark):
+    df = spark.createDataFrame([(i, [1e13, 1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exact"):
+        topk.top_k(df, df.where("vec_id = 0"), 3).collect()
+
+
 def test_top_k_takes_queries_of_another_table(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(size=6).tolist()) for i in range(60)]
@@ -132,6 +138,8 @@ def test_round_trip(spark):
     df = spark.createDataFrame([(i, t, "k", i) for i, t in enumerate(texts)], "doc_id long, text string, row string, __row int")
     rows = pieces.decode(pieces.encode(df, chunk=500)).collect()
     assert len(rows) == len(texts) and all(r.decoded == r.text and (r.tokens is None) == (r.text is None) and r.row == "k" and r["__row"] == r.doc_id for r in rows)
+    once = pieces.encode(df, chunk=500, decoded_col="__row").collect()
+    assert {(r.doc_id, r["__row"], len(r.tokens or [])) for r in once} == {(r.doc_id, r.text, len(r.tokens or [])) for r in rows}
     assert {r.doc_id: r.tokens for r in rows} == {r.doc_id: r.tokens for r in pieces.encode(df).collect()}
     assert pieces.encode(df.where("false")).count() == 0
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import small_batches
+from .shared import frees, small_batches
 
 U = np.uint64
 #: Hamming radius of the fingerprints, of 64 bits.
@@ -170,7 +170,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: fl
                 lists = [sorted(g.items()) for g in got]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array([[i for i, _ in x] for x in lists], pa.list_(pa.int64())), pa.array([[s for _, s in x] for x in lists], pa.list_(pa.float64()))], ["id", "text", "items", "similarities"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(frees(run), schema)
     return out.select("id", "items", "similarities")
 
 
@@ -188,5 +188,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
                 if clean.num_rows:
                     yield clean
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(frees(run), docs.schema)
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, release
+from .shared import cut, frees, release
 
 #: Nodes of a bucket that one task compares with those that are left.
 SALTED = 500
@@ -89,7 +89,7 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
             yield out(*held, np.array([gone is None or held[0][0] != gone]))
 
     dealt = rows.select("key", "node").repartition("key").sortWithinPartitions("key", F.expr(order), "node")
-    return dealt.mapInArrow(run, "key long, hub long, x long, alone boolean")
+    return dealt.mapInArrow(frees(run), "key long, hub long, x long, alone boolean")
 
 
 def bucket_stars(rows: DataFrame) -> DataFrame:

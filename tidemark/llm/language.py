@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .learn import held, sample_texts, strings
-from .shared import small_batches
+from .shared import frees, small_batches
 
 BUCKETS, WIDTH = 8192, 16
 #: Training sample: rows of each language, and the longest text taken into it.
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+    return src.mapInArrow(frees(run), f"id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -181,7 +181,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             if good.num_rows:
                 yield good
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frees(run), docs.schema)
 
 
 __all__ = ["Model", "train", "identify", "keep_identified", "held"]

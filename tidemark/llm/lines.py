@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import bucket_stars, similarity_groups, stars
-from .shared import BROADCAST_ROWS, cut, fresh, release, small_batches
+from .shared import BROADCAST_ROWS, cut, frees, fresh, release, small_batches
 
 U = np.uint64
 RADIUS, MIN_WORDS, SIMILARITY = 3, 5, 0.8
@@ -118,7 +118,7 @@ def _scan(docs: DataFrame, schema: str, read: Callable, block: Callable) -> Data
         if got:
             yield from block(got)
 
-    return docs.select("id", F.xxhash64("text").alias("version"), "text").mapInArrow(run, schema)
+    return docs.select("id", F.xxhash64("text").alias("version"), "text").mapInArrow(frees(run), schema)
 
 
 def _occurrences(got: list[tuple]) -> tuple:
@@ -231,7 +231,7 @@ def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
                 longer.append(max(len(x), len(y)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(longer, pa.int32())], ["a", "b", "ta", "tb", "longer"])
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ta string, tb string, longer int")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(frees(run), "a long, b long, ta string, tb string, longer int")
 
 
 def block_keys(radius: int = RADIUS, count: int = 0) -> str:

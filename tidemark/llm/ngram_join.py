@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import bucket_stars, similarity_groups
-from .shared import broadcast_if_small, cut, release, small_batches
+from .shared import broadcast_if_small, cut, frees, release, small_batches
 
 U = np.uint64
 
@@ -205,7 +205,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                     ["id", "n_shingles", "class", "sift", "keys"],
                 )
 
-    table = cut(src.mapInArrow(scan, "id long, n_shingles long, class long, sift array<long>, keys array<long>"), "sketch")
+    table = cut(src.mapInArrow(frees(scan), "id long, n_shingles long, class long, sift array<long>, keys array<long>"), "sketch")
     entries = table.select(F.explode("keys").alias("key"), F.col("class").alias("node"))
     if all_links:
         entries = cut(entries.where("node is not null").distinct(), "entries")
@@ -231,7 +231,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                     out = pa.record_batch([batch.column(1).slice(a, b - a), K.lists(pa.array(K.signed(h)), first)], ["class", "tokens"])
                     yield out.filter(pa.array(classes(h, first) == out.column(0).to_numpy()))
 
-        return texts.select("text", "class").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
+        return texts.select("text", "class").mapInArrow(frees(run), "class long, tokens array<long>").dropDuplicates(["class"])
 
     def verify(near: DataFrame) -> DataFrame:
         own = candidates_of(near)

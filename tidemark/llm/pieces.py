@@ -21,9 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import kernels as K
-from .shared import cut, fresh, small_batches
+from .shared import cut, frees, fresh, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -345,25 +346,28 @@ def _ids(flat: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), values, mask=mask)
 
 
-def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col: str = "tokens", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with the ids of every whole text in ``out_col`` (array<int>), which replaces a column of that name.
+def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col: str = "tokens", chunk: int = CHUNK, decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of every whole text in ``out_col`` (array<int>), and what they decode to in ``decoded_col`` if one is named; these replace columns of these names.
 
     A null text has null ids, an empty one none. ``chunk``, the characters that one task takes at once, changes no id. Repeated rows, null ids and other columns, whatever
     their names, are kept as they are; row order isn't. An empty table gives an empty table."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # a vocabulary's size
-    src = docs.drop(out_col)
+    src = docs.drop(out_col, decoded_col) if decoded_col else docs.drop(out_col)
     at = src.columns.index(text_col)
     full = src.withColumn(out_col, F.lit(None).cast("array<int>")).schema
+    both = StructType([*full, StructField(decoded_col, StringType())]) if decoded_col else full
     size = F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0))
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for b in batches:
-            yield pa.record_batch([*b.columns, v.encode(b.column(at))], [*b.schema.names, out_col])
+            ids = v.encode(b.column(at))
+            back = [v.decode(ids)] if decoded_col else []
+            yield pa.record_batch([*b.columns, ids, *back], both.names)
 
-    short = src.where(size <= chunk).mapInArrow(direct, full)
+    short = src.where(size <= chunk).mapInArrow(frees(direct), both)
     giant = src.where(size > chunk)
     if giant.isEmpty():
         return short
@@ -386,8 +390,8 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
                 yield pa.record_batch([pa.array([row], pa.int64()), *[pa.array([x], pa.int32()) for x in (c, n, lo, hi)], pa.array([rest]), *[pa.array([x], pa.binary()) for x in (middle, m.tobytes(), ranks.astype(np.uint8).tobytes())]], ["row", "chunk", "size", "lo", "hi", "rest", "middle", "matrix", "ranks"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = giant.select(key, f"`{text_col}`").mapInArrow(split, "row long, chunk int, size int, text string").repartition(tasks, "row", "chunk")
-    chunks = cut(pieces.mapInArrow(transfer, "row long, chunk int, size int, lo int, hi int, rest string, middle binary, matrix binary, ranks binary"), "chunks")
+    pieces = giant.select(key, f"`{text_col}`").mapInArrow(frees(split), "row long, chunk int, size int, text string").repartition(tasks, "row", "chunk")
+    chunks = cut(pieces.mapInArrow(frees(transfer), "row long, chunk int, size int, lo int, hi int, rest string, middle binary, matrix binary, ranks binary"), "chunks")
 
     def chain(key_: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -405,10 +409,10 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", out_col:
             ids = [v.trace(*x) for x in zip(*[d[c] for c in ("rest", "lo", "middle", "size", "hi", "s", "e")], strict=True)]
             yield pa.record_batch([b.column("row"), b.column("chunk"), _ids(ids)], ["row", "chunk", "ids"])
 
-    traced = chunks.drop("matrix", "ranks").join(ways, ["row", "chunk"]).mapInArrow(trace, "row long, chunk int, ids array<int>")
+    traced = chunks.drop("matrix", "ranks").join(ways, ["row", "chunk"]).mapInArrow(frees(trace), "row long, chunk int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids)")).alias(out_col))
     long = giant.join(whole.withColumnRenamed("row", key), key).select(*[f"`{c}`" for c in full.names])
-    return short.unionByName(long)
+    return short.unionByName(decode(long, path, out_col, decoded_col) if decoded_col else long)
 
 
 def decode(docs: DataFrame, path: str = MODEL, ids_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
@@ -426,4 +430,4 @@ def decode(docs: DataFrame, path: str = MODEL, ids_col: str = "tokens", out_col:
         for b in batches:
             yield pa.record_batch([*b.columns, v.decode(b.column(at))], [*b.schema.names, out_col])
 
-    return src.mapInArrow(run, full)
+    return src.mapInArrow(frees(run), full)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .learn import Adam, platt, sample_texts, sigmoid, strings
-from .shared import small_batches
+from .shared import frees, small_batches
 
 PASSAGE, BUCKETS, WIDTH, GATE = 48, 1024, 16, 8
 PER_CLASS, SAMPLE_BYTES = 1500, 12_000
@@ -161,4 +161,4 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), pa.array(own.value.score(b.column(1)), pa.float64())], ["id", "score"])
 
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
+    return src.mapInArrow(frees(run), f"id {src.schema['id'].dataType.simpleString()}, score double")

@@ -123,9 +123,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import decode, encode
+    from .pieces import encode
 
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

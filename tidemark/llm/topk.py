@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import frees
+
 QUERIES, SHARD, LEAF = 4096, 16_384, 64
 
 
@@ -90,8 +92,7 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, best: Best) -
 
 
 def quantise(col: pa.ListArray, ids: np.ndarray, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: (ids, floor(scale * x)). Vectors that are null or hold null or non-finite components are left out; components
-    saturate at 2**52, so that all arithmetic stays defined."""
+    """By dimension: (ids, floor(scale * x)). Vectors that are null or hold null or non-finite components are left out."""
     n = len(col)
     if not n:
         return {}
@@ -104,18 +105,24 @@ def quantise(col: pa.ListArray, ids: np.ndarray, scale: float) -> dict[int, tupl
     out = {}
     for d in np.unique(size[ok]).tolist():
         own = np.flatnonzero(ok & (size == d))
-        points = np.clip(np.floor(scale * value[at[own][:, None] + np.arange(d)]), -(2.0**52), 2.0**52)
+        points = np.floor(scale * value[at[own][:, None] + np.arange(d)])
         out[d] = (ids[own], points)
     return out
 
 
+def refuse_inexact(points: np.ndarray, queries: np.ndarray) -> None:
+    """Scores are sums in double precision, exact as long as no partial sum can reach 2**53."""
+    if len(points) and len(queries) and (np.abs(points).max(axis=0) * np.abs(queries).max(axis=0)).sum() >= 2.0**53:
+        raise ValueError("components so large that inner products are not exact in double precision (2**53)")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale * x) over all other rows.
 
     Ties go to smaller ids. A candidate has another id than the query, and its dimension. Rows with a null id or vector, or with null
     or non-finite components, take no part, nor do empty vectors; a query that takes no part gives no rows, one with
     fewer than k candidates all of them. Repeated candidates count each; repeated query ids count once (their first vector in
-    value order). Scores are exact below 2**53 and rounded beyond. Other columns are ignored."""
+    value order). Scores are exact; components so large that they could not be (2**53) are refused with an error. Other columns are ignored."""
     spark = vectors.sparkSession
     pick = lambda d: d.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null and v is not null")
     rows, asked = pick(vectors), pick(queries)
@@ -130,6 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         for d, (ids, points) in block.items():
             floor = np.full(len(ids), -np.inf)
             known = np.isin(ids, there)
+            refuse_inexact(points, points)
             if known.sum() > k:
                 for q in range(len(ids)):
                     s = points @ points[q]
@@ -146,6 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
             def flush(d: int) -> None:
                 ids, points = (np.concatenate(x) for x in zip(*wait[d], strict=True))
                 wait[d] = []
+                refuse_inexact(points, where.value[d][1])
                 search(Tree(points, ids), where.value[d][1], where.value[d][0], best[d])
 
             for b in batches:
@@ -162,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
                 if sum(n):
                     yield pa.record_batch([pa.array(np.repeat(where.value[d][0], n)), pa.array(np.concatenate(best[d].id)), pa.array(np.concatenate(best[d].score).astype(np.int64))], ["query_id", "vec_id", "score"])
 
-        one = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        one = rows.mapInArrow(frees(run), "query_id long, vec_id long, score long")
         out = one if out is None else out.union(one)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
