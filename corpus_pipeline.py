@@ -41,7 +41,7 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every kept text, checked by decoding them."""
-    out = pieces.decode(pieces.encode(docs))
+    out = pieces.encode(docs, decoded_col="decoded")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("tokens").cast("long").alias("n_tokens"), "tokens", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
