@@ -266,8 +266,10 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         want = lines.groupBy("id", "version").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
         few = lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"]).dropDuplicates(["id", "version"])
-        texts = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w"))
-        norm = F.translate(F.trim(F.regexp_replace(F.get("all", F.col("w.line")), r"[\x20\x09-\x0D]+", " ")), UPPER, UPPER.lower())
+        picked = """aggregate(array(split(text, '\\n', -1)), cast(array() as array<struct<hash:bigint,t:string>>),
+          (a, x) -> transform(want, w -> struct(w.hash as hash, get(x, w.line) as t)))"""  # a text is split once
+        texts = texts.select(F.explode(F.expr(picked)).alias("w"))
+        norm = F.translate(F.trim(F.regexp_replace("w.t", r"[\x20\x09-\x0D]+", " ")), UPPER, UPPER.lower())
         texts = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
         pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         if radius is None:
