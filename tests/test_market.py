@@ -6,8 +6,8 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import market
-from tidemark.operators import features, intervals, representation, research, simulation, validation
+from tidemark.plans import market, portfolio as portfolio_plans, records, research as research_plans  # noqa: F401
+from tidemark.operators import features, intervals, portfolio, representation, research, simulation, validation
 
 from .conftest import SMALL
 
@@ -84,11 +84,28 @@ def test_threshold_signs(spark):
     assert [r[0] for r in rows.select(research.threshold(F.col("v"), "!=", F.lit(0), "+")).collect()] == [False, False, True]
 
 
-def test_positions_fold(spark):
-    fills = spark.createDataFrame([("r", "X", 1, "a", "buy", "10", "2"), ("r", "X", 2, "b", "buy", "13", "1"), ("r", "X", 3, "c", "sell", "14", "1"), ("r", "X", 4, "d", "sell", "9", "3")], "run_id string, instrument string, ts_us long, fill_id string, side string, price string, quantity string")
-    fills = fills.selectExpr("run_id", "instrument", "ts_us", "fill_id", "side", "cast(price as decimal(18,2)) price", "cast(quantity as decimal(18,2)) quantity")
-    rows = {r.fill_id: (r.position, r.basis, r.realized) for r in simulation.positions(fills).collect()}
-    assert rows["b"] == (3.0, 33.0, 0.0) and rows["c"] == (2.0, 22.0, 3.0) and rows["d"] == (-1.0, 9.0, -4.0)
+def _side(spark, rows, side="long"):
+    fills = [("r", "X", side, i, f"{i:03}", action, price, size) for i, (action, price, size) in enumerate(rows)]
+    df = spark.createDataFrame(fills, "run_id string, instrument string, side string, ts_us long, fill_id string, action string, price string, quantity string")
+    return portfolio.hedged(df)
+
+
+def test_sides_at_average_cost(spark):
+    rows = [("increase", "10", "2"), ("increase", "13", "1"), ("decrease", "14", "1"), ("decrease", "9", "2")]
+    for side, sign in (("long", 1), ("short", -1)):
+        got = [tuple(float(x) for x in (r.open, r.basis, r.realized)) for r in _side(spark, rows, side).orderBy("ts_us").collect()]
+        assert got == [(2, 20, 0), (3, 33, 0), (2, 22, 3 * sign), (0, 0, -4 * sign)]
+        lines = portfolio.unbalanced(portfolio.journal(_side(spark, rows, side))).collect()
+        assert len(lines) == 4 and all(x.balanced for x in lines)
+    exact = _side(spark, [("increase", "10", "3"), ("decrease", "1", "1"), ("decrease", "1", "1"), ("decrease", "1", "1")]).orderBy("ts_us").collect()
+    assert float(exact[-1].basis) == 0 and float(exact[-1].open) == 0
+
+
+def test_sides_refuse(spark):
+    for bad in ([("decrease", "10", "1")], [("increase", "10", "1"), ("decrease", "10", "2")], [("increase", "10", "0")], [("increase", None, "1")], [("grow", "10", "1")]):
+        with pytest.raises(Exception, match="fill"):
+            _side(spark, bad).collect()
+    assert _side(spark, []).count() == 0
 
 
 def test_slices_chain(spark):
@@ -122,7 +139,7 @@ def test_overfitting_takes_all_hours(spark, duck):
         return out
 
     found = lambda f: {x.split: (x.winner, x["rank"], round(x.logit, 6)) for x in f.collect()}
-    assert found(market.backtest_overfitting(spark, GATE)) == brute(panel)
+    assert found(research_plans.backtest_overfitting(spark, GATE)) == brute(panel)
     odd = {t: x[:101] for t, x in panel.items()}  # six does not divide it
     rows = spark.createDataFrame([(t, i, v) for t, x in odd.items() for i, v in enumerate(x)], "trial string, pos int, r double")
     assert found(validation.overfitting(rows, 6)) == brute(odd)
@@ -141,7 +158,7 @@ def test_centroid_baseline_takes_all_components(spark, duck):
     centres = np.array([z[train & (labels == c)].mean(axis=0) for c in classes])
     score = 1 / (1 + ((z[~train][:, None] - centres[None]) ** 2).sum(axis=2))
     p = score / score.sum(axis=1, keepdims=True)
-    got = {r.sample_id: (r.label, r.p) for r in market.centroid_baseline(spark, GATE).collect()}
+    got = {r.sample_id: (r.label, r.p) for r in research_plans.centroid_baseline(spark, GATE).collect()}
     assert sorted(got) == ids[~train].tolist()
     for i, own in zip(ids[~train].tolist(), p, strict=True):
         assert got[i][0] == classes[int(own.argmax())] and abs(got[i][1] - own.max()) < 1e-7

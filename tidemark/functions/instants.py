@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"
+#: Units of a duration in nanoseconds, and its clock form.
+CLOCK = r"(\d+):([0-5]\d):([0-5]\d)(?:\.(\d{1,9}))?"
 UNITS = {"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9, "d": 86400 * 10**9}
 
 
@@ -31,11 +33,18 @@ def format_ns(ns: Column) -> Column:
 
 
 def parse_duration(value: int | str) -> int:
-    """Nanoseconds of 300, '5m', '100ms' or 'HH:MM:SS.f'."""
-    if isinstance(value, int):
-        return value
-    if m := re.fullmatch(r"(\d+)(ns|us|ms|s|m|h|d)", value):
-        return int(m[1]) * UNITS[m[2]]
-    if m := re.fullmatch(r"(\d+):([0-5]\d):([0-5]\d)(?:\.(\d{1,9}))?", value):
-        return (int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3])) * 10**9 + int((m[4] or "").ljust(9, "0"))
-    raise ValueError(f"not a duration: {value!r}")
+    """Nanoseconds, above zero, of 300, '300', '5m', '100ms' or 'HH:MM:SS.f'; anything else is refused."""
+    if isinstance(value, str):
+        text = value.strip()
+        number = text.rstrip("nusmhd")
+        if ":" in text:
+            clock = re.fullmatch(CLOCK, text)
+            parts = clock.groups(default="") if clock else None
+            found = sum(int(x) * 60**i for i, x in enumerate(reversed(parts[:3]))) * UNITS["s"] + int(parts[3].ljust(9, "0")) if parts else 0
+        else:
+            found = int(number) * UNITS.get(text[len(number) :] or "ns", 0) if number.isascii() and number.isdigit() else 0
+    else:
+        found = value if type(value) is int else 0
+    if found <= 0:
+        raise ValueError(f"not a duration: {value!r}")
+    return found

@@ -1,9 +1,8 @@
-"""Fills, positions and ledgers: stateful per (run, instrument), parallel over them."""
+"""Costs of fills, sizing, and slices of a live stream."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,40 +28,6 @@ def sized(target: Column, budget: Column, price: Column, most: Column, least: Co
     return F.when(lots < least, 0).otherwise(lots)
 
 
-def _fold(key: tuple, fills: pd.DataFrame) -> pd.DataFrame:
-    fills = fills.sort_values(["ts_us", "fill_id"])
-    quantity = basis = Decimal(0)
-    out = []
-    for f in fills.itertuples():
-        realized, left = Decimal(0), f.quantity
-        way = 1 if f.side == "buy" else -1
-        if quantity and (quantity > 0) != (way > 0):
-            size = abs(quantity)
-            if left >= size:  # a full close takes the exact rest of the basis
-                realized = (f.price * size - basis) * (1 if quantity > 0 else -1)
-                left -= size
-                quantity = basis = Decimal(0)
-            else:
-                average = basis / size
-                realized = (f.price - average) * left * (1 if quantity > 0 else -1)
-                basis -= average * left
-                quantity += way * left
-                left = Decimal(0)
-        if left:
-            basis += f.price * left
-            quantity += way * left
-        out.append((*key, f.fill_id, float(quantity), float(basis), float(realized)))
-    return pd.DataFrame(out, columns=["run_id", "instrument", "fill_id", "position", "basis", "realized"])
-
-
-def positions(fills: DataFrame) -> DataFrame:
-    """After every fill of a (run_id, instrument): position, cost basis and what the fill realised, at average cost.
-
-    Average cost is no window aggregate once positions shrink, so each group folds in order. A fill beyond the open position closes it
-    and opens the other side. ``fills``: run_id, instrument, ts_us, fill_id, side, price, quantity (decimals)."""
-    return fills.groupBy("run_id", "instrument").applyInPandas(_fold, "run_id string, instrument string, fill_id string, position double, basis double, realized double")
-
-
 def slices(trades: DataFrame, most: int, seconds: int) -> DataFrame:
     """(instrument, trade_id, slice): greedy cuts by number of trades, time since the first, and UTC midnight; equal instants stay together.
 

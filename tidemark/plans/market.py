@@ -219,11 +219,6 @@ def event_study(spark, sf_dir):
     return research.study(_outcomes(spark, sf_dir), ["horizon"]).withColumns({m: F.round(m, 9) for m in _STUDIED})
 
 
-@query(f"WITH {T}, {bars_sql(HOUR)}, {OUTCOMES} SELECT instrument, horizon, {_STUDY} FROM o GROUP BY 1, 2")
-def parameter_sweep(spark, sf_dir):
-    return research.study(_outcomes(spark, sf_dir), ["instrument", "horizon"]).withColumns({m: F.round(m, 9) for m in _STUDIED})
-
-
 FOLDS = f"fo AS (SELECT x::INTEGER AS fold, 0::BIGINT AS train_start, (1704067200000000 + x * {5 * DAY})::BIGINT AS test_start, (1704067200000000 + (x + 1) * {5 * DAY})::BIGINT AS test_end FROM range(4) r(x))"
 
 
@@ -281,16 +276,6 @@ def sharpe_moments(spark, sf_dir):
     return validation.moments(_returns(spark, sf_dir), ["trial"]).withColumns({"sharpe": F.round("sharpe", 9), "skew": F.round("skew", 6), "kurtosis": F.round("kurtosis", 6)})
 
 
-@query(f"""WITH {T}, {bars_sql(HOUR)}, {RETURNS}, u AS (SELECT *, pos // 10 AS block FROM q WHERE pos < 60),
-sp AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS split, a, b, c FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c),
-h AS (SELECT split, trial, block IN (a, b, c) AS inside, avg(r) / stddev_samp(r) AS sr FROM u, sp GROUP BY 1, 2, 3),
-wi AS (SELECT split, arg_min(trial, (-sr, trial)) AS winner FROM h WHERE inside GROUP BY 1),
-rk AS (SELECT split, trial, count(*) OVER (PARTITION BY split) AS n, row_number() OVER (PARTITION BY split ORDER BY sr) AS p, sr FROM h WHERE NOT inside)
-SELECT rk.split::INTEGER AS split, winner, p::DOUBLE AS rank, round(ln((p / (n + 1)) / (1 - p / (n + 1))), 9) AS logit FROM rk JOIN wi ON wi.split = rk.split AND wi.winner = rk.trial""")
-def backtest_overfitting(spark, sf_dir):
-    return validation.overfitting(_panel(spark, sf_dir), 6).withColumn("logit", F.round("logit", 9))
-
-
 @query("""WITH p AS (SELECT l.quality AS label, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 c AS (SELECT unnest([0, 1])::INTEGER AS class), x AS (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (label = class AND predicted = class) AS hits, count(*) FILTER (predicted = class) AS said FROM p, c GROUP BY 1)
 SELECT class, support, round(CASE WHEN said = 0 THEN 0 ELSE hits / said END, 9) AS precision, round(CASE WHEN support = 0 THEN 0 ELSE hits / support END, 9) AS recall,
@@ -301,21 +286,6 @@ def classification_metrics(spark, sf_dir):
     return out.withColumns({m: F.round(m, 9) for m in ("precision", "recall", "f1")})
 
 
-_SAMPLES = """sa AS (SELECT vec_id AS sample_id, label, vec_id % 5 <> 0 AS train, unnest(range(1, 9)) AS feature, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings),
-no AS (SELECT feature, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-12 THEN 1 ELSE stddev_pop(x) END AS scale FROM sa WHERE train GROUP BY 1), z AS (SELECT sample_id, label, train, sa.feature, (x - mean) / scale AS x FROM sa JOIN no ON no.feature = sa.feature),
-ce AS (SELECT label, feature, avg(x) AS centre FROM z WHERE train GROUP BY 1, 2), di AS (SELECT sample_id, ce.label, sum((x - centre) ** 2) AS d2 FROM z JOIN ce ON ce.feature = z.feature WHERE NOT train GROUP BY 1, 2),
-pr AS (SELECT sample_id, label, 1 / (1 + d2) / sum(1 / (1 + d2)) OVER (PARTITION BY sample_id) AS p FROM di)"""
-
-
-@query(f"WITH {_SAMPLES} SELECT sample_id, label, round(p, 8) AS p FROM pr QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, label) = 1")
-def centroid_baseline(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", (F.col("vec_id") % 5 != 0).alias("train"), F.posexplode("embedding").alias("feature", "x")).withColumn("x", F.col("x").cast("double"))
-    fitted = learning.fit_normalizer(rows.where("train"))
-    scaled = learning.normalize(rows, fitted)
-    centres = learning.centroids(scaled.where("train").withColumn("w", F.lit(1.0)))
-    return learning.top_prediction(learning.predict(scaled.where("not train"), centres)).withColumn("p", F.round("p", 8))
-
-
 @query("SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_quantity)) AS payloads FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT (l_partkey, l_quantity)) > 1")
 def conflicting_keys(spark, sf_dir):
     return merging.conflicts(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_quantity"])
@@ -330,20 +300,6 @@ def archive_comparison(spark, sf_dir):
     return merging.compare(t.where("size <> 2"), right, "trade_id", ["price", "size"])
 
 
-@query(f"WITH {T} SELECT instrument, ts_us, trade_id, price::DOUBLE AS price FROM t")
-def historical_live_convergence(spark, sf_dir):
-    t = trades(spark, sf_dir)
-    cut = 1_704_067_200_000_000 + 10 * DAY
-    out = merging.converge(t.where(F.col("ts_us") <= cut), t.where("size <> 2").unionByName(t.where((F.col("ts_us") > cut) & (F.col("size") == 2))), cut, ["ts_us", "trade_id"], ["price", "size"])
-    return doubles(out.select("instrument", "ts_us", "trade_id", "price"), "price")
-
-
-@query(f"WITH {T}, x AS (SELECT *, lag((ts_us, trade_id)) OVER (PARTITION BY instrument ORDER BY trade_id::BIGINT) AS p FROM t) SELECT instrument, trade_id, ts_us FROM x WHERE (ts_us, trade_id) <= p")
-def order_integrity(spark, sf_dir):
-    t = trades(spark, sf_dir).withColumn("position", F.col("trade_id").cast("long"))
-    return order_violations(t, ["instrument"], "position", ["ts_us", "trade_id"]).select("instrument", "trade_id", "ts_us")
-
-
 @query(f"WITH {T} SELECT instrument, count(*) AS trades, count(*) FILTER (aggressor_side = 'buy') AS buys, count(*) FILTER (aggressor_side = 'sell') AS sells, count(*) FILTER (trade_id IS NULL) AS null_ids, min(ts_us) AS first_us, max(ts_us) AS last_us FROM t GROUP BY 1")
 def side_stats(spark, sf_dir):
     return representation.side_stats(trades(spark, sf_dir))
@@ -357,12 +313,6 @@ def _book(spark, sf_dir):
     return t.select("instrument", F.col("trade_id").cast("long").alias("seq"), "ts_us", F.when(F.col("trade_id").cast("long") % 500 < 5, "snapshot").otherwise("delta").alias("event_type"), F.when(buy, F.array(level)).otherwise(none).alias("bids"), F.when(~buy, F.array(level)).otherwise(none).alias("asks"), F.floor(F.col("trade_id").cast("long") / 5).alias("update_id"))
 
 
-@query(f"""WITH {T}, c AS (SELECT instrument, trade_id::BIGINT AS seq, CASE WHEN aggressor_side = 'buy' THEN 'bid' ELSE 'ask' END AS side, floor(price / 50) AS price, size - 1 AS size FROM t),
-l AS (SELECT instrument, side, price, arg_max(size, seq) AS size FROM c GROUP BY 1, 2, 3) SELECT instrument, side, price::DOUBLE AS price, size::DOUBLE AS size FROM l WHERE size <> 0""")
-def book_state(spark, sf_dir):
-    return doubles(book.state_at(book.levels(_book(spark, sf_dir)), ["instrument"]), "price", "size")
-
-
 @query(f"""WITH {T}, e AS (SELECT instrument, trade_id::BIGINT AS seq, trade_id::BIGINT % 500 < 5 AS snap, trade_id::BIGINT // 5 AS u FROM t),
 s AS (SELECT *, sum(snap::INTEGER) OVER w AS segment, CASE WHEN NOT snap AND u IS DISTINCT FROM lag(u) OVER w + 1 THEN 1 ELSE 0 END AS broken FROM e WINDOW w AS (PARTITION BY instrument ORDER BY seq)),
 a AS (SELECT *, segment > 0 AND sum(broken) OVER (PARTITION BY instrument, segment ORDER BY seq) = 0 AS anchored FROM s) SELECT instrument, segment::BIGINT AS segment, count(*) AS events, count(*) FILTER (anchored) AS anchored FROM a GROUP BY 1, 2""")
@@ -395,16 +345,3 @@ def instant_text(spark, sf_dir):
     return trades(spark, sf_dir).select("trade_id", format_ns(F.col("ts_us") * 1000).alias("instant"))
 
 
-@query()
-def average_cost_positions(spark, sf_dir):
-    from ..operators.simulation import positions
-
-    t = trades(spark, sf_dir)
-    return positions(t.select(F.lit("run").alias("run_id"), "instrument", "ts_us", F.col("trade_id").alias("fill_id"), F.col("aggressor_side").alias("side"), "price", F.col("size").alias("quantity")))
-
-
-@query()
-def live_slices(spark, sf_dir):
-    from ..operators.simulation import slices
-
-    return slices(trades(spark, sf_dir), 200, 6 * 3600)
