@@ -176,6 +176,86 @@ def test_personal_data(spark):
     assert pii.extract(df.where("false")).count() == 0
 
 
+def _bootstrapped(texts, confidence=pii.CONFIDENCE, support=pii.SUPPORT, rounds=pii.ROUNDS):
+    """The discovered spans of ASCII texts, found without Spark."""
+    occur = []
+    for i, t in enumerate(texts):
+        base = [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        hits = list(re.finditer(pii.TOKEN, t))
+        for n, m in enumerate(hits):
+            before, after = t[hits[n - 1].end() if n else 0 : m.start()], t[m.end() : hits[n + 1].start() if n + 1 < len(hits) else len(t)]
+            kind = next((k for k in PATTERNS for b in base if b[0] == k and b[1] < m.end() and b[2] > m.start()), None)
+            lead = len(re.match(r"[^0-9A-Za-z+(]*", m[0])[0])
+            core = re.match(r"[^0-9A-Za-z+(]*+(.*?)[^0-9A-Za-z]*$", m[0], re.S)
+            core = core[1] if core else ""
+            group = lambda p, x: (lambda g: re.sub(r"\s+", " ", g[1]).lower() if g else "")(re.search(p, x))
+            left, right = group(r"(?<!\S)(\S++\s++\S++)\s++$", before), group(r"^\s++(\S++\s++\S++)", after)
+            beside, behind, key = group(r"(?<!\S)(\S++)\s++$", before), group(r"^\s++(\S++)", after), group(r"^([^0-9@=:]{2,40}[=:])", m[0])
+            patterns = [f"before {left}" if left else None, f"after {right}" if right else None, f"around {beside} _ {behind}" if beside and behind else None, f"key {key}" if key else None]
+            if core:
+                occur += [(i, m.start() + lead, m.start() + lead + len(core), core, kind, p) for p in patterns if p]
+    kinds, edges = {}, {}
+    for *_, core, kind, p in occur:
+        edges.setdefault(p, {}).setdefault(core, set()).add(kind)
+    edges = {p: {c: max((k for k in ks if k), default=None) for c, ks in own.items()} for p, own in edges.items()}
+    for own in edges.values():
+        for c, k in own.items():
+            if k:
+                kinds.setdefault(c, {})[k] = 1.0
+    seeds, sure, scored = dict(kinds), dict(kinds), {}
+    for _ in range(rounds):
+        scored = {}
+        for p, own in edges.items():
+            for k in PATTERNS:
+                known = [sure[c][k] for c in own if k in sure.get(c, {})]
+                if sum(x >= confidence for x in known) >= support and sum(known) / len(own) >= confidence:
+                    scored[p, k] = sum(known) / len(own)
+        sure = dict(seeds)
+        for c in {c for own in edges.values() for c in own} - set(seeds):
+            for k in PATTERNS:
+                left = [1.0000001 - scored[p, k] for p, own in edges.items() if c in own and own[c] is None and (p, k) in scored]
+                if left:
+                    sure.setdefault(c, {})[k] = 1 - float(np.prod(left))
+    best = {}
+    for (p, k), score in scored.items():
+        best[p] = max(best.get(p, (0, "")), (score, k))
+    out = {}
+    for i, s, e, _, kind, p in occur:
+        if kind is None and p in best:
+            out[i, s, e] = max(out.get((i, s, e), (0, "")), best[p])
+    return {(i, k, s, e) for (i, s, e), (_, k) in out.items()}
+
+
+def test_bootstrapping_matches_brute_force(spark):
+    rng = random.Random(3)
+    name = lambda n=6: "".join(rng.choice("abcdefgh") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"you can write to {name()}@{name()}.org or call us today" for _ in range(30)]  # seeds without a digit
+    texts += [f"you can write to {name()}(at){name()}{digits(1)}.org or call us today" for _ in range(6)]  # found in round one by either side
+    texts += [f"please reach me under {x} at any time" for t in texts[30:36] for x in [t.split()[4]]]  # these back a pattern of their own
+    texts += ["please reach me under nobody@home7 at any time"]  # found in round two only
+    texts += [f"the card on file {digits(4)} {digits(4)} {digits(4)} {digits(4)} has expired now" for _ in range(3)]
+    seed = lambda: next(n + c for n in [digits(15)] for c in "0123456789" if luhn(n + c))
+    texts += [f"the card on file {' '.join(n[j : j + 4] for j in range(0, 16, 4))} has expired now" for n in (seed() for _ in range(20))]
+    texts += [f"in {rng.randint(1900, 2020)} there were {rng.randint(1, 99)} people in the town of {name()}" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.id, m["kind"], m["s"], m["e"]) for r in pii.extract(df).collect() for m in r.more}
+    want = _bootstrapped(texts)
+    assert got == want
+    assert {i for i, *_ in want} >= {*range(30, 36), 42} and any(k == "card" and e - s == 19 for _, k, s, e in want)
+    assert not {i for i, *_ in want} & set(range(len(texts) - 60, len(texts)))
+
+
+def test_many_matches_and_repeated_rows(spark):
+    long = " ".join(f"{i}.1.2.3" for i in range(256)) + " " + "word " * 3000
+    rows = [(1, long, "x"), (1, long, "x"), (None, "7.7.7.7", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cand string")
+    out = pii.extract(df).collect()
+    assert len(out) == 3 and [len(r.ip) for r in sorted(out, key=lambda r: len(r.ip))] == [1, 256, 256]
+    spans = [(m.start(), m.end()) for m in re.finditer(PATTERNS["ip"], long)]
+    assert [(x.s, x.e) for x in next(r.ip for r in out if r.id == 1)] == spans
+
+
 def test_chats_collapse(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (2, 0, "user", "hi"), (2, 1, "assistant", "ho"), (2, 2, "user", "<|im_end|>"), (3, 0, "user", "hi"), (3, 1, "assistant", "no"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, None, None, None), (6, 0, "user", "hi"), (None, 0, "user", "x"), (3, 0, "user", "hi")]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, pos int")

@@ -1,9 +1,10 @@
 """Personal data: patterns for four kinds, and bootstrapped contextual extraction. DataFrame and SQL functions only.
 
-Tokens with a digit are instances; the words before and after them and the key in ``key=value`` are lexical patterns. Entities that the
-base patterns find are the seeds. In every round a pattern's score for a kind is the mean confidence, for that kind, of its
+Instances are tokens with a digit or an ``@``, together with the groups of digits that follow them. The two words before, the two after, the one on either side and
+the key in ``key=value`` are their lexical patterns. Entities that the base patterns find are the seeds. In every round a pattern's score for a kind is the mean confidence, for that kind, of its
 distinct instances; an instance's confidence is the noisy-or of the scores of its patterns. Patterns that
-SUPPORT or more distinct seeds back and that score CONFIDENCE or more discover the identifiers that the base patterns miss.
+SUPPORT or more distinct instances of confidence CONFIDENCE or more back, seeds or found in an earlier round, and that score CONFIDENCE or more discover the identifiers that the base patterns miss;
+what they discover backs further patterns in the next round.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, cut
+from .shared import cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns, written so that a failing start costs no more than a step: a match starts where a run of its first
@@ -31,7 +32,11 @@ VALID = {
     "card": f"length({_DIGITS}) between 13 and 19 and aggregate(transform(split(reverse({_DIGITS}), ''), (x, i) -> case when i % 2 = 0 then cast(x as int) else cast((2 * cast(x as int)) div 10 as int) + (2 * cast(x as int)) % 10 end), 0, (a, x) -> a + x) % 10 = 0",
     "phone": f"length({_DIGITS}) between 9 and 15",
 }
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9()+.-]*+(?<=[0-9()+.-])(?=\s|$|[,;:!?]))*+"
+#: Matches whose array is copied at once while the positions are added up.
+RUN = 256
+#: Discovered spans that may be broadcast.
+FEW = 200_000
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 5, 3
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -40,15 +45,25 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def located(pattern: str) -> str:
-    """SQL: array of (s, e, m, before, after) of the matches of ``pattern`` in ``text``: code points, and the text between matches."""
+def located(pattern: str, more: dict[str, tuple[str, str]] | None = None) -> str:
+    """SQL: array of (s, e, m) of the matches of ``pattern`` in ``text``, in code points; ``more`` are further fields (type, SQL over x.m, the match,
+    x.b and x.n, the text from the match before and to the next).
+
+    Matches are added up in runs of RUN, so that the copies of the growing array stay few."""
     p = _quoted(pattern)
+    more = more or {}
+    fields = "".join(f",{name}:{kind}" for name, (kind, _) in more.items())
+    own = "".join(f", {sql} as {name}" for name, (_, sql) in more.items())
+    none = f"cast(array() as array<struct<s:int,e:int,m:string{fields}>>)"
+    start, end = "i.at + length(x.b)", "i.at + length(x.b) + length(x.m)"
     return f"""
-    aggregate(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (b, m) -> struct(b, m)),
-      struct(0 as at, cast(array() as array<struct<s:int,e:int,m:string,before:string>>) as got),
-      (a, x) -> if(x.m is null, a, struct(a.at + length(x.b) + length(x.m) as at,
-        concat(a.got, array(struct(a.at + length(x.b) as s, a.at + length(x.b) + length(x.m) as e, x.m as m, right(x.b, 80) as before))) as got)),
-      a -> a.got)"""
+    aggregate(array(struct(split(text, {p}, -1) as b, regexp_extract_all(text, {p}, 0) as m)), {none}, (none, t) ->
+      aggregate(array(transform(t.m, (m, k) -> struct(t.b[k] as b, m as m, t.b[k + 1] as n))), none, (nothing, z) ->
+        if(size(z) = 0, none, aggregate(sequence(0, (size(z) - 1) div {RUN}), struct(0 as at, none as got), (a, c) ->
+          aggregate(slice(z, cast(c * {RUN} + 1 as int), {RUN}), struct(a.at as at, none as got),
+            (i, x) -> struct({end} as at, concat(i.got, array(struct({start} as s, {end} as e, x.m as m{own}))) as got),
+            i -> struct(i.at as at, concat(a.got, i.got) as got)),
+          a -> a.got))))"""
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,15 +76,24 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Adds ``cand``: the tokens with a digit as (s, e, core, kind, patterns); kind is that of the base span they lie in, or null."""
+    """Adds ``cand``: the instances as (s, e, core, kind, patterns); kind is that of the base span they meet, or null."""
     kind = "case " + " ".join(f"when exists({k}, y -> y.s < x.e and y.e > x.s) then '{k}'" for k in KINDS) + " end"
-    lead = r"length(regexp_extract(x.m, '^[^0-9A-Za-z+(]*', 0))"
-    core = r"regexp_extract(x.m, '^[^0-9A-Za-z+(]*(.*?)[^0-9A-Za-z]*$', 1)"
-    left = r"lower(regexp_extract(x.before, '(\\S+\\s+\\S+)\\s+$', 1))"
-    key = r"lower(regexp_extract(x.m, '^([^0-9=:]{2,40}[=:])', 1))"
-    out = f"""transform({located(TOKEN)}, x -> struct(x.s + {lead} as s, x.s + {lead} + length({core}) as e, {core} as core, {kind} as kind,
-      filter(array(if({left} = '', null, concat('before ', regexp_replace({left}, '\\\\s+', ' '))), if({key} = '', null, concat('key ', {key}))), z -> z is not null) as patterns))"""
-    return rows.withColumn("cand", F.expr(f"case when text rlike '[0-9]' then {out} else array() end"))
+    lead = r"length(regexp_extract(x.m, '^[^0-9A-Za-z+(]*+', 0))"
+    core = r"regexp_extract(x.m, '^[^0-9A-Za-z+(]*+(.*?)[^0-9A-Za-z]*$', 1)"
+    word = lambda column, pattern: f"lower(regexp_replace(regexp_extract({column}, {_quoted(pattern)}, 1), {_quoted(r"\s+")}, ' '))"
+    context = {
+        "left": ("string", word("x.b", r"(?<!\S)(\S++\s++\S++)\s++$")),
+        "right": ("string", word("x.n", r"^\s++(\S++\s++\S++)")),
+        "beside": ("string", word("x.b", r"(?<!\S)(\S++)\s++$")),
+        "behind": ("string", word("x.n", r"^\s++(\S++)")),
+    }
+    key = r"lower(regexp_extract(x.m, '^([^0-9@=:]{2,40}[=:])', 1))"
+    named = [("before", "x.left", "x.left = ''"), ("after", "x.right", "x.right = ''"), ("around", "concat(x.beside, ' _ ', x.behind)", "x.beside = '' or x.behind = ''"), ("key", key, f"{key} = ''")]
+    patterns = ", ".join(f"if({empty}, null, concat('{name} ', {sql}))" for name, sql, empty in named)
+    out = f"""transform({located(TOKEN, context)}, x -> struct(x.s + {lead} as s, x.s + {lead} + length({core}) as e, {core} as core, {kind} as kind,
+      filter(array({patterns}), z -> z is not null) as patterns))"""
+    none = "cast(array() as array<struct<s:int,e:int,core:string,kind:string,patterns:array<string>>>)"
+    return rows.withColumn("cand", F.expr(f"case when text rlike '[0-9@]' then {out} else {none} end"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -77,15 +101,15 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFID
     edges = cut(found.groupBy("pattern", "core").agg(F.max("kind").alias("kind")), "edges")
     total = edges.groupBy("pattern").agg(F.count("*").alias("total"))
     seeds = edges.where("kind is not null").select("core", "kind").distinct().withColumn("c", F.lit(1.0))
-    backed = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
     sure, scored = seeds, None
     for _ in range(rounds):
         # sums over instances are grouped before they meet the number of instances
-        weight = edges.drop("kind").join(sure, "core").groupBy("pattern", "kind").agg(F.sum("c").alias("w"))
-        scored = weight.join(backed, ["pattern", "kind"]).join(total, "pattern").select("pattern", "kind", (F.col("w") / F.col("total")).alias("score")).where(F.col("score") >= confidence)
-        scored = cut(scored, "scored")
+        weight = edges.drop("kind").join(sure, "core").groupBy("pattern", "kind").agg(F.sum("c").alias("w"), F.count_if(F.col("c") >= confidence).alias("backing")).where(F.col("backing") >= support)
+        last, scored = scored, cut(weight.join(total, "pattern").select("pattern", "kind", (F.col("w") / F.col("total")).alias("score")).where(F.col("score") >= confidence), "scored")
         more = edges.where("kind is null").select("core", "pattern").join(scored, "pattern").groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("score"))))).alias("c"))
-        sure = seeds.union(more.join(seeds.select("core").distinct(), "core", "left_anti"))
+        sure = cut(seeds.union(more.join(seeds.select("core").distinct(), "core", "left_anti")), "sure")
+        if last is not None and last.count() == scored.count():
+            break  # nothing new is trusted
     return scored.groupBy("pattern").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("x")).select("pattern", "x.kind", "x.score")
 
 
@@ -96,13 +120,15 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     Equal texts get equal spans; repeated rows and null ids keep rows of their own. Columns of other names are ignored; an
     empty table gives an empty one."""
     rows = _candidates(base_spans(docs, id_col, text_col))
-    scan = cut(rows.select("id", F.xxhash64("text").alias("key"), *KINDS, "cand"), "scan")
-    occur = scan.where("size(cand) > 0").select("key", F.explode("cand").alias("c")).select("key", "c.s", "c.e", "c.core", "c.kind", F.explode("c.patterns").alias("pattern")).where("core <> ''")
+    text = ["key", "again"]  # two hashes stand for a text
+    scan = cut(rows.select("id", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(7), "text").alias("again"), *KINDS, "cand"), "scan")
+    occur = scan.where("size(cand) > 0").select(*text, F.explode("cand").alias("c")).select(*text, "c.s", "c.e", "c.core", "c.kind", F.explode("c.patterns").alias("pattern")).where("core <> ''")
     trusted = bootstrap(occur, rounds, confidence, support)
-    new = occur.where("kind is null").drop("kind").join(trusted, "pattern").groupBy("key", "s", "e").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    more = new.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("kind", "s", "e"))).alias("more"))
+    new = cut(occur.where("kind is null").drop("kind").join(trusted, "pattern").groupBy(*text, "s", "e").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "new")
+    more = new.groupBy(*text).agg(F.sort_array(F.collect_set(F.struct("kind", "s", "e"))).alias("more"))
     none = F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")
-    return scan.join(broadcast_if_small(cut(more, "more"), 50_000), "key", "left").select("id", *KINDS, F.coalesce("more", none).alias("more"))
+    few = new.limit(FEW + 1).count() <= FEW
+    return scan.join(F.broadcast(more) if few else more, text, "left").select("id", *KINDS, F.coalesce("more", none).alias("more"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -114,4 +140,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.expr(f"array_join({base}, ',')"), 256).alias("base_sha256"),
         F.expr(f"array_join(concat({base}, {extra}), ',')").alias("spans"),
+        (sum((F.size(k) for k in KINDS), F.lit(0)) + F.size("more")).cast("long").alias("n_spans"),
     )
