@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, frees, release
+from .shared import cut, frees, release, tidy
 
 #: Nodes of a bucket that one task compares with those that are left.
 SALTED = 500
@@ -114,8 +114,11 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
     links = verify(tried)
     comp = components(links)
     seen = [tried]
+    # near copies share many buckets: of buckets with the same nodes (by number and two hashes) one says it all
+    every = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
+    alike = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
+    member = cut(every.join(alike.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key"), "member")
     for turn in range(star_rounds + 1):
-        member = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
         labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         open_ = cut(labelled.join(many.select("key", "n"), "key"), "open")
@@ -152,5 +155,6 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
             known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars stand for the links they come from
             last, comp = comp, components(known.union(more))
             release(last)
-    release(*seen)
+    release(member, *seen)
+    tidy(member.sparkSession)
     return comp, links

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .learn import held, sample_texts, strings
-from .shared import frees, small_batches
+from .shared import frees, small_batches, tidy
 
 BUCKETS, WIDTH = 8192, 16
 #: Training sample: rows of each language, and the longest text taken into it.
@@ -148,7 +148,9 @@ def train(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "
     """A model of the languages in ``docs``; ``learn``: a condition on the rows to learn from. Null languages teach nothing."""
     rows = docs if learn is None else docs.where(learn)
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("label"))
-    return Model(*sample_texts(rows, rows.select("id", "label"), per_class, SAMPLE_BYTES))
+    model = Model(*sample_texts(rows, rows.select("id", "label"), per_class, SAMPLE_BYTES))
+    tidy(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

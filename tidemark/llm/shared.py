@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +59,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage after many jobs: Spark removes the shuffle files and broadcasts of plans that are gone only once the driver's collectors have run."""
+    gc.collect()
+    spark._jvm.System.gc()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library can't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which its worker, which Spark keeps for other tasks, gives freed memory back to the system."""
 
@@ -65,9 +80,7 @@ def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # where the C library can't
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return out
 
