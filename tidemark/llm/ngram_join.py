@@ -127,26 +127,27 @@ def sketch_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
 SIFT = 8
 
 
-def short_sketch(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(longs, first): one parity sketch a document, of SIFT longs doubled until it has a bit for every token.
+def short_sketch(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(short, longs, first): one parity sketch of SIFT longs a document, and for sets of more tokens than it has bits a longer one, of SIFT longs doubled until it has a bit for every token.
 
-    A sketch folds to one of half the length by XOR of its halves, so any two can be compared."""
+    A sketch folds to one of half the length by XOR of its halves, so any two can be compared; the short one is the long one folded."""
     n = np.diff(first)
-    size = np.where(n > 0, SIFT << np.ceil(np.log2(np.maximum(n, 1) / (64 * SIFT)).clip(0)).astype(np.int64), 0)
+    size = SIFT << np.ceil(np.log2(np.maximum(n, 1) / (64 * SIFT)).clip(0)).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
     p = K.mix(h ^ U(0x5EED))
     doc = np.repeat(np.arange(len(n)), n)
     word = np.zeros(at[-1], U)
     np.bitwise_xor.at(word, at[doc] + ((p >> U(6)) & (size[doc] - 1).astype(U)).astype(np.int64), U(1) << (p & U(63)))
-    return word, at
+    short = np.bitwise_xor.reduceat(word.reshape(-1, SIFT), at[:-1] // SIFT) if len(n) else word.reshape(-1, SIFT)
+    long = size > SIFT
+    return short.reshape(-1), word[np.repeat(long, size)], np.concatenate([[0], np.cumsum(np.where(long, size, 0))])
 
 
-def apart() -> str:
-    """SQL: bits in which the sketches ``ma.s`` and ``mb.s`` differ, the longer one folded to the shorter."""
-    plain = " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT))
-    folded = lambda m, o: f"if(size({m}.s) > size({o}.s), transform(sequence(0, size({o}.s) - 1), i -> aggregate(sequence(i, size({m}.s) - 1, size({o}.s)), 0L, (x, j) -> x ^ {m}.s[j])), {m}.s)"
-    general = f"aggregate(zip_with({folded('ma', 'mb')}, {folded('mb', 'ma')}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
-    return f"if(size(ma.s) = {SIFT} and size(mb.s) = {SIFT}, {plain}, {general})"
+def apart() -> tuple[str, str]:
+    """SQL: bits in which the short sketches ``ma.s`` and ``mb.s`` differ, and bits in which the long ones ``w`` do, the longer one folded to the shorter (null if a set has none)."""
+    folded = lambda m, o: f"if(size({m}.w) > size({o}.w), transform(sequence(0, size({o}.w) - 1), i -> aggregate(sequence(i, size({m}.w) - 1, size({o}.w)), 0L, (x, j) -> x ^ {m}.w[j])), {m}.w)"
+    long = f"if(size(ma.w) > 0 and size(mb.w) > 0, aggregate(zip_with({folded('ma', 'mb')}, {folded('mb', 'ma')}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y), null)"
+    return " + ".join(f"bit_count(ma.s[{i}] ^ mb.s[{i}])" for i in range(SIFT)), long
 
 
 def _slices(off: np.ndarray, most: int = K.PIECE) -> Iterator[tuple[int, int]]:
@@ -198,19 +199,19 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                         new[i] = True
                 keep = np.repeat(new, n)
                 size = np.where(new, n, 0)
-                sift, sift_at = short_sketch(h, first)
+                short, wide, wide_at = short_sketch(h, first)
                 keys, at = sketch_keys(h[keep], np.concatenate([[0], np.cumsum(size)]), num, den)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), K.lists(pa.array(K.signed(sift)), sift_at), K.lists(pa.array(K.signed(keys)), at)],
-                    ["id", "n_shingles", "class", "sift", "keys"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), K.lists(pa.array(K.signed(short)), np.arange(len(n) + 1) * SIFT), K.lists(pa.array(K.signed(wide)), wide_at), K.lists(pa.array(K.signed(keys)), at)],
+                    ["id", "n_shingles", "class", "sift", "wide", "keys"],
                 )
 
-    table = cut(src.mapInArrow(frees(scan), "id long, n_shingles long, class long, sift array<long>, keys array<long>"), "sketch")
+    table = cut(src.mapInArrow(frees(scan), "id long, n_shingles long, class long, sift array<long>, wide array<long>, keys array<long>"), "sketch")
     entries = table.select(F.explode("keys").alias("key"), F.col("class").alias("node"))
     if all_links:
         entries = cut(entries.where("node is not null").distinct(), "entries")
     raw = bucket_stars(entries)
-    marks = table.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.struct(F.first("n_shingles").alias("n"), F.first("sift").alias("s")).alias("m"))
+    marks = table.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.struct(F.first("n_shingles").alias("n"), F.first("sift").alias("s"), F.first("wide").alias("w")).alias("m"))
     marks = cut(marks, "marks")
     members = cut(table.select("id", "n_shingles", "class"), "members")
     release(table)
@@ -242,7 +243,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         return out
 
     # the sketches differ in no more bits than the sets in tokens
-    near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({apart()}) * {den + num} <= (ma.n + mb.n) * {den - num}"
+    short, long = apart()
+    most = f"(ma.n + mb.n) * {den - num}"
+    near = f"100 * least(ma.n, mb.n) >= {num} * greatest(ma.n, mb.n) and ({short}) * {den + num} <= {most} and coalesce(({long}) * {den + num} <= {most}, true)"
     comp, links = similarity_groups(raw, marks, near, verify)
     if all_links:
         side = lambda node, mark: entries.select("key", F.col("node").alias(node)).join(marks.toDF(node, mark), node)
