@@ -66,6 +66,35 @@ def test_gaps_at_the_edges(spark):
     assert {tuple(r) for r in intervals.gaps(covered, ["k"], within).collect()} == {("a", 0, 10), ("a", 25, 40), ("b", 1, 2)}
 
 
+@pytest.fixture(scope="module")
+def opens_at_zero(spark, duck, tmp_path_factory):
+    """A folder with an events table in which each hour of U1 of a short span opens at 0, and the same in DuckDB."""
+    path = str(tmp_path_factory.mktemp("zero"))
+    first = "row_number() OVER (PARTITION BY user_id % 5, epoch_us(ts) // 3600000000 ORDER BY ts)"
+    rows = f"SELECT event_id, ts, user_id, event_type, CASE WHEN user_id % 5 = 1 AND epoch_us(ts) // 3600000000 % 700 < 20 AND {first} = 1 THEN 0.001 ELSE value END AS value, props FROM events"
+    duck.sql(f"COPY ({rows}) TO '{path}/events.parquet' (FORMAT parquet)")
+    own = duckdb.connect()
+    own.sql("set timezone='UTC'")
+    own.sql(f"create view events as select * from read_parquet('{path}/events.parquet')")
+    bars = f"WITH {market.T}, {market.bars_sql(market.HOUR)} SELECT count(DISTINCT instrument), count(*) FROM b WHERE open = 0"
+    [(trials, hours)] = own.sql(bars).fetchall()
+    assert trials == 1 and hours > 5
+    return path, own
+
+
+def _as_sql(spark, zero, name):
+    """Both results: NaN is text, for it is not equal to itself."""
+    path, own = zero
+    cols = market.QUERIES[name](spark, path).columns
+    text = lambda rows: sorted(tuple("nan" if v != v else v for v in r) for r in rows)
+    return text(map(tuple, market.QUERIES[name](spark, path).collect())), text(own.sql(f"SELECT {', '.join(cols)} FROM ({market.ORACLE[name]})").fetchall())
+
+
+def test_sharpe_of_bars_that_open_at_zero(spark, opens_at_zero):
+    got, want = _as_sql(spark, opens_at_zero, "sharpe_moments")
+    assert got == want and {r[0] for r in got if r[2] == "nan"} == {"U1"}
+
+
 def test_deflated_sharpe_vector():
     expected, p = validation.deflated_sharpe(0.5, 24, 0.0, 3.0, 0.2, 10)
     assert expected == pytest.approx(0.31491966026915, abs=1e-12) and p == pytest.approx(0.79866173151637, abs=1e-12)

@@ -37,6 +37,13 @@ def decimal_text(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), plain).otherwise(F.raise_error(F.concat(F.lit("not a decimal: "), text)).cast("string"))
 
 
+def ratio(x: Column, y: Column) -> Column:
+    """x / y in doubles by IEEE 754: over zero it is infinite, or NaN for zero, instead of an error."""
+    a, b = x.cast("double"), y.cast("double")
+    over = F.when((a == 0) | F.isnan(a), float("nan")).otherwise(F.signum(a) * F.lit(float("inf")))
+    return F.when(b == 0, over).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
 def half_even(x: Column, quantum: Column) -> Column:
     """The nearest multiple of the quantum; of two the even one."""
     return F.bround(x / quantum, 0) * quantum

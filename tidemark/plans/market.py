@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import order_violations
 from ..functions.instants import bucket_floor, format_ns
+from ..functions.scalars import ratio
 from ..operators import book, features, intervals, learning, merging, operations, representation, research, validation
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -254,7 +255,7 @@ RETURNS = "q AS (SELECT instrument AS trial, (row_number() OVER (PARTITION BY in
 def _returns(spark, sf_dir):
     bars = representation.candles(trades(spark, sf_dir), HOUR)
     w = Window.partitionBy("instrument").orderBy("bucket_us")
-    return bars.select(F.col("instrument").alias("trial"), (F.row_number().over(w) - 1).alias("pos"), (F.col("close").cast("double") / F.col("open").cast("double") - 1).alias("r"))
+    return bars.select(F.col("instrument").alias("trial"), (F.row_number().over(w) - 1).alias("pos"), (ratio(F.col("close"), F.col("open")) - 1).alias("r"))
 
 
 def _panel(spark, sf_dir):
