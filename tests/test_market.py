@@ -95,6 +95,11 @@ def test_sharpe_of_bars_that_open_at_zero(spark, opens_at_zero):
     assert got == want and {r[0] for r in got if r[2] == "nan"} == {"U1"}
 
 
+def test_deflated_sharpe_of_bars_that_open_at_zero(spark, opens_at_zero):
+    got, want = _as_sql(spark, opens_at_zero, "deflated_sharpe")
+    assert got == want and got[0][0] == "U1" and got[0][1] == "nan"
+
+
 def test_deflated_sharpe_vector():
     expected, p = validation.deflated_sharpe(0.5, 24, 0.0, 3.0, 0.2, 10)
     assert expected == pytest.approx(0.31491966026915, abs=1e-12) and p == pytest.approx(0.79866173151637, abs=1e-12)

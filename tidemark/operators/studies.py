@@ -32,10 +32,10 @@ def expected_factor(trials: float) -> float:
 
 
 def deflated(trials: DataFrame, effective: float) -> DataFrame:
-    """One row of ``trials`` (trial, t, sharpe, skew, kurtosis): the selected trial (highest Sharpe ratio, then smallest name), dispersion, expected maximum, z, and why it can't be evaluated.
+    """One row of ``trials`` (trial, t, sharpe, skew, kurtosis): the selected trial (highest Sharpe ratio, NaN above all, then smallest name), dispersion, expected maximum, z, and why it can't be evaluated.
 
     The deflated Sharpe ratio is the normal probability below z. reason: no_trials, non_evaluable_trial, too_few_observations, trials_out_of_range, no_dispersion, radicand_not_positive, or null."""
-    best = F.min_by(F.struct("trial", "t", "sharpe", "skew", "kurtosis"), F.struct((-F.col("sharpe")).alias("s"), F.col("trial").alias("n")))
+    best = F.min_by(F.struct("trial", "t", "sharpe", "skew", "kurtosis"), F.struct((~F.isnan("sharpe")).alias("o"), (-F.col("sharpe")).alias("s"), F.col("trial").alias("n")))
     out = trials.agg(F.count("*").alias("n"), F.count("sharpe").alias("good"), best.alias("b"), F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("dispersion"), F.min("t").alias("least"))
     sr, out_of_range = F.col("b.sharpe"), F.lit(effective < 1 or 1 < effective < 2) | (F.lit(effective) > F.col("n"))
     top = F.col("dispersion") * (0.0 if effective < 1 or 1 < effective < 2 else expected_factor(effective))
