@@ -100,6 +100,14 @@ def test_deflated_sharpe_of_bars_that_open_at_zero(spark, opens_at_zero):
     assert got == want and got[0][0] == "U1" and got[0][1] == "nan"
 
 
+def test_overfitting_of_bars_that_open_at_zero(spark, opens_at_zero):
+    got, want = _as_sql(spark, opens_at_zero, "backtest_overfitting")
+    assert got == want and len({r[1] for r in got}) > 1
+    rows = [(t, i, float("inf") if (t, i) == ("a", 0) else (i * (7 + k) % 11 - 4 + k) / 100) for k, t in enumerate("abc") for i in range(24)]
+    splits = validation.overfitting(spark.createDataFrame(rows, "trial string, pos int, r double"), 6).collect()
+    assert len(splits) == 20 and all(x.winner != "a" for x in splits if x.split < 10)  # the first ten splits have the first block inside
+
+
 def test_deflated_sharpe_vector():
     expected, p = validation.deflated_sharpe(0.5, 24, 0.0, 3.0, 0.2, 10)
     assert expected == pytest.approx(0.31491966026915, abs=1e-12) and p == pytest.approx(0.79866173151637, abs=1e-12)

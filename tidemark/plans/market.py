@@ -264,7 +264,7 @@ def _panel(spark, sf_dir):
     span = bars.groupBy("instrument").agg(F.min("bucket_us").alias("lo"), F.max("bucket_us").alias("hi"))
     hours = span.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")).where("lo <= hi").select(F.posexplode(F.sequence("lo", "hi", F.lit(HOUR))).alias("pos", "bucket_us"))
     grid = span.select("instrument").crossJoin(F.broadcast(hours))
-    r = F.col("close").cast("double") / F.col("open").cast("double") - 1
+    r = ratio(F.col("close"), F.col("open")) - 1
     return grid.join(bars, ["instrument", "bucket_us"], "left").select(F.col("instrument").alias("trial"), "pos", F.when(F.col("open").isNull(), 0.0).otherwise(r).alias("r"))
 
 
