@@ -108,6 +108,11 @@ def test_overfitting_of_bars_that_open_at_zero(spark, opens_at_zero):
     assert len(splits) == 20 and all(x.winner != "a" for x in splits if x.split < 10)  # the first ten splits have the first block inside
 
 
+def test_overfitting_probability_of_bars_that_open_at_zero(spark, opens_at_zero):
+    got, want = _as_sql(spark, opens_at_zero, "overfitting_probability")
+    assert got == want and got[0][0] == 20
+
+
 def test_deflated_sharpe_vector():
     expected, p = validation.deflated_sharpe(0.5, 24, 0.0, 3.0, 0.2, 10)
     assert expected == pytest.approx(0.31491966026915, abs=1e-12) and p == pytest.approx(0.79866173151637, abs=1e-12)
