@@ -148,6 +148,13 @@ def test_sides_at_average_cost(spark):
     assert float(exact[-1].basis) == 0 and float(exact[-1].open) == 0
 
 
+def test_a_fill_at_price_zero_is_a_transaction(spark):
+    rows = [("increase", "0", "2"), ("increase", "3", "1"), ("decrease", "0", "1")]
+    for side, debits in (("long", {"000": 0, "001": 3, "002": 1}), ("short", {"000": 0, "001": 3, "002": 1})):
+        lines = portfolio.unbalanced(portfolio.journal(_side(spark, rows, side))).collect()
+        assert {x.fill_id: float(x.debit) for x in lines} == debits and all(x.balanced for x in lines)
+
+
 def test_sides_refuse(spark):
     for bad in ([("decrease", "10", "1")], [("increase", "10", "1"), ("decrease", "10", "2")], [("increase", "10", "0")], [("increase", None, "1")], [("grow", "10", "1")]):
         with pytest.raises(Exception, match="fill"):

@@ -64,7 +64,7 @@ def marked(states: DataFrame, cash: float) -> DataFrame:
 
 
 def journal(states: DataFrame) -> DataFrame:
-    """(KEY, fill_id, account, debit, credit): the balanced lines of every fill; cash against the position at cost, and what was realized."""
+    """(KEY, fill_id, account, debit, credit): the balanced lines of every fill; cash against the position at cost, and what was realized. Lines of nothing are left out, but not cash, so a fill at price 0 is a transaction too."""
     x = lambda c: F.col(c).cast("decimal(28,10)")
     notional = (F.col("price") * F.col("quantity")).cast("decimal(28,10)")
     grows, gain = F.col("action") == "increase", x("realized")
@@ -74,7 +74,7 @@ def journal(states: DataFrame) -> DataFrame:
     into = (F.col("side") == "long") == grows  # money goes into the position: a long that grows or a short that shrinks
     own = F.when(grows, notional).otherwise(cost)
     lines = F.array(line("cash", F.when(~into, notional), F.when(into, notional)), line("position", F.when(into, own), F.when(~into, own)), line("realized", F.when(gain < 0, -gain), F.when(gain > 0, gain)))
-    return states.select(*KEY, "fill_id", F.explode(lines).alias("l")).select(*KEY, "fill_id", "l.*").where("debit <> 0 or credit <> 0")
+    return states.select(*KEY, "fill_id", F.explode(lines).alias("l")).select(*KEY, "fill_id", "l.*").where("account = 'cash' or debit <> 0 or credit <> 0")
 
 
 def unbalanced(lines: DataFrame) -> DataFrame:
