@@ -290,6 +290,41 @@ def _distance(a, b):
     return row[-1]
 
 
+def test_edit_distances_of_many_pairs_at_once():
+    rnd = random.Random(9)
+    texts = []
+    for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 200, 300) * 4:
+        x = "".join(rnd.choice("ab cdeé\U0001f600" if n % 2 else "xy ") for _ in range(n))
+        y = list(x)
+        for _ in range(rnd.choice((0, 1, 3, n // 4, n))):
+            at = rnd.randrange(len(y) + 1)
+            y[at : at + rnd.choice((0, 1, 2))] = rnd.choice(("", "q", "ab"))
+        texts.append((x, "".join(y)))
+    code = lambda s: np.array([ord(c) for c in s], np.uint32)
+    got = K.edit_distances([code(x) for x, _ in texts], [code(y) for _, y in texts])
+    assert got.tolist() == [_distance(x, y) for x, y in texts]
+    assert K.edit_distances([], []).tolist() == []
+
+
+def test_linked_pairs_are_those_of_the_edit_similarity(spark):
+    rnd = random.Random(3)
+    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(5, 60)))
+    rows = []
+    for i in range(300):
+        x = line()
+        y = list(x)
+        for _ in range(int(len(x) * rnd.uniform(0, 0.35))):
+            y[rnd.randrange(len(y))] = rnd.choice("abcdefgh ")
+        rows.append((i, 1000 + i, x, "".join(y)))
+    df = spark.createDataFrame(rows, "a long, b long, ta string, tb string")
+    want = {r.a for r in df.where("levenshtein(ta, tb) <= floor(0.2 * greatest(length(ta), length(tb)) + 1e-9)").select("a").collect()}
+    assert 50 < len(want) < 250
+    assert {r.a for r in lines.linked(df, 0.8).collect()} == want
+    long = df.selectExpr("a", "b", "repeat(concat(ta, ' '), 40) AS ta", "repeat(concat(tb, ' '), 40) AS tb").where(f"length(ta) >= {lines.WORDY}").limit(40)
+    want = {r.a for r in long.where("levenshtein(ta, tb) <= floor(0.2 * greatest(length(ta), length(tb)) + 1e-9)").select("a").collect()}
+    assert 0 < len(want) < 40 and {r.a for r in lines.linked(long, 0.8).collect()} == want
+
+
 def test_word_distance_is_no_less_than_the_edit_distance():
     rng = random.Random(8)
     for _ in range(300):

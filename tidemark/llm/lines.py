@@ -205,6 +205,29 @@ def word_distance(u: list[str], v: list[str]) -> int:
     return cost
 
 
+#: Code points of pairs whose edit distances are counted together.
+TOGETHER = 2_000_000
+#: Length of texts for which whole changed words are tried before their edit distance is counted.
+WORDY = 2000
+
+
+def _trim(x: str, y: str, similarity: float | None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The code points of both, and the lengths of the common start and end; with ``similarity``, texts that reach it by changing whole words are common altogether."""
+    least = min(len(x), len(y))
+    p, q = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+    apart = np.flatnonzero(p[:least] != q[:least])
+    start = int(apart[0]) if len(apart) else least
+    rest = least - start
+    apart = np.flatnonzero(p[len(p) - rest :][::-1] != q[len(q) - rest :][::-1])
+    end = int(apart[0]) if len(apart) else rest
+    if similarity is not None:
+        u, v = x[start : len(x) - end].split(" "), y[start : len(y) - end].split(" ")
+        most = (1 - similarity) * max(len(x), len(y)) + 1e-9
+        if len(u) == len(v) and sum(max(len(m), len(n)) for m, n in zip(u, v, strict=True) if m != n) <= most or word_distance(u, v) <= most:
+            start, end = least, max(len(x), len(y))
+    return p, q, start, end
+
+
 def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
     """(a, b, ta, tb, longer): ``pairs`` of texts without their common start and end, which leaves the edit distance as it is; ``longer`` is the greater length before that.
 
@@ -214,18 +237,7 @@ def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
         for batch in batches:
             left, right, longer = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                least = min(len(x), len(y))
-                p, q = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
-                apart = np.flatnonzero(p[:least] != q[:least])
-                start = int(apart[0]) if len(apart) else least
-                rest = least - start
-                apart = np.flatnonzero(p[len(p) - rest :][::-1] != q[len(q) - rest :][::-1])
-                end = int(apart[0]) if len(apart) else rest
-                if similarity is not None:
-                    u, v = x[start : len(x) - end].split(" "), y[start : len(y) - end].split(" ")
-                    most = (1 - similarity) * max(len(x), len(y)) + 1e-9
-                    if len(u) == len(v) and sum(max(len(m), len(n)) for m, n in zip(u, v, strict=True) if m != n) <= most or word_distance(u, v) <= most:
-                        start, end = least, max(len(x), len(y))
+                _, _, start, end = _trim(x, y, similarity)
                 left.append(x[start : max(start, len(x) - end)])
                 right.append(y[start : max(start, len(y) - end)])
                 longer.append(max(len(x), len(y)))
@@ -234,6 +246,34 @@ def trimmed(pairs: DataFrame, similarity: float | None = None) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(frees(run), "a long, b long, ta string, tb string, longer int")
 
 
+def linked(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those ``pairs`` (a, b, ta, tb) of texts whose edit similarity is ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, held = [], 0
+
+        def settle() -> pa.RecordBatch:
+            distance = K.edit_distances([p for _, _, p, _, _ in open_], [q for _, _, _, q, _ in open_])
+            good = [(a, b) for (a, b, _, _, most), d in zip(open_, distance.tolist(), strict=True) if d <= most]
+            return pa.record_batch([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, q, start, end = _trim(x, y, similarity if min(len(x), len(y)) >= WORDY else None)
+                most = int(round(1 - similarity, 6) * max(len(x), len(y)) + 1e-9)
+                p, q = p[start : max(start, len(p) - end)], q[start : max(start, len(q) - end)]
+                if abs(len(p) - len(q)) <= most:
+                    open_.append((a, b, p, q, most))
+                    held += len(p) + len(q)
+            if held >= TOGETHER:
+                yield settle()
+                open_, held = [], 0
+        if open_:
+            yield settle()
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(frees(run), "a long, b long")
+
+
 def block_keys(radius: int = RADIUS, count: int = 0) -> str:
     """SQL: the keys of a SimHash ``sim``, one for each ``agree`` of radius + agree blocks, for within ``radius`` bits so many agree.
 
@@ -274,9 +314,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         if radius is None:
             pairs = pairs.where(f"least(length(ta), length(tb)) >= {similarity:.6f} * greatest(length(ta), length(tb)) - 1e-9")
-        both = trimmed(pairs, similarity if radius is None else None)
-        most = f"cast(floor({1 - similarity:.6f} * longer + 1e-9) as int)"
-        out = cut(both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b"), "links")
+        out = cut(linked(pairs, similarity), "links")
         release(lines, texts)
         return out
 
