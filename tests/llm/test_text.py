@@ -232,6 +232,18 @@ def test_equal_short_lines_go(spark):
     assert lines.dedup_lines(df.where("false"), radius=None).count() == 0
 
 
+def test_only_lines_that_meet_have_marks(spark, monkeypatch):
+    rng, marked, groups = random.Random(5), [], lines.similarity_groups
+    line = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150)) + " of some words"
+    texts = [line() for _ in range(40)]
+    texts.append(texts[0] + "s")
+    monkeypatch.setattr(lines, "similarity_groups", lambda raw, marks, *rest: marked.append((marks.count(), raw.select("hub").union(raw.select("x")).distinct().count())) or groups(raw, marks, *rest))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in lines.dedup_lines(df, radius=None).collect() if r.removed_lines] == [40]
+    [(marks, met)] = marked
+    assert marks == met < len(texts)
+
+
 def test_trimmed_keeps_the_edit_distance(spark):
     pairs = [("", ""), ("abc", "abc"), ("aaa", "aa"), ("xaby", "xacby"), ("éa𝄞b", "éc𝄞b"), ("abab", "ab"), ("", "q"), ("one two three", "one too three")]
     df = spark.createDataFrame([(i, i, x, y) for i, (x, y) in enumerate(pairs)], "a long, b long, ta string, tb string")

@@ -294,7 +294,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     docs = docs.where("id is not null")
     scan = cut(scan_lines(docs, min_words) if radius is not None else scan_reach(docs, min_words), "lines")
     occur = scan.where("not again")
-    first = cut(occur.groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim")), "first")
+    # dealt out before the minimum of structs, which needs a sort: one instead of two, for within a block few lines repeat
+    first = cut(occur.select("hash", "id", "version", "line", "sim").repartition("hash").groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim")), "first")
     if radius is None:
         keys = occur.select(F.explode("keys").alias("key"), F.col("hash").alias("node"))
     else:
@@ -318,15 +319,16 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         release(lines, texts)
         return out
 
+    # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
+    raw = bucket_stars(keys) if radius is not None else cut(stars(keys, "xxhash64(node)"), "stars")
     marks, close = first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
     if radius is None:
-        own = occur.where("n is not null").groupBy("hash").agg(*[F.max(c).alias(c) for c in ("sim", *MARKS)])
+        met = raw.select(F.col("hub").alias("hash")).union(raw.select("x")).distinct()  # most lines share no key and need no marks
+        own = occur.where("n is not null").select("hash", "sim", *MARKS).join(met, "hash", "left_semi").groupBy("hash").agg(*[F.max(c).alias(c) for c in ("sim", *MARKS)])
         marks = cut(own.selectExpr("hash as node", f"struct({', '.join(('sim', *MARKS))}) as m"), "marks")
         bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
         differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
         close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
-    # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
-    raw = bucket_stars(keys) if radius is not None else cut(stars(keys, "xxhash64(node)"), "stars")
     comp, links = similarity_groups(raw, marks, close, verify)
     release(raw, links, marks)
     rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
