@@ -244,6 +244,28 @@ def test_only_lines_that_meet_have_marks(spark, monkeypatch):
     assert marks == met < len(texts)
 
 
+def test_lines_that_no_hub_settles_are_compared_without_making_pairs(spark, monkeypatch):
+    rng, made, verify = random.Random(4), [], lines.linked
+    words, texts = [f"w{i}x" for i in range(12)], []
+    for i in range(45):  # the words in any order: all keys and marks alike, most lines far apart
+        own = rng.sample(words, 12)
+        texts.append(" ".join(own))
+        if i % 5 == 0:
+            own[3], own[4] = own[4], own[3]
+            texts.append(" ".join(own))
+    n, df = len(texts), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lines, "linked", lambda pairs, *rest: made.append(pairs.count()) or verify(pairs, *rest))
+    monkeypatch.setattr(lines, "HELD", 7, raising=False)
+    got = {r.doc_id for r in lines.dedup_lines(df, radius=None).collect() if r.removed_lines}
+    roots = list(range(n))
+    for b in range(n):
+        for a in range(b):
+            if _distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9:
+                roots = [roots[a] if r == roots[b] else r for r in roots] if roots[a] < roots[b] else [roots[b] if r == roots[a] else r for r in roots]
+    assert got == {i for i in range(n) if roots[i] != i} and len(got) >= 9
+    assert sum(made) <= 3 * n, "only hubs are compared by pairs"
+
+
 def test_trimmed_keeps_the_edit_distance(spark):
     pairs = [("", ""), ("abc", "abc"), ("aaa", "aa"), ("xaby", "xacby"), ("éa𝄞b", "éc𝄞b"), ("abab", "ab"), ("", "q"), ("one two three", "one too three")]
     df = spark.createDataFrame([(i, i, x, y) for i, (x, y) in enumerate(pairs)], "a long, b long, ta string, tb string")

@@ -97,7 +97,7 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
     return cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")
 
 
-def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2, settle: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the verified links among nodes that share a bucket, as (components, links).
 
     ``raw`` are the bucket_stars of the bucket entries. ``marks`` (node, m) has one mark of each node, ``near`` is an SQL condition over the marks
@@ -105,7 +105,10 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
     the pairs that are true links, as a written table. A bucket's nodes are first compared with one hub each; nodes that are left in
     another component than most of their bucket are compared with new hubs, best linked nodes of that component, which absorbs large groups
     of near copies without forming their pairs. Finally every node that is still left is compared, by the marks, with the nodes of other components in its buckets.
-    So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b)."""
+    So the components are those of all pairs within buckets. Returns components (node, root) and links (a, b).
+
+    With ``settle``, that last comparison makes no pairs: it is given the nodes of the open buckets (key, node, root, base, n; a node is left if its root is not the base)
+    and the hubs that nodes were compared with (node, hub), and gives the links, as a written table, of nodes of one bucket and different roots."""
     crowd = raw.where("not alone")  # a bucket of two is settled by its one pair
     order = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
     marked = lambda node, mark: marks.select(F.col("node").alias(node), F.col("m").alias(mark))
@@ -114,6 +117,7 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
     links = verify(tried)
     comp = components(links)
     seen = [tried]
+    asked = raw.select(F.col("x").alias("node"), "hub")
     # near copies share many buckets: of buckets with the same nodes (by number and two hashes) one says it all
     every = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
     alike = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
@@ -138,7 +142,20 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
             rank = both.join(degree, "node").join(degree.toDF("other", "e"), "other").groupBy("node").agg(F.sum(F.col("e") - F.col("d")).alias("rank"))
             scored = dealt.where("root = base").join(rank, "node", "left")
             hubs = scored.groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("rank", F.lit(0)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"))).alias("hub"))
-            new = sift(order(rest.join(hubs, "key"), "hub", "node"))
+            put = rest.join(hubs, "key")
+            if settle is not None:
+                put = cut(put.select("node", "hub").distinct(), "asked")
+                asked = asked.union(put)
+                seen.append(put)
+            new = sift(order(put, "hub", "node"))
+        elif settle is not None:
+            more = settle(dealt, asked)
+            release(dealt)
+            if not more.isEmpty():
+                links = links.union(more)
+                last, comp = comp, components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+                release(last)
+            break
         else:
             salts = f"cast(n div {SALTED} as int) + 1"  # a large bucket is dealt out to several tasks
             left = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.explode(F.expr(f"sequence(0, {salts} - 1)")).alias("salt")).join(marked("y", "ma"), "y")

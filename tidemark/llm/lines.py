@@ -250,30 +250,114 @@ def linked(pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of those ``pairs`` (a, b, ta, tb) of texts whose edit similarity is ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, held = [], 0
-
-        def settle() -> pa.RecordBatch:
-            distance = K.edit_distances([p for _, _, p, _, _ in open_], [q for _, _, _, q, _ in open_])
-            good = [(a, b) for (a, b, _, _, most), d in zip(open_, distance.tolist(), strict=True) if d <= most]
-            return pa.record_batch([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
-
+        near = _Near(similarity)
         for batch in batches:
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q, start, end = _trim(x, y, similarity if min(len(x), len(y)) >= WORDY else None)
-                most = int(round(1 - similarity, 6) * max(len(x), len(y)) + 1e-9)
-                p, q = p[start : max(start, len(p) - end)], q[start : max(start, len(q) - end)]
-                if abs(len(p) - len(q)) <= most:
-                    open_.append((a, b, p, q, most))
-                    held += len(p) + len(q)
-            if held >= TOGETHER:
-                yield settle()
-                open_, held = [], 0
-        if open_:
-            yield settle()
+                near.add(a, b, x, y)
+            yield from near.full()
+        yield from near.full(0)
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(frees(run), "a long, b long")
 
 
+class _Near:
+    """Gathers pairs of texts and gives those (a, b) whose edit similarity is ``similarity`` or more, of many at once."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.open, self.held = similarity, [], 0
+
+    def add(self, a: int, b: int, x: str, y: str) -> None:
+        p, q, start, end = _trim(x, y, self.similarity if min(len(x), len(y)) >= WORDY else None)
+        most = int(round(1 - self.similarity, 6) * max(len(x), len(y)) + 1e-9)
+        p, q = p[start : max(start, len(p) - end)], q[start : max(start, len(q) - end)]
+        if abs(len(p) - len(q)) <= most:
+            self.open.append((a, b, p, q, most))
+            self.held += len(p) + len(q)
+
+    def full(self, least: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+        if not self.open or self.held < least:
+            return
+        distance = K.edit_distances([p for _, _, p, _, _ in self.open], [q for _, _, _, q, _ in self.open])
+        good = [(a, b) for (a, b, _, _, most), d in zip(self.open, distance.tolist(), strict=True) if d <= most]
+        self.open, self.held = [], 0
+        yield pa.record_batch([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+#: Of a bucket's lines that no hub has settled, so many are held at once, each against the lines that stream by.
+HELD = 500
+
+
+def left_links(dealt: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the links of lines of one bucket and different roots that no hub was compared with.
+
+    ``dealt`` (key, node, root, base, n) as similarity_groups gives it, ``about`` (node, sim, *MARKS, keys, hubs, t) of its nodes: with the marks, all its keys in ``dealt``, the hubs it was compared with and the normalised line.
+    A bucket's lines are dealt out by HELD to tasks, which hold them while those of its lines that are left stream by; a pair is compared in one of the buckets that it shares, chosen by a hash,
+    first by the marks, then by edit similarity. Only links are given out; what is compared still grows with the square of the lines left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, group, own = _Near(similarity), None, []
+        mine: tuple | None = None
+
+        def columns(rows: list[dict]) -> tuple:
+            most = max(len(r["keys"]) for r in rows)
+            keys = np.array([r["keys"] + [r["keys"][0]] * (most - len(r["keys"])) for r in rows], np.int64).view(U)
+            marks = [np.array([r[c] for r in rows], np.int64).view(U) for c in ("sim", *MARKS)]
+            return keys, marks, np.array([r["node"] for r in rows], np.int64), np.array([r["root"] for r in rows], np.int64), np.array([r["main"] for r in rows], bool)
+
+        def compare(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            nonlocal mine
+            if not own or not rows:
+                return
+            mine = mine or columns(own)
+            keys, marks, node, root, main = mine
+            for i in range(0, len(rows), 200):
+                there = rows[i : i + 200]
+                tkeys, tmarks, tnode, troot, _ = columns(there)
+                good = (troot[:, None] != root) & (main | (tnode[:, None] < node))
+                n, tn = marks[-1].astype(np.int64), tmarks[-1].astype(np.int64)[:, None]
+                good &= np.minimum(n, tn) >= similarity * np.maximum(n, tn) - 2
+                y, x = np.nonzero(good)
+                keep = np.bitwise_count(tmarks[0][y] ^ marks[0][x]) <= REACH
+                y, x = y[keep], x[keep]
+                differ = np.zeros(len(y), np.int64)
+                for s, t in zip(marks[1:-1], tmarks[1:-1], strict=True):
+                    d = s[x] ^ t[y]
+                    differ += np.bitwise_count((d | (d >> U(1)) | (d >> U(2)) | (d >> U(3))) & U(0x111111111111111))
+                keep = differ <= APART
+                y, x = y[keep], x[keep]
+                # of the keys that both have, the one least by a hash of key and pair
+                salt = K.mix(node[x].view(U) ^ tnode[y].view(U))
+                least = np.full(len(y), ~U(0))
+                for k in range(tkeys.shape[1]):
+                    both = (keys[x] == tkeys[y, k][:, None]).any(axis=1)
+                    least = np.where(both, np.minimum(least, K.mix(tkeys[y, k] ^ salt)), least)
+                keep = least == K.mix(np.full(1, group[0], np.int64).view(U) ^ salt)
+                for p, q in zip(y[keep].tolist(), x[keep].tolist(), strict=True):
+                    r, s = there[p], own[q]
+                    if s["node"] not in r["hubs"] and r["node"] not in s["hubs"]:
+                        near.add(min(r["node"], s["node"]), max(r["node"], s["node"]), r["t"], s["t"])
+                        yield from near.full()
+
+        for batch in batches:
+            wait: list[dict] = []
+            for r in batch.to_pylist():
+                r["hubs"] = set(r["hubs"] or ())
+                if group != (r["key"], r["salt"]):
+                    yield from compare(wait)
+                    wait, own, mine, group = [], [], None, (r["key"], r["salt"])
+                (wait if r["late"] else own).append(r)
+            yield from compare(wait)
+        yield from near.full(0)
+
+    salts = f"cast(n div {HELD} as int) + 1"
+    here = dealt.select("key", F.expr(f"cast(pmod(xxhash64(node, 5), {salts}) as int)").alias("salt"), F.lit(False).alias("late"), "node", "root", F.expr("root = base").alias("main"))
+    by = dealt.where("root <> base").select("key", F.explode(F.expr(f"sequence(0, {salts} - 1)")).alias("salt"), F.lit(True).alias("late"), "node", "root", F.lit(False).alias("main"))
+    rows = here.union(by).join(about, "node").select("key", "salt", "late", "node", "root", "main", "sim", *MARKS, "keys", "hubs", "t")
+    # so many tasks as asked for: adaptive execution would make few of them, for the rows are few and the work is not
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt").sortWithinPartitions("key", "salt", "late")
+    return rows.mapInArrow(frees(run), "a long, b long")
+
+
 def block_keys(radius: int = RADIUS, count: int = 0) -> str:
     """SQL: the keys of a SimHash ``sim``, one for each ``agree`` of radius + agree blocks, for within ``radius`` bits so many agree.
 
@@ -301,9 +385,10 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     else:
         keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
 
-    def verify(near: DataFrame) -> DataFrame:
+    def fetch(hashes: DataFrame) -> DataFrame:
+        """(hash, t), written: the normalised lines of distinct ``hashes`` (hash)."""
         own = first.select("hash", F.col("first.id").alias("id"), F.col("first.version").alias("version"), F.col("first.line").alias("line"))
-        lines = cut(own.join(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct(), "hash"), "want")
+        lines = cut(own.join(hashes, "hash"), "want")
         want = lines.groupBy("id", "version").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
         few = lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"]).dropDuplicates(["id", "version"])
@@ -311,12 +396,27 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
           (a, x) -> transform(want, w -> struct(w.hash as hash, get(x, w.line) as t)))"""  # a text is split once
         texts = texts.select(F.explode(F.expr(picked)).alias("w"))
         norm = F.translate(F.trim(F.regexp_replace("w.t", r"[\x20\x09-\x0D]+", " ")), UPPER, UPPER.lower())
-        texts = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
+        out = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
+        release(lines)
+        return out
+
+    def verify(near: DataFrame) -> DataFrame:
+        texts = fetch(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct())
         pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         if radius is None:
             pairs = pairs.where(f"least(length(ta), length(tb)) >= {similarity:.6f} * greatest(length(ta), length(tb)) - 1e-9")
         out = cut(linked(pairs, similarity), "links")
-        release(lines, texts)
+        release(texts)
+        return out
+
+    def settle(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+        keyed = cut(dealt.groupBy("node").agg(F.collect_set("key").alias("keys")), "keyed")
+        texts = fetch(keyed.select(F.col("node").alias("hash")))
+        hubs = asked.join(keyed.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+        about = keyed.join(texts.withColumnRenamed("hash", "node"), "node").join(marks.select("node", "m.*"), "node").join(hubs, "node", "left")
+        about = cut(about, "about")
+        out = cut(left_links(dealt, about, similarity), "links")
+        release(keyed, texts, about)
         return out
 
     # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
@@ -329,7 +429,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
         differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
         close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
-    comp, links = similarity_groups(raw, marks, close, verify)
+    comp, links = similarity_groups(raw, marks, close, verify, settle=settle if radius is None else None)
     release(raw, links, marks)
     rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
