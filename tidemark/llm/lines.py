@@ -38,7 +38,6 @@ MARKS = [*(f"s{i}" for i in range(-(-ROWS * SPREAD // NIBBLES))), "n"]
 WIDTH = BANDS + len(MARKS)
 #: Lines that a task sorts at once; lines repeated within such a block are combined.
 BLOCK = 60_000
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _INV = pow(K._STEP, -1, 1 << 64)
 
 
@@ -86,9 +85,13 @@ def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -
     keys[:, -1] = np.add.reduceat((letters[w.end] - letters[w.start])[take] + 1, first[:-1]) - 1
     share = 1.0 / length
     least = np.empty((ROWS * SPREAD, len(new)), U)
+    part, weighed = np.empty_like(own), np.empty(len(own))  # one piece of memory for all minima
     for j in range(ROWS * SPREAD):
         odd = U(int(K.mix(np.array([j + 1], U))[0]) | 1)
-        least[j] = K.mix(np.minimum.reduceat((own * odd >> U(12)).astype(float) * share, first[:-1]).view(U))
+        np.multiply(own, odd, out=part)
+        np.right_shift(part, U(12), out=part)
+        np.multiply(part.view(np.int64), share, out=weighed)  # 52 bits: signed is the same, and faster
+        least[j] = K.mix(np.minimum.reduceat(weighed, first[:-1]).view(U))
         keys[:, BANDS + j // NIBBLES] |= (least[j] & U(15)) << U(4 * (j % NIBBLES))
     for i in range(BANDS):
         for r in range(ROWS):
@@ -211,6 +214,18 @@ TOGETHER = 2_000_000
 WORDY = 2000
 
 
+def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, t): the normalised lines that each row (want: array of line and hash, text) wants."""
+    for batch in batches:
+        hashes, texts = [], []
+        for want, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = text.as_buffer().to_pybytes().split(b"\n")
+            for w in want:
+                hashes.append(w["hash"])
+                texts.append(b" ".join(rows[w["line"]].lower().split()))  # of bytes, only A-Z and ASCII white space
+        yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["hash", "t"])
+
+
 def _trim(x: str, y: str, similarity: float | None) -> tuple[np.ndarray, np.ndarray, int, int]:
     """The code points of both, and the lengths of the common start and end; with ``similarity``, texts that reach it by changing whole words are common altogether."""
     least = min(len(x), len(y))
@@ -296,47 +311,50 @@ def left_links(dealt: DataFrame, about: DataFrame, similarity: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, group, own = _Near(similarity), None, []
-        mine: tuple | None = None
-
-        def columns(rows: list[dict]) -> tuple:
+        rows: list[dict] = []  # of groups whose pairs, rows[y] with rows[x], wait to be sifted together, for most groups are small
+        ys: list[np.ndarray] = []
+        xs: list[np.ndarray] = []
+
+        def sift() -> Iterator[pa.RecordBatch]:
+            y, x = np.concatenate(ys), np.concatenate(xs)
+            column = lambda c: np.array([r[c] for r in rows], np.int64)
+            node, root, n = column("node"), column("root"), column("n")
+            keep = (root[y] != root[x]) & (np.array([r["main"] for r in rows])[x] | (node[y] < node[x]))
+            keep &= np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 2
+            y, x = y[keep], x[keep]
+            sim = column("sim").view(U)
+            keep = np.bitwise_count(sim[y] ^ sim[x]) <= REACH
+            y, x = y[keep], x[keep]
+            differ = np.zeros(len(y), np.int64)
+            for c in MARKS[:-1]:
+                mark = column(c).view(U)
+                d = mark[y] ^ mark[x]
+                differ += np.bitwise_count((d | (d >> U(1)) | (d >> U(2)) | (d >> U(3))) & U(0x111111111111111))
+            y, x = y[differ <= APART], x[differ <= APART]
+            # of the keys that both have, the one least by a hash of key and pair
             most = max(len(r["keys"]) for r in rows)
-            keys = np.array([r["keys"] + [r["keys"][0]] * (most - len(r["keys"])) for r in rows], np.int64).view(U)
-            marks = [np.array([r[c] for r in rows], np.int64).view(U) for c in ("sim", *MARKS)]
-            return keys, marks, np.array([r["node"] for r in rows], np.int64), np.array([r["root"] for r in rows], np.int64), np.array([r["main"] for r in rows], bool)
-
-        def compare(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            nonlocal mine
-            if not own or not rows:
-                return
-            mine = mine or columns(own)
-            keys, marks, node, root, main = mine
-            for i in range(0, len(rows), 200):
-                there = rows[i : i + 200]
-                tkeys, tmarks, tnode, troot, _ = columns(there)
-                good = (troot[:, None] != root) & (main | (tnode[:, None] < node))
-                n, tn = marks[-1].astype(np.int64), tmarks[-1].astype(np.int64)[:, None]
-                good &= np.minimum(n, tn) >= similarity * np.maximum(n, tn) - 2
-                y, x = np.nonzero(good)
-                keep = np.bitwise_count(tmarks[0][y] ^ marks[0][x]) <= REACH
-                y, x = y[keep], x[keep]
-                differ = np.zeros(len(y), np.int64)
-                for s, t in zip(marks[1:-1], tmarks[1:-1], strict=True):
-                    d = s[x] ^ t[y]
-                    differ += np.bitwise_count((d | (d >> U(1)) | (d >> U(2)) | (d >> U(3))) & U(0x111111111111111))
-                keep = differ <= APART
-                y, x = y[keep], x[keep]
-                # of the keys that both have, the one least by a hash of key and pair
-                salt = K.mix(node[x].view(U) ^ tnode[y].view(U))
-                least = np.full(len(y), ~U(0))
-                for k in range(tkeys.shape[1]):
-                    both = (keys[x] == tkeys[y, k][:, None]).any(axis=1)
-                    least = np.where(both, np.minimum(least, K.mix(tkeys[y, k] ^ salt)), least)
-                keep = least == K.mix(np.full(1, group[0], np.int64).view(U) ^ salt)
-                for p, q in zip(y[keep].tolist(), x[keep].tolist(), strict=True):
-                    r, s = there[p], own[q]
-                    if s["node"] not in r["hubs"] and r["node"] not in s["hubs"]:
-                        near.add(min(r["node"], s["node"]), max(r["node"], s["node"]), r["t"], s["t"])
-                        yield from near.full()
+            keys = np.array([r["keys"] + r["keys"][:1] * (most - len(r["keys"])) for r in rows], np.int64).view(U)
+            salt, least = K.mix(node[x].view(U) ^ node[y].view(U)), np.full(len(y), ~U(0))
+            for k in range(most):
+                both = (keys[x] == keys[y, k][:, None]).any(axis=1)
+                least = np.where(both, np.minimum(least, K.mix(keys[y, k] ^ salt)), least)
+            keep = least == K.mix(column("key").view(U)[y] ^ salt)
+            for a, b in zip(y[keep].tolist(), x[keep].tolist(), strict=True):
+                r, o = rows[a], rows[b]
+                if o["node"] not in r["hubs"] and r["node"] not in o["hubs"]:
+                    near.add(min(r["node"], o["node"]), max(r["node"], o["node"]), r["t"], o["t"])
+                    yield from near.full()
+
+        def compare(wait: list[dict]) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, ys, xs
+            for i in range(0, len(wait), 200) if own else ():
+                part, at = wait[i : i + 200], len(rows)
+                rows += own + part
+                ys.append(np.repeat(np.arange(at + len(own), len(rows)), len(own)))
+                xs.append(np.tile(np.arange(at, at + len(own)), len(part)))
+                if len(rows) >= 2000 or len(own) * len(part) >= 50_000:
+                    yield from sift()
+                    rows, ys, xs = [], [], []
 
         for batch in batches:
             wait: list[dict] = []
@@ -344,9 +362,11 @@ def left_links(dealt: DataFrame, about: DataFrame, similarity: float) -> DataFra
                 r["hubs"] = set(r["hubs"] or ())
                 if group != (r["key"], r["salt"]):
                     yield from compare(wait)
-                    wait, own, mine, group = [], [], None, (r["key"], r["salt"])
+                    wait, own, group = [], [], (r["key"], r["salt"])
                 (wait if r["late"] else own).append(r)
             yield from compare(wait)
+        if rows:
+            yield from sift()
         yield from near.full(0)
 
     salts = f"cast(n div {HELD} as int) + 1"
@@ -379,7 +399,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     scan = cut(scan_lines(docs, min_words) if radius is not None else scan_reach(docs, min_words), "lines")
     occur = scan.where("not again")
     # dealt out before the minimum of structs, which needs a sort: one instead of two, for within a block few lines repeat
-    first = cut(occur.select("hash", "id", "version", "line", "sim").repartition("hash").groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim")), "first")
+    first = cut(occur.select("hash", "id", "version", "line", "sim").repartition("hash").groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("times")), "first")
     if radius is None:
         keys = occur.select(F.explode("keys").alias("key"), F.col("hash").alias("node"))
     else:
@@ -387,16 +407,11 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
 
     def fetch(hashes: DataFrame) -> DataFrame:
         """(hash, t), written: the normalised lines of distinct ``hashes`` (hash)."""
-        own = first.select("hash", F.col("first.id").alias("id"), F.col("first.version").alias("version"), F.col("first.line").alias("line"))
-        lines = cut(own.join(hashes, "hash"), "want")
+        lines = cut(places.select("hash", "first.*").join(hashes, "hash"), "want")
         want = lines.groupBy("id", "version").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
         few = lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"]).dropDuplicates(["id", "version"])
-        picked = """aggregate(array(split(text, '\\n', -1)), cast(array() as array<struct<hash:bigint,t:string>>),
-          (a, x) -> transform(want, w -> struct(w.hash as hash, get(x, w.line) as t)))"""  # a text is split once
-        texts = texts.select(F.explode(F.expr(picked)).alias("w"))
-        norm = F.translate(F.trim(F.regexp_replace("w.t", r"[\x20\x09-\x0D]+", " ")), UPPER, UPPER.lower())
-        out = cut(texts.select(F.col("w.hash").alias("hash"), norm.alias("t")), "texts")
+        out = cut(texts.select("want", "text").mapInArrow(frees(picked), "hash long, t string"), "texts")
         release(lines)
         return out
 
@@ -421,24 +436,26 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
 
     # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
     raw = bucket_stars(keys) if radius is not None else cut(stars(keys, "xxhash64(node)"), "stars")
-    marks, close = first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
+    places, marks, close = first.select("hash", "first"), first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
     if radius is None:
         met = raw.select(F.col("hub").alias("hash")).union(raw.select("x")).distinct()  # most lines share no key and need no marks
         own = occur.where("n is not null").select("hash", "sim", *MARKS).join(met, "hash", "left_semi").groupBy("hash").agg(*[F.max(c).alias(c) for c in ("sim", *MARKS)])
-        marks = cut(own.selectExpr("hash as node", f"struct({', '.join(('sim', *MARKS))}) as m"), "marks")
+        own = own.join(first.select("hash", "first"), "hash")
+        about = cut(own.selectExpr("hash as node", f"struct({', '.join(('sim', *MARKS))}) as m", "first"), "marks")
+        places, marks = about.select(F.col("node").alias("hash"), "first"), about.select("node", "m")
         bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
         differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
         close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
     comp, links = similarity_groups(raw, marks, close, verify, settle=settle if radius is None else None)
-    release(raw, links, marks)
-    rooted = first.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
+    release(raw, links)
+    rooted = places.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
-    keep = first.join(kept, "hash", "left").select("hash", F.coalesce("keep", "first").alias("keep"))
+    keep = first.join(kept, "hash", "left").where("times > 1 or keep is not null").select("hash", F.coalesce("keep", "first").alias("keep"))
     place = ["id", "version", "line"]
     gone = occur.join(keep, "hash").where(F.struct(*place) != F.col("keep")).select(*place)
     gone = scan.where("again").select(*place).union(gone)
     gone = cut(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line")).alias("removed")), "gone")
-    release(scan, first, comp)
+    release(scan, first, comp, *([about] if radius is None else []))
     return gone
 
 
