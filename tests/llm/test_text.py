@@ -340,6 +340,22 @@ def test_edit_distances_of_many_pairs_at_once():
     assert K.edit_distances([], []).tolist() == []
 
 
+def test_edit_distances_within_a_bound():
+    rng, left, right, most, true = random.Random(6), [], [], [], []
+    for n in (1, 5, 64, 65, 128, 129, 200) * 6:
+        a = [rng.randrange(97, 101) for _ in range(n)]
+        b = a[:]
+        for _ in range(rng.randrange(n // 4 + 2)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = [rng.randrange(97, 101)] * rng.randrange(2)
+        d = _distance("".join(map(chr, a)), "".join(map(chr, b)))
+        for k in {0, max(d - 1, 0), d, d + 1, n // 5}:
+            left.append(np.array(a, np.uint32)), right.append(np.array(b, np.uint32)), most.append(k), true.append(d)
+    true, bound = np.array(true), np.array(most)
+    for got in (K.edit_distances(left, right, most), np.concatenate([K.edit_distances([x], [y], [k]) for x, y, k in zip(left, right, most, strict=True)])):
+        assert (got[true <= bound] == true[true <= bound]).all() and (got > bound)[true > bound].all()
+
+
 def test_linked_pairs_are_those_of_the_edit_similarity(spark):
     rnd = random.Random(3)
     line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(5, 60)))

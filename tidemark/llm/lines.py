@@ -211,7 +211,7 @@ def word_distance(u: list[str], v: list[str]) -> int:
 #: Code points of pairs whose edit distances are counted together.
 TOGETHER = 2_000_000
 #: Length of texts for which whole changed words are tried before their edit distance is counted.
-WORDY = 2000
+WORDY = 100
 
 
 def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _trim(x: str, y: str, similarity: float | None) -> tuple[np.ndarray, np.ndar
     rest = least - start
     apart = np.flatnonzero(p[len(p) - rest :][::-1] != q[len(q) - rest :][::-1])
     end = int(apart[0]) if len(apart) else rest
-    if similarity is not None:
+    if similarity is not None and max(len(p), len(q)) - start - end > (1 - similarity) * max(len(x), len(y)) + 1e-9:
         u, v = x[start : len(x) - end].split(" "), y[start : len(y) - end].split(" ")
         most = (1 - similarity) * max(len(x), len(y)) + 1e-9
         if len(u) == len(v) and sum(max(len(m), len(n)) for m, n in zip(u, v, strict=True) if m != n) <= most or word_distance(u, v) <= most:
@@ -292,7 +292,7 @@ class _Near:
     def full(self, least: int = TOGETHER) -> Iterator[pa.RecordBatch]:
         if not self.open or self.held < least:
             return
-        distance = K.edit_distances([p for _, _, p, _, _ in self.open], [q for _, _, _, q, _ in self.open])
+        distance = K.edit_distances([p for _, _, p, _, _ in self.open], [q for _, _, _, q, _ in self.open], [most for *_, most in self.open])
         good = [(a, b) for (a, b, _, _, most), d in zip(self.open, distance.tolist(), strict=True) if d <= most]
         self.open, self.held = [], 0
         yield pa.record_batch([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
