@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, kernels as K, lines, ngram_join
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, packed_stars
 from tidemark.llm.shared import release
 
 
@@ -293,6 +293,28 @@ def test_block_keys_meet(spark, count):
     assert both.selectExpr("size(ka) as n").first().n == (10 if not count else {1 << 30: 20, 1 << 39: 56, 1 << 60: 84}[count])
 
 
+def test_packed_stars_are_those_of_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.graph.PACKED", 7)  # a bucket lies in several packed rows
+    rng, keys = random.Random(8), [random.Random(i).getrandbits(63) - (1 << 62) for i in range(300)]
+    rows = [(node, rng.sample(keys[:3] if node % 5 == 0 else keys, 2)) for node in range(-60, 60)]
+    rows += [*rows[:9], (500, None), (501, [])]
+    want = {}
+    for node, some in rows:
+        for key in some or ():
+            want.setdefault(key, set()).add(node)
+    want = {key: nodes for key, nodes in want.items() if len(nodes) > 1}
+    got, place = {}, {}
+    for r in packed_stars(spark.createDataFrame(rows, "node long, keys array<long>").repartition(3)).collect():
+        got.setdefault(r.key, []).append((r.hub, r.x))
+        assert r.alone == (len(want[r.key]) == 2)
+        place.setdefault(r.key, r.hub)
+    assert {key: sorted([hub for hub, _ in some][:1] + [x for _, x in some]) for key, some in got.items()} == {key: sorted(nodes) for key, nodes in want.items()}
+    assert all(hub == place[key] for key, some in got.items() for hub, _ in some)
+    order = {node: int(K.mix(np.array([node]).view(np.uint64))[0]) for nodes in want.values() for node in nodes}
+    assert all(place[key] == min(nodes, key=order.get) for key, nodes in want.items())
+    assert packed_stars(spark.createDataFrame(rows[-2:], "node long, keys array<long>")).count() == 0
+
+
 def test_components_and_release(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(500, 400 + i) for i in range(60)] + [(7000 + rng.randint(0, 80), 7000 + rng.randint(0, 80)) for _ in range(50)] + [(9000, 9000), (9001, None)]

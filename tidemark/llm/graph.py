@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .shared import cut, frees, release, tidy
 
 #: Nodes of a bucket that one task compares with those that are left.
@@ -92,6 +93,75 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
     return dealt.mapInArrow(frees(run), "key long, hub long, x long, alone boolean")
 
 
+#: Parts for each shuffle partition that packed entries are dealt to, and the most entries of a packed row.
+PARTS, PACKED = 4, 4096
+
+
+def packed_stars(rows: DataFrame) -> DataFrame:
+    """``stars`` of ``rows`` (node: long, keys: array<long>, well mixed), by an order of mixed nodes that is the same in all buckets.
+
+    Entries (key, node) go to the shuffle packed by part of the keys, some thousands a row, and are sorted in a task's memory at 16 bytes each."""
+    count = min(PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65_535)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            both = np.concatenate(held, axis=1)
+            part = (both[0].view(np.uint64) % np.uint64(count)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            both, part = both[:, order], part[order]
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            at = np.concatenate([np.arange(i, j, PACKED) for i, j in zip(edge[:-1], edge[1:], strict=True)])
+            to = np.append(at[1:], len(part))
+            data = [both[:, i:j].tobytes() for i, j in zip(at.tolist(), to.tolist(), strict=True)]
+            for i in range(0, len(at), 200):
+                yield pa.record_batch([pa.array(part[at[i : i + 200]].astype(np.int32)), pa.array(data[i : i + 200], pa.binary())], ["part", "data"])
+
+        for b in batches:
+            keys = b.column(1)
+            each = keys.value_lengths().fill_null(0).to_numpy()
+            held.append(np.stack([keys.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), each)]))
+            n += held[-1].shape[1]
+            if n >= 1_000_000:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for b in batches for x in b.column(0)]
+        if not got:
+            return
+        key, node = np.concatenate(got, axis=1)
+        del got
+        order = np.argsort(key)
+        key, node = key[order], node[order]
+        again = key[1:] == key[:-1]
+        meet = np.zeros(len(key), bool)  # most keys have one entry
+        meet[1:] |= again
+        meet[:-1] |= again
+        key, node = key[meet], node[meet]
+        order = np.lexsort((node, K.mix(node.view(np.uint64)), key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        fresh = new.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        key, node, new = key[fresh], node[fresh], new[fresh]
+        if not len(key):
+            return
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(key)))
+        hub, alone = np.repeat(node[start], size), np.repeat(size == 2, size)
+        for i in range(0, len(key), 20_000):
+            s = slice(i, i + 20_000)
+            yield pa.record_batch([pa.array(c[s][~new[s]]) for c in (key, hub, node, alone)], ["key", "hub", "x", "alone"])
+
+    packed = rows.select("node", "keys").where("keys is not null").mapInArrow(frees(pack), "part int, data binary").repartition("part")
+    return packed.select("data").mapInArrow(frees(run), "key long, hub long, x long, alone boolean")
+
+
 def bucket_stars(rows: DataFrame) -> DataFrame:
     """The written stars of ``rows`` (key, node: long) for similarity_groups: the hub differs from key to key, but a node is hub of many of its keys."""
     return cut(stars(rows, "xxhash64(node, pmod(key, 4))"), "stars")

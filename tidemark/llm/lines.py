@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import bucket_stars, similarity_groups, stars
+from .graph import bucket_stars, packed_stars, similarity_groups
 from .shared import BROADCAST_ROWS, cut, frees, fresh, release, small_batches
 
 U = np.uint64
@@ -401,7 +401,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     # dealt out before the minimum of structs, which needs a sort: one instead of two, for within a block few lines repeat
     first = cut(occur.select("hash", "id", "version", "line", "sim").repartition("hash").groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("times")), "first")
     if radius is None:
-        keys = occur.select(F.explode("keys").alias("key"), F.col("hash").alias("node"))
+        keys = occur.where("size(keys) > 0").select(F.col("hash").alias("node"), "keys")
     else:
         keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
 
@@ -435,7 +435,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         return out
 
     # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
-    raw = bucket_stars(keys) if radius is not None else cut(stars(keys, "xxhash64(node)"), "stars")
+    raw = bucket_stars(keys) if radius is not None else cut(packed_stars(keys), "stars")
     places, marks, close = first.select("hash", "first"), first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
     if radius is None:
         met = raw.select(F.col("hub").alias("hash")).union(raw.select("x")).distinct()  # most lines share no key and need no marks
@@ -446,7 +446,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
         differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
         close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
-    comp, links = similarity_groups(raw, marks, close, verify, settle=settle if radius is None else None)
+    comp, links = similarity_groups(raw, marks, close, verify, 2, settle if radius is None else None)
     release(raw, links)
     rooted = places.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
