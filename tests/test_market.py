@@ -113,6 +113,24 @@ def test_overfitting_probability_of_bars_that_open_at_zero(spark, opens_at_zero)
     assert got == want and got[0][0] == 20
 
 
+def test_overfitting_of_equal_trials_gives_ranks_that_the_sql_can_give(spark, duck, tmp_path):
+    rows = "SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE user_id % 5 > 1 UNION ALL SELECT event_id + x * 1000000, ts, user_id - user_id % 5 + x, event_type, value, props FROM events, range(2) r(x) WHERE user_id % 5 = 1"
+    duck.sql(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    own = duckdb.connect()
+    own.sql("set timezone='UTC'")
+    own.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    half = own.sql(f"WITH {market.T}, {market.bars_sql(market.HOUR)}, {research_plans._SPLITS} SELECT split, trial, inside, round(sr, 12) FROM h").fetchall()
+    sharpe = {(s, t, i): x for s, t, i, x in half}
+    got = research_plans.backtest_overfitting(spark, str(tmp_path)).collect()
+    assert len(got) == 20 and {"U0"} < {x.winner for x in got}  # U0 is as U1
+    for x in got:
+        trials = [t for s, t, i in sharpe if s == x.split and i]
+        assert x.winner == min(trials, key=lambda t: (-sharpe[x.split, t, True], t))
+        assert x["rank"] in range(1 + sum(sharpe[x.split, t, False] < sharpe[x.split, x.winner, False] for t in trials), 1 + sum(sharpe[x.split, t, False] <= sharpe[x.split, x.winner, False] for t in trials))
+    panel = spark.createDataFrame([(t, i, (i * 7 % 11 - 4) / 100) for t in "ab" for i in range(24)], "trial string, pos int, r double")
+    assert {(x.winner, x["rank"]) for x in validation.overfitting(panel, 6).collect()} == {("a", 1.5)}
+
+
 def test_deflated_sharpe_vector():
     expected, p = validation.deflated_sharpe(0.5, 24, 0.0, 3.0, 0.2, 10)
     assert expected == pytest.approx(0.31491966026915, abs=1e-12) and p == pytest.approx(0.79866173151637, abs=1e-12)

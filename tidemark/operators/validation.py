@@ -87,12 +87,14 @@ def deflated_sharpe(sharpe: float, t: int, skew: float, kurtosis: float, deviati
     return expected, n.cdf((sharpe - expected) * math.sqrt(t - 1) / math.sqrt(radicand))
 
 
-def overfitting(panel: DataFrame, blocks: int) -> DataFrame:
-    """One row per split of the blocks into halves: in-sample winner, its mean out-of-sample rank and logit.
+def overfitting(panel: DataFrame, blocks: int, ties: str = "mean") -> DataFrame:
+    """One row per split of the blocks into halves: in-sample winner, its out-of-sample rank and logit.
 
     ``panel``: trial, pos (0-based), r, equal length for every trial. Block edges are dealt over the whole length: blocks differ by one observation at most. Block sums are grouped first;
     splits (a fixed, small list) meet blocks, not observations. Means and deviations follow from counts, means and squared deviations of blocks.
-    A half with a return that isn't finite has the Sharpe ratio NaN: it never wins while another trial has a number, and out of sample it ranks above all. Equal ratios, NaN too, share the mean of their ranks."""
+    A half with a return that isn't finite has the Sharpe ratio NaN: it never wins while another trial has a number, and out of sample it ranks above all. Equal ratios (to 12 decimals, for the last bits depend on the order of sums), NaN too, share the mean of their ranks; with ``ties="order"`` they rank in the order of trials."""
+    if ties not in ("mean", "order"):
+        raise ValueError("ties must be mean or order")
     spark = panel.sparkSession
     per_trial = panel.groupBy("trial").agg(F.count("*").alias("n"))
     least, length, trials = per_trial.agg(F.min("n"), F.max("n"), F.count("*")).first()
@@ -105,10 +107,11 @@ def overfitting(panel: DataFrame, blocks: int) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(splits, "split int, block int, inside boolean"))
     half = own.join(table, "block").groupBy("split", "trial", "inside").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum("s2").alias("s2"), F.collect_list(F.struct("n", "m")).alias("parts"))
     half = half.withColumn("between", F.expr("aggregate(parts, 0D, (a, x) -> a + x.n * (x.m - mean) * (x.m - mean))"))
-    half = half.withColumn("sharpe", F.col("mean") / F.nullif(F.sqrt((F.col("s2") + F.col("between")) / (F.col("n") - 1)), F.lit(0.0)))
+    half = half.withColumn("sharpe", F.col("mean") / F.nullif(F.sqrt((F.col("s2") + F.col("between")) / (F.col("n") - 1)), F.lit(0.0))).withColumn("sharpe", F.round("sharpe", 12))
     order = F.struct(F.col("sharpe").isNull().alias("none"), (-F.col("sharpe")).alias("s"), F.col("trial").alias("n"))  # NaN, and then null, last
     winner = half.where("inside").groupBy("split").agg(F.min_by("trial", order).alias("trial"))
-    w = Window.partitionBy("split").orderBy("sharpe")
-    ranked = half.where("not inside").withColumn("n", F.row_number().over(w)).withColumn("rank", F.avg("n").over(Window.partitionBy("split", "sharpe"))).withColumn("trials", F.count("*").over(Window.partitionBy("split")))
+    w = Window.partitionBy("split").orderBy("sharpe", "trial")
+    rank = F.avg("n").over(Window.partitionBy("split", "sharpe")) if ties == "mean" else F.col("n").cast("double")
+    ranked = half.where("not inside").withColumn("n", F.row_number().over(w)).withColumn("rank", rank).withColumn("trials", F.count("*").over(Window.partitionBy("split")))
     omega = F.col("rank") / (F.col("trials") + 1)
     return ranked.join(winner, ["split", "trial"]).select("split", F.col("trial").alias("winner"), "rank", F.log(omega / (1 - omega)).alias("logit"))
