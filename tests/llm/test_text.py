@@ -346,6 +346,34 @@ def _distance(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_links_put_into_components_give_those_of_all(spark, monkeypatch, few):
+    from tidemark.llm import graph
+
+    if not few:
+        monkeypatch.setattr(graph, "broadcast_if_small", lambda df: df)
+    rng = random.Random(9)
+    old = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(120)]
+    more = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(60)] + [(1000, 1001), (1001, 1002)]
+    frame = lambda rows: spark.createDataFrame([tuple(sorted(r)) for r in rows], "a long, b long")
+    comp = components(frame(old))
+    out, moved = graph.merged(comp, frame(more))
+    want = {tuple(r) for r in components(frame(old + more)).collect()}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    before = dict(map(tuple, comp.collect()))
+    assert {(before.get(n, n), r) for n, r in want if before.get(n, n) != r} == {tuple(r) for r in moved.collect()}
+
+
+def test_texts_are_read_once_for_all_rounds(spark, monkeypatch):
+    names, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df, name="cut": names.append(name) or cut(df, name))
+    base = [f"{x}{i}" for i, x in enumerate("amber birch cedar dune ember fjord grove heron inlet jetty kelp larch".split())]
+    rows = [(i, " ".join(w if (i * 5 + j) % 17 else f"{w}{i}" for j, w in enumerate(base))) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:3], "id long, text string")
+    assert lines.removals(docs, radius=None).count() > 0
+    assert names.count("texts") == 1 and names.count("links") > 0
+
+
 def test_edit_distances_of_many_pairs_at_once():
     rnd = random.Random(9)
     texts = []

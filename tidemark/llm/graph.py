@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import cut, frees, release, tidy
+from .shared import broadcast_if_small, cut, frees, release, tidy
 
 #: Nodes of a bucket that one task compares with those that are left.
 SALTED = 500
@@ -52,6 +52,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
+def merged(comp: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``comp`` (node, root), as components gives it, with the written links ``more`` (a, b) put in, and the roots that moved (old, new); both are written.
+
+    Only the roots of the new links go through rounds; all other nodes are relabelled once."""
+    ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    found = comp.join(broadcast_if_small(ends), "node")
+    known = cut(ends.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("new")), "known")
+    root = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    joined = components(more.join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = cut(joined.where("node <> root").toDF("old", "new"), "moved")
+    out = cut(relabelled(comp.union(known.where("new").select("node", "root")), moved), "comp")
+    release(known, joined)
+    return out, moved
+
+
+def relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """``rows`` with the new root of those whose ``root`` moved (old, new)."""
+    out = rows.join(broadcast_if_small(moved), rows["root"] == F.col("old"), "left")
+    return out.select(*[F.coalesce("new", "root").alias("root") if c == "root" else F.col(c) for c in rows.columns])
+
+
 def stars(rows: DataFrame, order: str) -> DataFrame:
     """(key, hub, x, alone): in every bucket of ``rows`` (key, node: long) the first node by ``order`` (an SQL
     expression over key and node) against each other distinct node. Buckets stream through in sorted order, so a
@@ -192,8 +213,9 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
     every = crowd.select("key", F.col("x").alias("node")).union(crowd.select("key", F.col("hub").alias("node")).distinct())
     alike = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
     member = cut(every.join(alike.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key"), "member")
+    labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    done = [member]  # what labelled reads
     for turn in range(star_rounds + 1):
-        labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         open_ = cut(labelled.join(many.select("key", "n"), "key"), "open")
         # the largest component of a bucket is its base; nodes of the others are left
@@ -201,9 +223,9 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
         base = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("base"))
         dealt = cut(open_.join(base, "key"), "dealt")
         rest = dealt.where("root <> base")
-        release(open_)
+        release(open_, *done)
+        done, labelled = [dealt], dealt.select("key", "node", "root")  # components only grow: a bucket that is settled stays so
         if rest.isEmpty():
-            release(dealt)
             break
         if turn < star_rounds:
             # a new hub is linked to nodes that have more links than itself: to former hubs
@@ -220,11 +242,10 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
             new = sift(order(put, "hub", "node"))
         elif settle is not None:
             more = settle(dealt, asked)
-            release(dealt)
             if not more.isEmpty():
                 links = links.union(more)
-                last, comp = comp, components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-                release(last)
+                last, (comp, moved) = comp, merged(comp, more)
+                release(last, moved)
             break
         else:
             salts = f"cast(n div {SALTED} as int) + 1"  # a large bucket is dealt out to several tasks
@@ -232,16 +253,16 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
             right = dealt.select("key", "node", "root", F.expr("root = base").alias("main"), F.expr(f"cast(pmod(xxhash64(node, 5), {salts}) as int)").alias("salt")).join(marked("node", "mb"), "node")
             new = order(left.join(right, ["key", "salt"]).where("ry <> root and (main or y < node)").where(near), "y", "node")
         new = cut(new.join(tried, ["a", "b"], "left_anti"), "tried")
-        release(dealt)
         seen.append(new)
         if new.isEmpty():
             continue
         more = verify(new)
         links, tried = links.union(more), tried.union(new)
         if not more.isEmpty():
-            known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars stand for the links they come from
-            last, comp = comp, components(known.union(more))
+            last, (comp, moved) = comp, merged(comp, more)
             release(last)
-    release(member, *seen)
-    tidy(member.sparkSession)
+            done.append(moved)
+            labelled = relabelled(labelled, moved)
+    release(*done, *seen)
+    tidy(raw.sparkSession)
     return comp, links

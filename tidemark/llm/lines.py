@@ -410,44 +410,51 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         lines = cut(places.select("hash", "first.*").join(hashes, "hash"), "want")
         want = lines.groupBy("id", "version").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
         few = lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"]).dropDuplicates(["id", "version"])
-        out = cut(texts.select("want", "text").mapInArrow(frees(picked), "hash long, t string"), "texts")
+        texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"])
+        # a text that is there twice gives its lines twice; they, not texts, go to the shuffle
+        out = cut(texts.select("want", "text").mapInArrow(frees(picked), "hash long, t string").dropDuplicates(["hash"]), "texts")
         release(lines)
         return out
 
     def verify(near: DataFrame) -> DataFrame:
-        texts = fetch(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct())
+        texts = every
+        if texts is None:
+            texts = fetch(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct())
+        elif near.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2:
+            texts = texts.join(F.broadcast(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct()), "hash")
         pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         if radius is None:
             pairs = pairs.where(f"least(length(ta), length(tb)) >= {similarity:.6f} * greatest(length(ta), length(tb)) - 1e-9")
         out = cut(linked(pairs, similarity), "links")
-        release(texts)
+        if every is None:
+            release(texts)
         return out
 
     def settle(dealt: DataFrame, asked: DataFrame) -> DataFrame:
         keyed = cut(dealt.groupBy("node").agg(F.collect_set("key").alias("keys")), "keyed")
-        texts = fetch(keyed.select(F.col("node").alias("hash")))
         hubs = asked.join(keyed.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
-        about = keyed.join(texts.withColumnRenamed("hash", "node"), "node").join(marks.select("node", "m.*"), "node").join(hubs, "node", "left")
+        about = keyed.join(every.withColumnRenamed("hash", "node"), "node").join(marks.select("node", "m.*"), "node").join(hubs, "node", "left")
         about = cut(about, "about")
         out = cut(left_links(dealt, about, similarity), "links")
-        release(keyed, texts, about)
+        release(keyed, about)
         return out
 
     # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
     raw = bucket_stars(keys) if radius is not None else cut(packed_stars(keys), "stars")
     places, marks, close = first.select("hash", "first"), first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
+    every = None
     if radius is None:
         met = raw.select(F.col("hub").alias("hash")).union(raw.select("x")).distinct()  # most lines share no key and need no marks
         own = occur.where("n is not null").select("hash", "sim", *MARKS).join(met, "hash", "left_semi").groupBy("hash").agg(*[F.max(c).alias(c) for c in ("sim", *MARKS)])
         own = own.join(first.select("hash", "first"), "hash")
         about = cut(own.selectExpr("hash as node", f"struct({', '.join(('sim', *MARKS))}) as m", "first"), "marks")
         places, marks = about.select(F.col("node").alias("hash"), "first"), about.select("node", "m")
+        every = fetch(places.select("hash"))  # most of them are compared: one reading of the texts serves all rounds
         bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
         differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
         close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
     comp, links = similarity_groups(raw, marks, close, verify, 2, settle if radius is None else None)
-    release(raw, links)
+    release(raw, links, *([every] if radius is None else []))
     rooted = places.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
     keep = first.join(kept, "hash", "left").where("times > 1 or keep is not null").select("hash", F.coalesce("keep", "first").alias("keep"))
