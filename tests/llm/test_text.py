@@ -364,6 +364,26 @@ def test_links_put_into_components_give_those_of_all(spark, monkeypatch, few):
     assert {(before.get(n, n), r) for n, r in want if before.get(n, n) != r} == {tuple(r) for r in moved.collect()}
 
 
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    from tidemark.llm import graph
+
+    names, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="cut": names.append(name) or cut(df, name))
+    rng = random.Random(10)
+    old = [(i, i + 1) for i in range(50)] + [(900, 800 + i) for i in range(40)] + [(rng.randint(-300, 700), rng.randint(-300, 700)) for _ in range(150)] + [(-2, -2)]
+    more = [(rng.randint(-400, 1000), rng.randint(-400, 1000)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+
+    def found():
+        comp = components(frame([*old, *old[:9], (5, None)]).repartition(3))
+        return [sorted(map(tuple, x.collect())) for x in (comp, *graph.merged(comp, frame(more).repartition(3)), *graph.merged(comp, frame([])), *graph.merged(components(frame([])), frame(more)))]
+
+    at_once = found()
+    assert "star" not in names and "joined" in names
+    monkeypatch.setattr(graph, "AT_ONCE", 0)
+    assert found() == at_once and "star" in names
+
+
 def test_texts_are_read_once_for_all_rounds(spark, monkeypatch):
     names, cut = [], lines.cut
     monkeypatch.setattr(lines, "cut", lambda df, name="cut": names.append(name) or cut(df, name))

@@ -14,20 +14,55 @@ from .shared import broadcast_if_small, cut, frees, release, tidy
 
 #: Nodes of a bucket that one task compares with those that are left.
 SALTED = 500
+#: Links that one task joins in its memory (some 100 bytes each while it works); more of them go through rounds.
+AT_ONCE = 1_000_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b), in order, and of each the smallest node of its component."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while len(u):  # u and v are roots
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    return node, node[root]
+
+
+def joined_at_once(edges: DataFrame) -> DataFrame:
+    """(node, root, moved) of every node of ``edges`` (a, b: long, known: boolean), found in one task; root is the smallest node of its component.
+
+    Rows that are ``known`` say that b was the root of a; ``moved`` are former roots, and nodes without one, that have another root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        a, b, known = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        node, root = roots(a, b)
+        moved = (node != root) & (np.isin(node, b[known]) | ~np.isin(node, a[known]))
+        for i in range(0, len(node), 100_000):
+            yield pa.record_batch([pa.array(x[i : i + 100_000]) for x in (node, root, moved)], ["node", "root", "moved"])
+
+    return edges.select("a", "b", "known").coalesce(1).mapInArrow(frees(run), "node long, root long, moved boolean")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long); root is the smallest node of its component.
 
-    Alternating large-star and small-star steps: each is a grouped minimum (combined before the
+    Up to AT_ONCE links are joined in one task. More go through alternating large-star and small-star steps: each is a grouped minimum (combined before the
     shuffle) and a join that adaptive execution can split, so a hub of many links is no single task.
     Every round is written to the shared folder, and so is the result; the round before is deleted. Self links and repeats do no harm; no links, no rows."""
-    e = cut(
-        edges.where("a is not null and b is not null")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
-    )
+    e = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    if e.count() <= AT_ONCE:
+        out = cut(joined_at_once(e.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(False).alias("known"))).select("node", "root"), "comp")
+        release(e)
+        return out
+    last, e = e, cut(e.distinct(), "edges")
+    release(last)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -55,7 +90,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def merged(comp: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``comp`` (node, root), as components gives it, with the written links ``more`` (a, b) put in, and the roots that moved (old, new); both are written.
 
-    Only the roots of the new links go through rounds; all other nodes are relabelled once."""
+    Up to AT_ONCE rows of both are joined in one task. Of more, only the roots of the new links go through rounds; all other nodes are relabelled once."""
+    if comp.count() + more.count() <= AT_ONCE:
+        both = comp.select(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(True).alias("known")).union(more.select("a", "b", F.lit(False)))
+        joined = cut(joined_at_once(both), "joined")
+        out, moved = cut(joined.select("node", "root"), "comp"), cut(joined.where("moved").select(F.col("node").alias("old"), F.col("root").alias("new")), "moved")
+        release(joined)
+        return out, moved
     ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
     found = comp.join(broadcast_if_small(ends), "node")
     known = cut(ends.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("new")), "known")
@@ -216,6 +257,7 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
     labelled = member.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     done = [member]  # what labelled reads
     for turn in range(star_rounds + 1):
+        tidy(raw.sparkSession)  # else the driver's heap grows with the jobs of a turn, and is not given back
         many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         open_ = cut(labelled.join(many.select("key", "n"), "key"), "open")
         # the largest component of a bucket is its base; nodes of the others are left
