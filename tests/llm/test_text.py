@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, kernels as K, lines, ngram_join
-from tidemark.llm.graph import components, packed_stars
+from tidemark.llm.graph import components, packed_buckets, packed_stars
 from tidemark.llm.shared import release
 
 
@@ -293,6 +293,72 @@ def test_block_keys_meet(spark, count):
     assert both.selectExpr("size(ka) as n").first().n == (10 if not count else {1 << 30: 20, 1 << 39: 56, 1 << 60: 84}[count])
 
 
+def _near_lines(rng, groups, size, words):
+    """Lines of ``groups`` groups of ``size``, in which words of a chain are changed, misspelt, added and lost, and the first of each component of near lines."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    texts = []
+    for _ in range(groups):
+        own = [word() for _ in range(words)]
+        for _ in range(size):
+            texts.append(" ".join(own))
+            i = rng.randrange(len(own))
+            own[i : i + 1] = rng.choice([[word()], [own[i][1:] + "x"], [own[i], word()], [own[i], "y" + own[i]] if len(own) <= words else []])
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b - b % size, b):
+            if root[a] != root[b] and _distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return texts, root
+
+
+def test_lines_of_small_buckets_go_through_no_rounds(spark, monkeypatch):
+    texts, root = _near_lines(random.Random(12), 12, 5, 14)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(3)
+    want, crowds, groups = {i for i, r in enumerate(root) if r != i}, [], lines.similarity_groups
+    monkeypatch.setattr(lines, "similarity_groups", lambda raw, marks, *rest: crowds.append((raw.select("key").distinct().count(), marks.count(), raw.select("hub").union(raw.select("x")).distinct().count())) or groups(raw, marks, *rest))
+    found = lambda: {r.doc_id for r in lines.dedup_lines(df, radius=None).collect() if r.removed_lines}
+    assert found() == want and len(want) >= 40
+    assert crowds == [(0, 0, 0)]
+    for most in (4, 1):  # buckets of more lines do: some, and all of them
+        monkeypatch.setattr(lines, "CROWD", most)
+        assert found() == want
+        assert crowds[-1][0] > (crowds[-2][0] if most == 1 else 0) and crowds[-1][1] == crowds[-1][2] > 0
+
+
+def test_pairs_of_buckets_are_those_that_pass_the_marks_once():
+    texts, _ = _near_lines(random.Random(13), 20, 6, 12)
+    texts = list(dict.fromkeys(texts))
+    raw = "".join(texts).encode()
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    w = K.words(np.frombuffer(raw, np.uint8), off)
+    own = K.signed(lines.signs(np.frombuffer(raw, np.uint8), w, w.first[:-1], w.first[1:], True))
+    assert own[:, -1].tolist() == [len(t) for t in texts]
+    assert (lines.signs(np.frombuffer(raw, np.uint8), w, w.first[:-1], w.first[1:])[:, : lines.BANDS] == own[:, : lines.BANDS].view(np.uint64)).all()
+    keys, marks, sim = own[:, : lines.BANDS], own[:, lines.BANDS :], K.simhash_spans(w.hash, w.first[:-1], w.first[1:])
+    entries = sorted((int(k), i) for i in range(len(texts)) for k in keys[i])
+    x, y = lines._bucket_pairs(*(np.array(c) for c in zip(*entries, strict=True)), keys, sim, marks, 0.8)
+    want = set()
+    for b in range(len(texts)):
+        for a in range(b):
+            apart = sum((int(marks[a, c]) >> 4 * i & 15) != (int(marks[b, c]) >> 4 * i & 15) for c in range(len(lines.MARKS) - 1) for i in range(lines.NIBBLES))
+            near = min(len(texts[a]), len(texts[b])) >= 0.8 * max(len(texts[a]), len(texts[b])) - 2
+            if (keys[a] == keys[b]).any() and near and bin(int(sim[a] ^ sim[b])).count("1") <= lines.REACH and apart <= lines.APART:
+                want.add((a, b))
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(want) and len(want) > 100
+
+
+def test_a_walk_along_the_words_takes_no_pair_that_is_not_near():
+    rng = random.Random(14)
+    for _ in range(600):
+        u, v = ([rng.choice(["a", "ab", "b", "bab", "abba"]) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        d = _distance(" ".join(u), " ".join(v))
+        assert d == 0 or not lines.walked(u, v, d - 1)
+    line = "one two three four five six seven eight nine ten".split()
+    for other, cost in ((line, 0), ([*line[:3], "fear", *line[4:]], 2), (line[:3] + line[4:], 5), ([*line, "more"], 5), (["new", *line], 4), (line[2:], 8)):
+        assert lines.walked(line, other, cost) and lines.walked(other, line, cost) and (cost == 0 or not lines.walked(line, other, cost - 1))
+
+
 def test_packed_stars_are_those_of_the_buckets(spark, monkeypatch):
     monkeypatch.setattr("tidemark.llm.graph.PACKED", 7)  # a bucket lies in several packed rows
     rng, keys = random.Random(8), [random.Random(i).getrandbits(63) - (1 << 62) for i in range(300)]
@@ -315,6 +381,11 @@ def test_packed_stars_are_those_of_the_buckets(spark, monkeypatch):
     assert packed_stars(spark.createDataFrame(rows[-2:], "node long, keys array<long>")).count() == 0
 
 
+def test_the_same_node_twice_makes_no_bucket(spark):
+    rows = spark.createDataFrame([(1, [10, 11]), (1, [10, 11]), (2, [11, 12])], "node long, keys array<long>").repartition(2)
+    assert sorted(map(tuple, packed_buckets(rows).collect())) == [(11, 1, 2), (11, 2, 2)]
+
+
 def test_components_and_release(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(500, 400 + i) for i in range(60)] + [(7000 + rng.randint(0, 80), 7000 + rng.randint(0, 80)) for _ in range(50)] + [(9000, 9000), (9001, None)]

@@ -159,8 +159,8 @@ def stars(rows: DataFrame, order: str) -> DataFrame:
 PARTS, PACKED = 4, 4096
 
 
-def packed_stars(rows: DataFrame) -> DataFrame:
-    """``stars`` of ``rows`` (node: long, keys: array<long>, well mixed), by an order of mixed nodes that is the same in all buckets.
+def packed_buckets(rows: DataFrame) -> DataFrame:
+    """(key, node, n): the distinct nodes of every bucket of ``rows`` (node: long, keys: array<long>, well mixed) that has ``n`` nodes, two or more; those of a bucket follow each other, by an order of mixed nodes that is the same in all buckets.
 
     Entries (key, node) go to the shuffle packed by part of the keys, some thousands a row, and are sorted in a task's memory at 16 bytes each."""
     count = min(PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65_535)
@@ -215,13 +215,33 @@ def packed_stars(rows: DataFrame) -> DataFrame:
             return
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
-        hub, alone = np.repeat(node[start], size), np.repeat(size == 2, size)
+        size = np.repeat(size, size)
+        key, node, size = key[size > 1], node[size > 1], size[size > 1]  # the same node twice makes no bucket
         for i in range(0, len(key), 20_000):
-            s = slice(i, i + 20_000)
-            yield pa.record_batch([pa.array(c[s][~new[s]]) for c in (key, hub, node, alone)], ["key", "hub", "x", "alone"])
+            yield pa.record_batch([pa.array(c[i : i + 20_000]) for c in (key, node, size)], ["key", "node", "n"])
 
     packed = rows.select("node", "keys").where("keys is not null").mapInArrow(frees(pack), "part int, data binary").repartition("part")
-    return packed.select("data").mapInArrow(frees(run), "key long, hub long, x long, alone boolean")
+    return packed.select("data").mapInArrow(frees(run), "key long, node long, n long")
+
+
+def packed_stars(rows: DataFrame) -> DataFrame:
+    """``stars`` of ``rows`` (node: long, keys: array<long>, well mixed), by the order of packed_buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = hub0 = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node, n = (c.to_numpy() for c in b.columns)
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = key[0] != last
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            hub = np.where(at >= 0, node[at], hub0 or 0)
+            last, hub0 = key[-1], hub[-1]
+            yield pa.record_batch([pa.array(c[~new]) for c in (key, hub, node, n == 2)], ["key", "hub", "x", "alone"])
+
+    return packed_buckets(rows).mapInArrow(frees(run), "key long, hub long, x long, alone boolean")
 
 
 def bucket_stars(rows: DataFrame) -> DataFrame:
@@ -242,6 +262,9 @@ def similarity_groups(raw: DataFrame, marks: DataFrame, near: str, verify: Calla
     With ``settle``, that last comparison makes no pairs: it is given the nodes of the open buckets (key, node, root, base, n; a node is left if its root is not the base)
     and the hubs that nodes were compared with (node, hub), and gives the links, as a written table, of nodes of one bucket and different roots."""
     crowd = raw.where("not alone")  # a bucket of two is settled by its one pair
+    if raw.isEmpty():
+        none = raw.sparkSession.createDataFrame([], "a long, b long")
+        return components(none), none
     order = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
     marked = lambda node, mark: marks.select(F.col("node").alias(node), F.col("m").alias(mark))
     sift = lambda d: d.join(marked("a", "ma"), "a").join(marked("b", "mb"), "b").where(near).select("a", "b")

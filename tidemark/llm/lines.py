@@ -8,7 +8,7 @@ edit similarity. Of each connected group one occurrence stays: the first by docu
 That radius reaches a changed word only in long lines. By default (``radius=None``) candidates reach as far
 as the edit similarity does: the SimHash takes words and REACH bits, which blocks can't serve, so keys are minima of hashes over a line's
 words, each word weighing its length as it does in the edit distance. Of pairs that share two thirds of their
-letters, BANDS keys of ROWS minima each miss some 5%, of those that share nine tenths, next to none. Lines of fewer than ``min_words`` words then meet if they are equal.
+letters, BANDS keys of ROWS minima each miss some 5%, of those that share nine tenths, next to none. Buckets of up to CROWD lines are compared within a task, larger ones in rounds. Lines of fewer than ``min_words`` words then meet if they are equal.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import bucket_stars, packed_stars, similarity_groups
+from .graph import PARTS, bucket_stars, merged, packed_buckets, roots, similarity_groups, stars
 from .shared import BROADCAST_ROWS, cut, frees, fresh, release, small_batches
 
 U = np.uint64
@@ -66,25 +67,20 @@ def lines_of(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarr
     return doc[long], number[long], h[long], K.simhash_spans(pairs, a[long], np.maximum(b - 1, a + 1)[long])
 
 
-def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -> tuple[np.ndarray, ...]:
-    """(text number, line number, hash, SimHash of the words, row of keys or -1, keys, with the sketch and the length after them) of all lines with a word. Only lines whose hash is not
-    in ``seen``, to which it is added, and of ``min_words`` words or more have keys and a SimHash."""
-    w, doc, number, a, b, h = find_lines(raw, off)
-    sim, row, n = np.zeros(len(h), U), np.full(len(h), -1), b - a
-    _, once = np.unique(h, return_index=True)
-    new = np.array([i for i in once.tolist() if n[i] >= min_words and int(h[i]) not in seen], np.int64)
-    if not len(new):
-        return doc, number, h, sim, row, np.zeros((0, WIDTH), U)
-    seen.update(h[new].tolist())
-    first = np.concatenate([[0], np.cumsum(n[new])])
-    take = np.arange(first[-1]) + np.repeat(a[new] - first[:-1], n[new])
+def signs(raw: np.ndarray, w: K.Words, a: np.ndarray, b: np.ndarray, marks: bool = False) -> np.ndarray:
+    """The keys of lines of the words a[i] to b[i], one at least; with ``marks``, their sketch and length after them."""
+    keys = np.zeros((len(a), WIDTH), U)
+    if not len(a):
+        return keys
+    n = b - a
+    first = np.concatenate([[0], np.cumsum(n)])
+    take = np.arange(first[-1]) + np.repeat(a - first[:-1], n)
     own, length = w.hash[take], (w.end - w.start)[take].astype(U)
-    sim[new], row[new] = K.simhash_spans(own, first[:-1], first[1:]), np.arange(len(new))
-    keys = np.zeros((len(new), WIDTH), U)
-    letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    keys[:, -1] = np.add.reduceat((letters[w.end] - letters[w.start])[take] + 1, first[:-1]) - 1
+    if marks:
+        letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        keys[:, -1] = np.add.reduceat((letters[w.end] - letters[w.start])[take] + 1, first[:-1]) - 1
     share = 1.0 / length
-    least = np.empty((ROWS * SPREAD, len(new)), U)
+    least = np.empty((ROWS * SPREAD, len(a)), U)
     part, weighed = np.empty_like(own), np.empty(len(own))  # one piece of memory for all minima
     for j in range(ROWS * SPREAD):
         odd = U(int(K.mix(np.array([j + 1], U))[0]) | 1)
@@ -92,12 +88,24 @@ def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -
         np.right_shift(part, U(12), out=part)
         np.multiply(part.view(np.int64), share, out=weighed)  # 52 bits: signed is the same, and faster
         least[j] = K.mix(np.minimum.reduceat(weighed, first[:-1]).view(U))
-        keys[:, BANDS + j // NIBBLES] |= (least[j] & U(15)) << U(4 * (j % NIBBLES))
+        if marks:
+            keys[:, BANDS + j // NIBBLES] |= (least[j] & U(15)) << U(4 * (j % NIBBLES))
     for i in range(BANDS):
         for r in range(ROWS):
             keys[:, i] = K.mix(keys[:, i] + least[r * SPREAD + (i + r * (i // SPREAD)) % SPREAD])
         keys[:, i] = K.mix(keys[:, i] + U(i))
-    return doc, number, h, sim, row, keys
+    return keys
+
+
+def reach_of(raw: np.ndarray, off: np.ndarray, min_words: int, seen: set[int]) -> tuple[np.ndarray, ...]:
+    """(text number, line number, hash, row of keys or -1, keys) of all lines with a word. Only lines whose hash is not in ``seen``, to which it is added, and of ``min_words`` words or more have keys."""
+    w, doc, number, a, b, h = find_lines(raw, off)
+    row, n = np.full(len(h), -1), b - a
+    _, once = np.unique(h, return_index=True)
+    new = np.array([i for i in once.tolist() if n[i] >= min_words and int(h[i]) not in seen], np.int64)
+    seen.update(h[new].tolist())
+    row[new] = np.arange(len(new))
+    return doc, number, h, row, signs(raw, w, a[new], b[new])[:, :BANDS]
 
 
 def _scan(docs: DataFrame, schema: str, read: Callable, block: Callable) -> DataFrame:
@@ -137,31 +145,30 @@ def _occurrences(got: list[tuple]) -> tuple:
 
 
 def scan_reach(docs: DataFrame, min_words: int) -> DataFrame:
-    """scan_lines for all lines with a word, with the keys that reach_of gives and their MARKS (null for lines of fewer than ``min_words`` words and rows with ``again``)."""
+    """scan_lines for all lines with a word, with the keys that reach_of gives instead of a SimHash (null for lines of fewer than ``min_words`` words and rows with ``again``)."""
 
     def read(raw: np.ndarray, off: np.ndarray, seen: set[int]) -> tuple:
-        doc, number, h, sim, row, keys = reach_of(raw, off, min_words, seen)
+        doc, number, h, row, keys = reach_of(raw, off, min_words, seen)
         has = row >= 0
-        own = np.zeros((len(h), WIDTH), U)
+        own = np.zeros((len(h), BANDS), U)
         own[has] = keys[row[has]]
-        return doc, number, h, sim, has, own
+        return doc, number, h, has, own
 
     def block(got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        (ids, version, number, h, sim, has, own), new, keep = _occurrences(got)
+        (ids, version, number, h, has, own), new, keep = _occurrences(got)
         start = np.flatnonzero(new)
         there = np.flatnonzero(has)  # one occurrence of a line has its keys
         to = start[np.searchsorted(start, there, "right") - 1]
-        sim[to], own[to], has[to] = sim[there], own[there], True
+        own[to], has[to] = own[there], True
         has &= new
         for i in range(0, len(h), 20_000):
             s = slice(i, i + 20_000)
             k, none = keep[s], ~has[s][keep[s]]
-            cols = [pa.array(c[s][k]) for c in (ids, version, number, K.signed(h), K.signed(sim), ~new)]
-            keys = K.lists(pa.array(K.signed(own[s][k][~none, :BANDS].reshape(-1))), np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]))
-            marks = [pa.array(K.signed(np.ascontiguousarray(own[s][k][:, BANDS + j])), mask=none) for j in range(len(MARKS))]
-            yield pa.record_batch([*cols, keys, *marks], ["id", "version", "line", "hash", "sim", "again", "keys", *MARKS])
+            cols = [pa.array(c[s][k]) for c in (ids, version, number, K.signed(h), ~new)]
+            keys = K.lists(pa.array(K.signed(own[s][k][~none].reshape(-1))), np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]))
+            yield pa.record_batch([*cols, keys], ["id", "version", "line", "hash", "again", "keys"])
 
-    return _scan(docs, "id long, version long, line int, hash long, sim long, again boolean, keys array<long>" + "".join(f", {m} long" for m in MARKS), read, block)
+    return _scan(docs, "id long, version long, line int, hash long, again boolean, keys array<long>", read, block)
 
 
 def scan_lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -226,6 +233,26 @@ def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["hash", "t"])
 
 
+def signed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, there, crowd, t, sim, *MARKS, keys): the normalised lines that each row (want: array of line, hash, there and crowd, text) wants, with their SimHash of words, marks and keys."""
+    for batch in batches:
+        want, texts = batch.column(0), []
+        own, each = want.flatten(), want.value_lengths().to_pylist()
+        line, at = own.field("line").to_pylist(), 0
+        for n, text in zip(each, batch.column(1), strict=True):
+            rows = text.as_buffer().to_pybytes().split(b"\n")
+            texts += [b" ".join(rows[i].lower().split()) for i in line[at : at + n]]
+            at += n
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        w = K.words(raw, off, False)
+        sim, keys = K.simhash_spans(w.hash, w.first[:-1], w.first[1:]), K.signed(signs(raw, w, w.first[:-1], w.first[1:], True))
+        marks = [pa.array(np.ascontiguousarray(keys[:, BANDS + j])) for j in range(len(MARKS))]
+        both = K.lists(pa.array(np.ascontiguousarray(keys[:, :BANDS]).reshape(-1)), np.arange(len(texts) + 1) * BANDS)
+        cols = [own.field("hash"), own.field("there"), own.field("crowd"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(K.signed(sim)), *marks, both]
+        yield pa.record_batch(cols, ["hash", "there", "crowd", "t", "sim", *MARKS, "keys"])
+
+
 def _trim(x: str, y: str, similarity: float | None) -> tuple[np.ndarray, np.ndarray, int, int]:
     """The code points of both, and the lengths of the common start and end; with ``similarity``, texts that reach it by changing whole words are common altogether."""
     least = min(len(x), len(y))
@@ -378,6 +405,195 @@ def left_links(dealt: DataFrame, about: DataFrame, similarity: float) -> DataFra
     return rows.mapInArrow(frees(run), "a long, b long")
 
 
+#: A bucket of more lines is not compared in one task.
+CROWD = 2000
+#: Bytes of lines that are packed, and entries that are compared, at once.
+PACK, CHUNK = 32_000_000, 40_000
+#: Pairs that are sifted, and whose edit distances are counted, at once.
+SIFTED, COUNTED = 400_000, 4000
+#: Words that a walk passes over in both lines to meet again.
+STEPS = [(1, 1), (1, 0), (0, 1), (2, 2), (1, 2), (2, 1), (2, 0), (0, 2), (3, 3)]
+
+
+def walked(u: list[str], v: list[str], most: int) -> bool:
+    """Whether a walk along the words of both shows that the joined words are within the edit distance ``most``: what lies between words that are equal is put anew, but for its common start and end. If not, they may still be."""
+    i, j, m, n = 0, 0, len(u), len(v)
+    while True:
+        while i < m and j < n and u[i] == v[j]:
+            i += 1
+            j += 1
+        left, right = m - i, n - j
+        if not left and not right:
+            return True
+        for s, t in STEPS:
+            if s < left and t < right and u[i + s] == v[j + t] or s == left and t == right:
+                break
+        else:
+            s, t = min(left, 4), min(right, 4)
+        x, y = (u[i], v[j]) if s == t == 1 else (" ".join(u[i : i + s]), " ".join(v[j : j + t]))
+        least, k = min(len(x), len(y)), 0
+        while k < least and x[k] == y[k]:
+            k += 1
+        e = 1
+        while e <= least - k and x[-e] == y[-e]:
+            e += 1
+        most -= max(len(x), len(y)) - k - e + 1 + (s == 0 or t == 0)  # a space goes too
+        if most < 0:
+            return False
+        i, j = i + s, j + t
+
+
+def _few(u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs of roots u < v some: each two roots once, and of each v ``most`` at most."""
+    order = np.lexsort((u, v))
+    u, v = u[order], v[order]
+    other = np.ones(len(v), bool)
+    other[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+    order, v = order[other], v[other]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    return order[np.arange(len(v)) - np.maximum.accumulate(np.where(new, np.arange(len(v)), 0)) < most]
+
+
+def _bucket_pairs(key: np.ndarray, at: np.ndarray, keys: np.ndarray, sim: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x < y, distinct) of lines ``at`` that share a bucket, ``key`` in order, and pass the marks; each in the bucket of the first of ``keys`` (a column for each band) that both have."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size, n, out = np.diff(np.append(start, len(key))), marks[:, -1], []
+
+    def sift(x: np.ndarray, y: np.ndarray, bucket: np.ndarray) -> None:
+        keep = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 2) & (np.bitwise_count(sim[x] ^ sim[y]) <= REACH)
+        x, y, bucket = x[keep], y[keep], bucket[keep]
+        differ = np.zeros(len(x), np.int64)
+        for c in range(len(MARKS) - 1):
+            d = marks[x, c].view(U) ^ marks[y, c].view(U)
+            differ += np.bitwise_count((d | (d >> U(1)) | (d >> U(2)) | (d >> U(3))) & U(0x111111111111111))
+        x, y, bucket = x[differ <= APART], y[differ <= APART], bucket[differ <= APART]
+        keep = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == bucket
+        out.append((np.minimum(x, y)[keep], np.maximum(x, y)[keep]))
+
+    for s in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(s, 1)
+        have, step = start[size == s], max(1, SIFTED // len(i))
+        for b in range(0, len(have), step):
+            some = have[b : b + step, None]
+            for c in range(0, len(i), SIFTED):
+                x, y = at[some + i[c : c + SIFTED]], at[some + j[c : c + SIFTED]]
+                sift(x.reshape(-1), y.reshape(-1), np.repeat(key[some[:, 0]], x.shape[1]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def near_in_buckets(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links of the lines of whole buckets (key, node, sim, *MARKS, keys as bytes, t) that join all that are joined by the near pairs that the marks let pass.
+
+    Pairs of lines that are joined already are left out: walks along the words join most, a few pairs of each line at first, and edit distances those that are left."""
+    column = lambda c: t.column(c).to_numpy()
+    node, row, at = np.unique(column("node"), return_index=True, return_inverse=True)
+    key = column("key")
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    once = np.ones(len(key), bool)  # a text that is there twice gives its lines twice
+    once[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    key, at, own = key[once], at[once], t.take(pa.array(row))
+    marks = np.stack([own.column(m).to_numpy() for m in MARKS], axis=1)
+    keys = np.frombuffer(b"".join(own.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+    x, y = _bucket_pairs(key, at, keys, own.column("sim").to_numpy().view(U), marks, similarity)
+    some, at = np.unique(np.concatenate([x, y]), return_inverse=True)  # only they need their words
+    x, y, node = at[: len(x)], at[len(x) :], node[some]
+    texts = own.column("t").take(pa.array(some))
+    length = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    most = (round(1 - similarity, 6) * np.maximum(length[x], length[y]) + 1e-9).astype(np.int64)
+    own = texts.to_pylist()
+    words = [t.split(" ") for t in own]
+    root, links = np.arange(len(some)), []
+
+    def walks(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return np.array([walked(words[i], words[j], k) for i, j, k in zip(a.tolist(), b.tolist(), most.tolist(), strict=True)], bool)
+
+    def measured(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        code = {i: np.frombuffer(own[i].encode("utf-32-le", "surrogatepass"), np.uint32) for i in np.unique([a, b]).tolist()}
+        return K.edit_distances([code[i] for i in a.tolist()], [code[i] for i in b.tolist()], most.tolist()) <= most
+
+    for test in (walks, measured):
+        wait = np.arange(len(x))  # pairs that this test has not seen
+        for few in (1, 4, None):
+            u, v = np.minimum(root[x[wait]], root[y[wait]]), np.maximum(root[x[wait]], root[y[wait]])
+            wait, u, v = wait[u != v], u[u != v], v[u != v]
+            pick = np.arange(len(wait)) if few is None else _few(u, v, few)
+            for i in range(0, len(pick), COUNTED):
+                p = wait[pick[i : i + COUNTED]]
+                p = p[root[x[p]] != root[y[p]]]
+                p = p[test(x[p], y[p], most[p])]
+                if len(p):
+                    links.append(p)
+                    ends, top = roots(root[x[p]], root[y[p]])
+                    to = np.arange(len(root))
+                    to[ends] = top
+                    root = to[root]
+            wait = np.delete(wait, pick)
+    p = np.concatenate([*links, np.zeros(0, np.int64)])
+    return node[x[p]], node[y[p]]
+
+
+def bucket_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: links that join the lines of ``texts`` (hash, there, t, sim, *MARKS, keys) that near pairs of the buckets ``there`` join.
+
+    Lines go to the shuffle once for each bucket, packed by part of the buckets; a task holds whole parts, CHUNK entries and more, and no pairs leave it but links."""
+    count = min(PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65_535)
+    names = ["key", "node", "sim", *MARKS, "keys", "t"]
+    schema = pa.schema([(c, pa.binary(8 * BANDS) if c == "keys" else pa.string() if c == "t" else pa.int64()) for c in names])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            part = (rows.column(0).to_numpy().view(U) % U(count)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows.take(pa.array(order)), part[order]
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+            for i in range(0, len(edge) - 1, 50):
+                some = edge[i : i + 51]
+                data = [rows.slice(a, b - a).serialize().to_pybytes() for a, b in zip(some[:-1], some[1:], strict=True)]
+                yield pa.record_batch([pa.array(part[some[:-1]]), pa.array(data, pa.binary())], ["part", "data"])
+
+        for b in batches:
+            there, keys = b.column(1), b.column(b.num_columns - 1)
+            take = pa.array(np.repeat(np.arange(b.num_rows), there.value_lengths().fill_null(0).to_numpy()))
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(keys.flatten().to_numpy()))])
+            mine = [b.column(0), *b.columns[3:-1], fixed, b.column(2)]
+            if len(take):
+                held.append(pa.RecordBatch.from_arrays([there.flatten(), *[c.take(take) for c in mine]], schema=schema))
+                size += held[-1].nbytes
+            if size >= PACK:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, last = [], 0, None
+
+        def out() -> pa.RecordBatch:
+            a, b = near_in_buckets(pa.Table.from_batches(held).combine_chunks(), similarity)
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != last and count >= CHUNK:
+                    yield out()
+                    held, count = [], 0
+                last = part
+                held.append(pa.ipc.read_record_batch(pa.py_buffer(data.as_buffer().to_pybytes()), schema))
+                count += held[-1].num_rows
+        if held:
+            yield out()
+
+    packed = texts.where("size(there) > 0").select("hash", "there", "t", "sim", *MARKS, "keys").mapInArrow(frees(pack), "part int, data binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(frees(run), "a long, b long")
+
+
 def block_keys(radius: int = RADIUS, count: int = 0) -> str:
     """SQL: the keys of a SimHash ``sim``, one for each ``agree`` of radius + agree blocks, for within ``radius`` bits so many agree.
 
@@ -399,62 +615,37 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     scan = cut(scan_lines(docs, min_words) if radius is not None else scan_reach(docs, min_words), "lines")
     occur = scan.where("not again")
     # dealt out before the minimum of structs, which needs a sort: one instead of two, for within a block few lines repeat
-    first = cut(occur.select("hash", "id", "version", "line", "sim").repartition("hash").groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("times")), "first")
-    if radius is None:
-        keys = occur.where("size(keys) > 0").select(F.col("hash").alias("node"), "keys")
-    else:
-        keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
+    first = occur.repartition("hash").groupBy("hash").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.count("*").alias("times"), *([F.max("sim").alias("sim")] if radius is not None else []))
+    first = cut(first, "first")
 
-    def fetch(hashes: DataFrame) -> DataFrame:
-        """(hash, t), written: the normalised lines of distinct ``hashes`` (hash)."""
-        lines = cut(places.select("hash", "first.*").join(hashes, "hash"), "want")
-        want = lines.groupBy("id", "version").agg(F.collect_list(F.struct("line", "hash")).alias("want"))
+    def fetch(lines: DataFrame, run: Callable, schema: str) -> DataFrame:
+        """What ``run`` makes of the texts and their wanted ``lines`` (id, version, and what it takes of each)."""
+        want = lines.groupBy("id", "version").agg(F.collect_list(F.struct(*[c for c in lines.columns if c not in ("id", "version")])).alias("want"))
         few = lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "version"])
-        # a text that is there twice gives its lines twice; they, not texts, go to the shuffle
-        out = cut(texts.select("want", "text").mapInArrow(frees(picked), "hash long, t string").dropDuplicates(["hash"]), "texts")
-        release(lines)
-        return out
+        return texts.select("want", "text").mapInArrow(frees(run), schema)
 
-    def verify(near: DataFrame) -> DataFrame:
-        texts = every
-        if texts is None:
-            texts = fetch(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct())
-        elif near.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2:
-            texts = texts.join(F.broadcast(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct()), "hash")
-        pairs = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        if radius is None:
-            pairs = pairs.where(f"least(length(ta), length(tb)) >= {similarity:.6f} * greatest(length(ta), length(tb)) - 1e-9")
-        out = cut(linked(pairs, similarity), "links")
-        if every is None:
-            release(texts)
-        return out
+    def compared(pairs: DataFrame, every: DataFrame) -> DataFrame:
+        return pairs.join(every.toDF("a", "ta"), "a").join(every.toDF("b", "tb"), "b")
 
-    def settle(dealt: DataFrame, asked: DataFrame) -> DataFrame:
-        keyed = cut(dealt.groupBy("node").agg(F.collect_set("key").alias("keys")), "keyed")
-        hubs = asked.join(keyed.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
-        about = keyed.join(every.withColumnRenamed("hash", "node"), "node").join(marks.select("node", "m.*"), "node").join(hubs, "node", "left")
-        about = cut(about, "about")
-        out = cut(left_links(dealt, about, similarity), "links")
-        release(keyed, about)
-        return out
-
-    # so many keys meet that one order of hubs, the same in all buckets, gives each node few pairs
-    raw = bucket_stars(keys) if radius is not None else cut(packed_stars(keys), "stars")
-    places, marks, close = first.select("hash", "first"), first.select(F.col("hash").alias("node"), F.col("sim").alias("m")), f"bit_count(ma ^ mb) <= {radius}"
-    every = None
     if radius is None:
-        met = raw.select(F.col("hub").alias("hash")).union(raw.select("x")).distinct()  # most lines share no key and need no marks
-        own = occur.where("n is not null").select("hash", "sim", *MARKS).join(met, "hash", "left_semi").groupBy("hash").agg(*[F.max(c).alias(c) for c in ("sim", *MARKS)])
-        own = own.join(first.select("hash", "first"), "hash")
-        about = cut(own.selectExpr("hash as node", f"struct({', '.join(('sim', *MARKS))}) as m", "first"), "marks")
-        places, marks = about.select(F.col("node").alias("hash"), "first"), about.select("node", "m")
-        every = fetch(places.select("hash"))  # most of them are compared: one reading of the texts serves all rounds
-        bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
-        differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
-        close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
-    comp, links = similarity_groups(raw, marks, close, verify, 2, settle if radius is None else None)
-    release(raw, links, *([every] if radius is None else []))
+        comp, places = _reached(occur, first, fetch, compared, similarity)
+    else:
+
+        def verify(near: DataFrame) -> DataFrame:
+            wanted = near.select(F.col("a").alias("hash")).union(near.select("b")).distinct()
+            lines = cut(first.select("hash", "first.*").join(wanted, "hash"), "want")
+            # a text that is there twice gives its lines twice; they, not texts, go to the shuffle
+            texts = cut(fetch(lines, picked, "hash long, t string").dropDuplicates(["hash"]), "texts")
+            out = cut(linked(compared(near, texts), similarity), "links")
+            release(lines, texts)
+            return out
+
+        keys = first.select(F.explode(F.expr(block_keys(radius, first.count()))).alias("key"), F.col("hash").alias("node"))
+        raw, marks = bucket_stars(keys), first.select(F.col("hash").alias("node"), F.col("sim").alias("m"))
+        comp, links = similarity_groups(raw, marks, f"bit_count(ma ^ mb) <= {radius}", verify, 2)
+        places = first.select("hash", "first")
+        release(raw, links)
     rooted = places.join(comp.withColumnRenamed("node", "hash"), "hash").select("hash", "root", "first")
     kept = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("keep")), "root").select("hash", "keep")
     keep = first.join(kept, "hash", "left").where("times > 1 or keep is not null").select("hash", F.coalesce("keep", "first").alias("keep"))
@@ -462,10 +653,50 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     gone = occur.join(keep, "hash").where(F.struct(*place) != F.col("keep")).select(*place)
     gone = scan.where("again").select(*place).union(gone)
     gone = cut(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("line")).alias("removed")), "gone")
-    release(scan, first, comp, *([about] if radius is None else []))
+    release(scan, first, comp, *([places] if radius is None else []))
     return gone
 
 
+def _reached(occur: DataFrame, first: DataFrame, fetch: Callable, compared: Callable, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The components (node, root) of near lines that share a key, and where each of the lines that share one first occurs (hash, first); both are written.
+
+    The texts of such lines are read once. Buckets of up to CROWD lines are compared within a task each; those of larger ones in rounds over all tasks, as similarity_groups does."""
+    met = cut(packed_buckets(occur.where("size(keys) > 0").select(F.col("hash").alias("node"), "keys")), "met")
+    crowd = F.col("n") > CROWD
+    buckets = met.groupBy("node").agg(F.collect_list(F.when(~crowd, F.col("key"))).alias("there"), F.max(crowd).alias("crowd"))
+    places = cut(first.select("hash", "first").join(buckets.withColumnRenamed("node", "hash"), "hash"), "places")
+    schema = "hash long, there array<long>, crowd boolean, t string, sim long, " + ", ".join(f"{m} long" for m in MARKS) + ", keys array<long>"
+    texts = cut(fetch(places.select("hash", "first.*", "there", "crowd"), signed_texts, schema), "texts")
+    small = cut(bucket_links(texts, similarity), "links")
+    raw = cut(stars(met.where(crowd), "xxhash64(node)"), "stars")
+    # a text that is there twice gives its lines twice
+    about = cut(texts.where("crowd").selectExpr("hash", "t", f"struct({', '.join(('sim', *MARKS))}) as m").dropDuplicates(["hash"]), "marks")
+    every, marks = about.select("hash", "t"), about.select(F.col("hash").alias("node"), "m")
+
+    def verify(near: DataFrame) -> DataFrame:
+        own = every
+        if near.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2:
+            own = every.join(F.broadcast(near.select(F.col("a").alias("hash")).union(near.select("b")).distinct()), "hash")
+        return cut(linked(compared(near, own).where(f"least(length(ta), length(tb)) >= {similarity:.6f} * greatest(length(ta), length(tb)) - 1e-9"), similarity), "links")
+
+    def settle(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+        keyed = cut(dealt.groupBy("node").agg(F.collect_set("key").alias("keys")), "keyed")
+        hubs = asked.join(keyed.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+        own = keyed.join(every.withColumnRenamed("hash", "node"), "node").join(marks.select("node", "m.*"), "node").join(hubs, "node", "left")
+        own = cut(own, "about")
+        out = cut(left_links(dealt, own, similarity), "links")
+        release(keyed, own)
+        return out
+
+    bits = [f"(ma.{c} ^ mb.{c})" for c in MARKS[:-1]]
+    differ = " + ".join(f"bit_count(({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3)) & {0x111111111111111}L)" for x in bits)
+    close = f"least(ma.n, mb.n) >= {similarity:.6f} * greatest(ma.n, mb.n) - 2 and bit_count(ma.sim ^ mb.sim) <= {REACH} and {differ} <= {APART}"
+    rounds, links = similarity_groups(raw, marks, close, verify, 2, settle)
+    comp, moved = merged(rounds, small)
+    release(met, texts, small, raw, about, rounds, moved, links)
+    return comp, places.select("hash", "first")
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
     """``docs`` with the removed lines taken out of the text, and their numbers (array<int>) in ``removed_col``, which replaces a column of that name.
 
